@@ -65,22 +65,35 @@ class Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.query_ids, self.queries, self.k = ids, vectors, k
         self.norms = np.sqrt((vectors**2).sum(1))
-        self.row = self.score = self.id = np.zeros(0, np.int64)
+        self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
+        self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.held = np.zeros(len(ids), np.int64)
         self.kth = np.full(len(ids), -np.inf)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        r, c = np.nonzero((scores >= self.kth[rows][:, None]) & (ids != self.query_ids[rows][:, None]))
+        """Candidates ids with their scores for the queries rows; only queries that one of them may serve are touched."""
+        r, c = np.nonzero(scores >= self.kth[rows][:, None])
+        own = ids[c] != self.query_ids[rows[r]]
+        r, c = r[own], c[own]
         if not len(r):
             return
-        row, score, vec = np.concatenate([self.row, rows[r]]), np.concatenate([self.score, scores[r, c].astype(np.int64)]), np.concatenate([self.id, ids[c]])
-        order = np.lexsort((vec, -score, row))
-        row = row[order]
-        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
-        keep = rank < self.k
-        self.row, self.score, self.id = row[keep], score[order][keep], vec[order][keep]
-        last = rank == self.k - 1
-        self.kth[row[last]] = score[order][last]
+        touched, r_new = np.unique(r, return_inverse=True)
+        at, k = rows[touched], self.k
+        row = np.concatenate([np.repeat(np.arange(len(at)), k), r_new])
+        score = np.concatenate([self.score[at].ravel(), scores[r, c].astype(np.int64)])
+        vec = np.concatenate([self.id[at].ravel(), ids[c]])
+        order = np.lexsort((vec, -np.maximum(score, -(2**63) + 1), row))
+        sizes = k + np.bincount(r_new, minlength=len(at))
+        pick = order[(np.cumsum(sizes) - sizes)[:, None] + np.arange(k)]
+        self.score[at], self.id[at] = score[pick], vec[pick]
+        self.held[at] = np.minimum(k, self.held[at] + sizes - k)
+        full = self.held[at] == k
+        self.kth[at[full]] = self.score[at[full], -1]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, candidates' ids, scores."""
+        some = np.arange(self.k) < self.held[:, None]
+        return np.repeat(self.query_ids, self.held), self.id[some], self.score[some]
 
     def search(self, tree: BallTree) -> int:
         """Goes through the tree; how many leaves were scored (each counted once for every set of queries)."""
@@ -114,10 +127,10 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
-def whole_vector(embedding: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) as doubles; null where a component is null or not finite."""
+def scaled(embedding: Column, scale: int = SCALE) -> Column:
+    """scale * x as doubles; null where a component is null or not finite."""
     fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(embedding.isNotNull() & fine, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("double")))
+    return F.when(embedding.isNotNull() & fine, F.transform(embedding, lambda x: x.cast("double") * scale))
 
 
 def _blobs(part: str, size: int, tree: bool):
@@ -139,7 +152,7 @@ def _blobs(part: str, size: int, tree: bool):
             parts = batch.column(part).to_numpy(zero_copy_only=False)
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             values = batch.column("v")
-            flat = values.flatten().to_numpy(zero_copy_only=False)
+            flat = np.floor(values.flatten().to_numpy(zero_copy_only=False))
             begins = np.concatenate([[0], np.cumsum(dims)])
             cuts = [0, *(np.flatnonzero((dims[1:] != dims[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(dims)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -171,13 +184,14 @@ def _answers(k: int):
         best, key = None, None
 
         def done():
-            return record_batch(query_id=best.query_ids[best.row], vec_id=best.id, score=best.score)
+            query, vec, score = best.result()
+            return record_batch(query_id=query, vec_id=vec, score=score)
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "grp", "kind")), strict=True)
             for n, (dim, block, grp, kind) in enumerate(keys):
                 if key != (dim, block, grp):
-                    if best is not None and len(best.row):
+                    if best is not None and best.held.any():
                         yield done()
                     best, key = None, (dim, block, grp)
                 found = pickle.loads(batch.column("blob")[n].as_buffer())
@@ -185,7 +199,7 @@ def _answers(k: int):
                     best = Best(*found, k)
                 elif best is not None:
                     best.search(found)
-        if best is not None and len(best.row):
+        if best is not None and best.held.any():
             yield done()
 
     return work
@@ -194,7 +208,7 @@ def _answers(k: int):
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query holds for, its k best among all the others."""
     spark = vectors.sparkSession
-    kept = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), whole_vector(F.col(embedding), scale).alias("v"), is_query.alias("is_query"))
+    kept = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), scaled(F.col(embedding), scale).alias("v"), is_query.alias("is_query"))
     kept = kept.where(F.col("v").isNotNull()).withColumn("dim", F.size("v").cast("long"))
     sizes = vectors.where(F.col(vec_id).isNotNull()).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
