@@ -5,8 +5,7 @@ feature's bins to the loss's gradient and adds it to that feature's table. Then
 whose joint bins explain most of what is left get tables of their own, boosted the same way. The model is
 nothing but bin edges and tables, so a score is a sum of looked-up values, made for a whole batch at once.
 
-Learning uses a bounded sample of labelled rows (MAX_SAMPLE, those of least hash), which is the only part
-that the driver sees. Defined results: null texts count as empty and get a score like any other; without
+Learning uses a bounded sample of labels (MAX_SAMPLE), whose texts' figures are the only part that the driver sees. Defined results: null texts count as empty and get a score like any other; without
 labelled rows every score is 0.5; with one class only it is near that class. Ties in a split go to the first;
 repeated rows get equal scores. Columns other than those named are ignored, whatever their names.
 """
@@ -176,11 +175,16 @@ def _measured(batches):
         yield record_batch(label=batch.column("label"), x=list(found))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", max_sample: int = MAX_SAMPLE) -> Model:
-    """A model of rows with a text and a label 0 or 1; null labels are left out."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where(F.octet_length("text") <= MAX_SAMPLE_BYTES)
-    measured = arrow_map(rows, _measured, "label int, x array<double>")
-    found = measured.withColumn("h", F.xxhash64("x")).orderBy("h", "label").limit(max_sample).collect()
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_sample: int = MAX_SAMPLE) -> Model:
+    """A model of the labelled rows of docs; labels that are not 0 or 1 are left out.
+
+    The sample is drawn from the labels, those of least hash of the id, so that it is small enough to be sent to the texts."""
+    drawn = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_sample)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_SAMPLE_BYTES)
+    rows = rows.join(F.broadcast(drawn), "doc_id").select("text", "label")
+    found = arrow_map(rows, _measured, "label int, x array<double>").collect()
+    found.sort(key=lambda r: (r.x, r.label))
     x = np.array([r.x for r in found], np.float64).reshape(len(found), len(FEATURES))
     return Model().fit(x, np.array([r.label for r in found], np.float64))
 

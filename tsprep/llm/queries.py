@@ -143,6 +143,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.fit(docs.select("doc_id", "text").where(common.learnable()).join(labels, "doc_id"))
+    model = quality.fit(docs, labels.where(common.learnable()))
     found = quality.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", common.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
