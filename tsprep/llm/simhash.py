@@ -19,6 +19,7 @@ Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +36,7 @@ SEED, MAX_BITS = 42, 4
 GENERATOR = 0b110001110101
 #: (lowest bit, width) of each segment.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-HOT_GROUP = 50_000
+HOT_GROUP, WIDE_HOT_GROUP = 50_000, 1_000_000
 
 _SPREAD = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
 
@@ -56,22 +57,17 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
-    """A fingerprint for each text: bits set in over half the hashes.
+def vote(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of so many hashes: the bits set in over half of them; zero where there are none.
 
     Each hash's bits are spread over 64 one-byte counters held in eight 64-bit words, 255 hashes at most to a
     block, and the blocks' counters are added up."""
-    hashes, sizes = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        found = shingle_hashes(text, words)
-        sizes[k] = len(found)
-        hashes.append(np.array(found, np.uint64))
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(sizes), np.uint64)
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
     sizes = sizes[some]
-    lanes = _SPREAD[np.concatenate(hashes).view(np.uint8).reshape(-1, 8)]
+    lanes = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
     blocks = -(-sizes // 255)
     nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     counts = np.add.reduceat(lanes, np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * 255, axis=0).view(np.uint8).reshape(-1, 64)
@@ -80,15 +76,44 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row."""
+def _hashed(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array([len(f) for f in found], np.int64)
+
+
+def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
+    return vote(*_hashed(texts, words))
+
+
+def wide_fingerprints(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Three fingerprints of the shingles' hashes, each mixed anew, and one of two-word shingles."""
+    hashes, sizes = _hashed(texts, words)
+    columns = [vote(hashes, sizes)]
+    for turn in (1, 2):
+        mixed = (hashes ^ (hashes >> np.uint64(29 + turn))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * turn)
+        columns.append(vote(mixed ^ (mixed >> np.uint64(32)), sizes))
+    return [*columns, vote(*_hashed(texts, 2))]
+
+
+def _longs(columns: list[np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {n: c.view(np.int64) for n, c in zip(names, columns, strict=True)}
+
+
+WIDE = ("fp", "fp2", "fp3", "pairs")
+
+
+def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) for each row; wide: also fp2, fp3, pairs."""
 
     def work(batches):
         for batch in slices(batches, "text", rows=512, max_bytes=4 << 20):
-            yield record_batch(doc_id=batch.column("doc_id"), fp=fingerprints(batch.column("text").to_pylist(), words).view(np.int64))
+            texts = batch.column("text").to_pylist()
+            found = _longs(wide_fingerprints(texts, words), WIDE) if wide else _longs([fingerprints(texts, words)], ("fp",))
+            yield record_batch(doc_id=batch.column("doc_id"), **found)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, f"doc_id {kind}, fp long")
+    columns = ", ".join(f"{n} long" for n in (WIDE if wide else ("fp",)))
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, f"doc_id {kind}, {columns}")
 
 
 class Golay:
@@ -135,28 +160,33 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(at)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; rows hold one fingerprint word or several."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect what is connected among fps; each is compared only with those not reached yet."""
+    """Edges that connect what is connected among the rows of fps; each is compared only with those not reached yet."""
     rest, edges = fps, []
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             here = frontier.pop()
-            near = np.bitwise_count(rest ^ here) <= max_bits
+            near = _apart(rest, here) <= max_bits
             if near.any():
                 reached, rest = rest[near], rest[~near]
-                edges.append((np.full(len(reached), here), reached))
+                edges.append((np.full(len(reached), here[0]), reached[:, 0]))
                 frontier.extend(reached)
     return edges
 
 
 def links_by_key(keys: np.ndarray, fps: np.ndarray, max_bits: int, dense: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between fingerprints of equal keys; keys come sorted."""
+    """Edges (first words) between rows of fps with equal keys; keys come sorted."""
     bounds = group_bounds(keys)
     sizes = np.diff(bounds)
     left, right = [], []
     for k in np.flatnonzero(sizes > dense):
-        for a, b in forest(np.unique(fps[bounds[k] : bounds[k + 1]]), max_bits):
+        for a, b in forest(np.unique(fps[bounds[k] : bounds[k + 1]], axis=0), max_bits):
             left.append(a)
             right.append(b)
     ends = np.repeat(bounds[1:], sizes)
@@ -165,40 +195,50 @@ def links_by_key(keys: np.ndarray, fps: np.ndarray, max_bits: int, dense: int =
         at = at[at + step < ends[at]]
         if not len(at):
             break
-        near = np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits
-        left.append(fps[at[near]])
-        right.append(fps[at[near] + step])
+        near = at[_apart(fps[at], fps[at + step]) <= max_bits]
+        left.append(fps[near, 0])
+        right.append(fps[near + step, 0])
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     edges = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
     return edges[:, 0], edges[:, 1]
 
 
-def _keyed(batches):
-    golay = Golay()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            fps = batch.column("fp").slice(at, 8192).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            key, k = fuzzy_keys(fps, golay)
-            yield record_batch(key=key, fp=fps[k].view(np.int64))
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+
 
+def _keyed(by: str, carried: tuple[str, ...]):
+    """Rows with a row for each fuzzy key of the column `by`."""
+
+    def work(batches):
+        golay = Golay()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                key, k = fuzzy_keys(_column(some, by), golay)
+                yield record_batch(key=key, **{n: _column(some, n)[k].view(np.int64) for n in carried})
+
+    return work
 
-def _linked(max_bits: int, hot_group: int):
-    """Rows sorted by key -> edges; of keys with too many rows, the fingerprints themselves (b null)."""
+
+def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
+    """Rows sorted by key -> edges. Of keys with too many rows: with one word, the fingerprints themselves (b null);
+    with more, what is held is linked and one row of each component goes on."""
 
     def emit(a, b=None):
         b = pa.nulls(len(a), pa.int64()) if b is None else b.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(b)], ["a", "b"])
 
     def work(batches):
-        keys, fps, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        keys, fps, hot = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.uint64), None
         for batch in batches:
             k = batch.column("key").to_numpy(zero_copy_only=False)
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            x = np.stack([_column(batch, n) for n in carried], 1)
             if hot is not None:
                 n = int(np.searchsorted(k, hot, side="right"))
                 if n:
-                    yield emit(x[:n])
+                    yield emit(x[:n, 0])
                 k, x = k[n:], x[n:]
                 if not len(k):
                     continue
@@ -210,9 +250,14 @@ def _linked(max_bits: int, hot_group: int):
             if tail:
                 yield emit(*links_by_key(keys[:tail], fps[:tail], max_bits))
                 keys, fps = keys[tail:], fps[tail:]
-            if len(keys) > hot_group:
-                yield emit(fps)
+            if len(keys) > hot_group and len(carried) == 1:
+                yield emit(fps[:, 0])
                 hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
+            elif len(keys) > hot_group:
+                a, b = links_by_key(keys, fps, max_bits)
+                yield emit(a, b)
+                fps = fps[~np.isin(fps[:, 0], b)]
+                keys = keys[: len(fps)]
         if len(keys):
             yield emit(*links_by_key(keys, fps, max_bits))
 
@@ -236,9 +281,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP)
     """Edges (a, b) that connect just what the links at max_bits or less connect. fps: distinct, column fp."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"three Golay segments find links of up to {MAX_BITS} bits")
-    keyed = arrow_map(fps, _keyed, "key long, fp long")
+    keyed = arrow_map(fps, _keyed("fp", ("fp",)), "key long, fp long")
     found = keyed.repartition(partitions(fps, 4 << 20), "key").sortWithinPartitions("key", "fp")
-    found = materialised(arrow_map(found, _linked(max_bits, hot_group), "a long, b long"))
+    found = materialised(arrow_map(found, _linked(max_bits, hot_group, ("fp",)), "a long, b long"))
     edges = found.where("b IS NOT NULL")
     hot = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if hot.isEmpty():
@@ -248,11 +293,52 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP)
     return edges.unionByName(mids.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP) -> DataFrame:
-    """doc_id, fp, component_id (least id of those that links reach) for each row."""
-    rows = materialised(fingerprint(docs, doc_id, text, words))
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(ids.select("fp"), max_bits, hot_group))
+def similar_links(fps: DataFrame, similarity: float, hot_group: int = WIDE_HOT_GROUP) -> DataFrame:
+    """Edges (a, b) between first words of wide fingerprints whose shingles are about that similar.
+
+    Keys come from the fingerprint of word pairs, which an edited word changes less than it does long shingles; the
+    192 bits of the long shingles' three fingerprints then tell how similar two rows are."""
+    carried = WIDE[:3]
+    keyed = arrow_map(fps, _keyed("pairs", carried), "key long, " + ", ".join(f"{n} long" for n in carried))
+    found = keyed.repartition(partitions(fps, 4 << 20), "key").sortWithinPartitions("key", *carried)
+    return materialised(arrow_map(found, _linked(bits_for(similarity), hot_group, carried), "a long, b long"))
+
+
+def bits_for(similarity: float, bits: int = 64 * 3) -> int:
+    """Differing bits up to which rows of that Jaccard similarity are expected: the mean and 1.64 deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 1.64 * math.sqrt(bits * p * (1 - p)))
+
+
+def _with_components(rows: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
     by_fp = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rows.join(by_fp.select("fp", "root").join(least, "root").drop("root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP) -> DataFrame:
+    """doc_id, fp, component_id (least id of those that links reach) for each row; links are exact."""
+    rows = materialised(fingerprint(docs, doc_id, text, words))
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    return _with_components(rows, ids, links(ids.select("fp"), max_bits, hot_group))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp, component_id, where documents link whose shingles are about that similar, by wide fingerprints.
+
+    Texts of one fingerprint count as one. What is found is not exact: of pairs just at a similarity of 0.8 about
+    three in four share a key, of pairs at 0.9 nearly all; and the bits allow for the estimate's spread."""
+    rows = materialised(fingerprint(docs, doc_id, text, words, wide=True))
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("fp2", "fp3", "pairs")).alias("rest"))
+    edges = similar_links(ids.select("fp", "rest.*"), similarity)
+    return _with_components(rows.select("doc_id", "fp"), ids.select("fp", "least_id"), edges)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is their component's least, and rows with a null id; of rows with one id, one. All columns."""
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    with_id = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id) == F.col("__kept"), "left_semi")
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        with_id = with_id.dropDuplicates([doc_id])
+    return with_id.unionByName(docs.where(F.col(doc_id).isNull()))

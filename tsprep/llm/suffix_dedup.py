@@ -94,7 +94,7 @@ class Hasher:
         h, size, factor = _BYTE[text], 1, _BASE
         while size < self.kgram:
             h = h[: len(h) - size] * factor + h[size:]
-            size, factor = 2 * size, factor * factor
+            size, factor = 2 * size, np.uint64(int(factor) ** 2 % 2**64)
         h = _mixed(h)
         place = _least(h, width)
         sizes = np.array([len(p[2]) for p in pieces])
