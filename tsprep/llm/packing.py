@@ -14,7 +14,8 @@ below the token limit a piece is cut so that it keeps within them. Columns other
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import arrow_map, slices
 
 CAPACITY, END, MAX_SEGMENTS, BLOCK_PIECES = 2048, 1, 256, 1024
 #: Chunks whose ids a worker keeps at most; the memory is a few hundred bytes for each.
-CACHE = 400_000
+CACHE = 250_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -34,35 +35,86 @@ class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     The vocabulary's pre-tokenizer never crosses white space, so a text's ids are those of its chunks in a row,
-    and most chunks come again. Texts with separators that Python and the tokenizer's patterns see
-    differently are encoded whole."""
+    and most chunks come again. It folds case, so texts of Latin-1 letters, which fold alike in Python, are folded
+    before they are looked up. Texts with separators that Python and the tokenizer's patterns see
+    differently are encoded whole. Of the chunks that have been seen, those of late are kept."""
 
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
+        # The tokenizer's own threads would contend with the tasks beside this one.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def folded(text: str) -> str:
+        if "<|" in text:  # a special token's name counts only as it is written
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        parts = [None if self.ODD.search(t) else self.folded(t).split() for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        new: dict[str, None] = {}
-        known = self.known
-        for words in parts:
-            for w in words or ():
-                if w not in known:
-                    new[w] = None
-        fresh = list(new)
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [w for w in set().union(*(p for p in parts if p)) if w not in known]
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+        self._learn([w for w in new if w not in known])
         get = known.__getitem__
         return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, parts, strict=True)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Stops and commas after a letter are tokens of their own: what stands before them is looked up without them."""
+        known, pairs, whole = self.known, [], []
+        for w in chunks:
+            bare = w.rstrip(".,")
+            if bare and len(bare) < len(w) and bare[-1].isalpha() and bare[-1].lower()[-1].isalpha():
+                pairs.append((w, bare, w[len(bare) :]))
+            else:
+                whole.append(w)
+        more = {x for _, bare, tail in pairs for x in (bare, tail) if x not in known}
+        whole = list(more.union(whole))
+        words = [w for w in whole if w.isalpha()]
+        rest = [w for w in whole if not w.isalpha()]
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4"), np.array([-1 if i is None else i for i in found.word_ids], np.int64)
+            ends = np.searchsorted(of, np.arange(len(some)), side="right") * 4
+            if len(of) and (of[-1] != len(some) - 1 or len(np.unique(of)) != len(some) or (np.diff(of) < 0).any()):
+                rest += some  # a word became several, as folding can make it
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                known[w] = data[begin:end]
+                begin = end
+        known.update(zip(rest, self._encode(rest), strict=True))
+        for w, bare, tail in pairs:
+            known[w] = known[bare] + known[tail]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
 
 def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Bins of row numbers of demands (tokens, segments, loss), by the dot-product heuristic."""
@@ -90,11 +142,11 @@ def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     return bins
 
 
-def _packed(encoder: Callable[[], ChunkEncoder], limits: np.ndarray):
+def _packed(tokenizer_path: str, limits: np.ndarray):
     """Batches of doc_id, text (and prompt_tokens) -> pieces with their places."""
 
     def work(batches):
-        encode = encoder().encode
+        encode = encoder_of(tokenizer_path).encode
         base, counter = TaskContext.get().partitionId() << 33, 0
         waiting: list[tuple] = []
         capacity = int(min(limits[0], limits[2]))
@@ -141,4 +193,4 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     if (limits < 1).any():
         raise ValueError("limits are at least 1")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(None).cast("long")).alias("prompt_tokens"))
-    return arrow_map(rows, _packed(lambda: ChunkEncoder(tokenizer_path), limits), "doc_id long, start long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long")
+    return arrow_map(rows, _packed(tokenizer_path, limits), "doc_id long, start long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long")
