@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, kernels
 from ..model import SeriesView
-from .series import BY_TIME, with_position
+from .series import by_time, with_position
 from .transforms import values_of
 
 N_WINDOWS, TOP_K, MAX_LAGS, OUTLIER_Z = 12, 5, 60, 4.0
@@ -39,21 +39,21 @@ def missingness(series: DataFrame) -> DataFrame:
 def missing_blocks(series: DataFrame) -> DataFrame:
     """Runs of rows without a value: first and last time, length."""
     marked = with_position(series).withColumn("gone", F.col("y").isNull())
-    nth = F.row_number().over(BY_TIME)
+    nth = F.row_number().over(by_time())
     runs = marked.where("gone").withColumn("run", F.col("pos") - nth)
     return runs.groupBy("series_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("length")).drop("run")
 
 
 def rolling(series: DataFrame, window: int) -> DataFrame:
     """Mean and variance over the last `window` rows, where a third of them (two at least) have values."""
-    w = BY_TIME.rowsBetween(-(window - 1), 0)
+    w = by_time().rowsBetween(-(window - 1), 0)
     enough = F.count("y").over(w) >= max(2, window // 3)
     return series.select("series_id", "ts", F.when(enough, F.avg("y").over(w)).alias("rolling_mean"), F.when(enough, F.var_samp("y").over(w)).alias("rolling_var"), F.lit(window).alias("window"))
 
 
 def rolling_ratio(series: DataFrame, window: int) -> DataFrame:
     """Standard deviation over mean in the same windows; null where the mean is 0."""
-    w = BY_TIME.rowsBetween(-(window - 1), 0)
+    w = by_time().rowsBetween(-(window - 1), 0)
     enough = F.count("y").over(w) >= max(2, window // 3)
     return series.select("series_id", "ts", F.when(enough, F.try_divide(F.stddev_samp("y").over(w), F.avg("y").over(w))).alias("ratio_std_over_mean"), F.lit(window).alias("window"))
 
@@ -131,7 +131,7 @@ def _kernel(series: DataFrame, keys: list[str], work: Callable[[np.ndarray], lis
     def each(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ts", kind="stable")
         rows = work(frame["y"].dropna().to_numpy(float))
-        out = pd.DataFrame(rows, columns=fields)
+        out = pd.DataFrame(rows, columns=fields, dtype=object if not rows else None)
         for k, v in zip(reversed(keys), reversed(key), strict=True):
             out.insert(0, k, v)
         return out
@@ -199,7 +199,7 @@ def chosen_period(candidates: DataFrame) -> DataFrame:
 
 def lag_correlation(series: DataFrame, k: int = 1) -> DataFrame:
     """Pearson correlation of the values present with those k places on; null where one side is constant."""
-    pairs = series.where("y IS NOT NULL").select("series_id", "y", F.lag("y", k).over(BY_TIME).alias("x")).where("x IS NOT NULL")
+    pairs = series.where("y IS NOT NULL").select("series_id", "y", F.lag("y", k).over(by_time()).alias("x")).where("x IS NOT NULL")
     sums = pairs.groupBy("series_id").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("a"), F.stddev_pop("y").alias("b"), F.count("*").alias("n"))
     return sums.select("series_id", F.when(F.col("n") >= 3, F.try_divide(F.col("c"), F.col("a") * F.col("b"))).alias("corr"))
 
@@ -211,7 +211,7 @@ def acf(series: DataFrame, max_lags: int = MAX_LAGS) -> DataFrame:
     some = series.where("y IS NOT NULL")
     centre = some.groupBy("series_id").agg(F.avg("y").alias("mu"), F.count("*").alias("n")).where("n >= 12")
     e = some.join(centre, "series_id").withColumn("e", F.col("y") - F.col("mu"))
-    shifted = e.select("series_id", "n", "e", *[F.lag("e", k).over(BY_TIME).alias(f"l{k}") for k in range(1, max_lags + 1)])
+    shifted = e.select("series_id", "n", "e", *[F.lag("e", k).over(by_time()).alias(f"l{k}") for k in range(1, max_lags + 1)])
     sums = shifted.groupBy("series_id", "n").agg(F.sum(F.col("e") * F.col("e")).alias("g0"), F.array(F.sum(F.col("e") * F.col("e")), *[F.sum(F.col("e") * F.col(f"l{k}")) for k in range(1, max_lags + 1)]).alias("g"))
     nlags = F.least(F.lit(max_lags), F.call_function("div", F.col("n"), F.lit(2)).cast("int"))
     r = F.transform(F.slice("g", F.lit(1), nlags + 1), lambda x: F.try_divide(x, F.col("g0")))
@@ -269,7 +269,8 @@ def stl(series: DataFrame, m: int, robust: bool = True) -> DataFrame:
         frame = frame.dropna(subset=["y"]).sort_values("ts", kind="stable")
         y = frame["y"].to_numpy(float)
         if len(y) < max(10, 2 * m):
-            return pd.DataFrame({"series_id": [], "ts": [], "observed": [], "trend": [], "seasonal": [], "resid": []})
+            nothing = frame.iloc[:0]
+            return nothing.assign(observed=nothing["y"], trend=nothing["y"], seasonal=nothing["y"], resid=nothing["y"]).drop(columns="y")
         trend, season, rest = kernels.stl(y, m, robust)
         return pd.DataFrame({"series_id": key[0], "ts": frame["ts"].to_numpy(), "observed": y, "trend": trend, "seasonal": season, "resid": rest})
 

@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import calendar
 
-BY_TIME = Window.partitionBy("series_id").orderBy("ts")
+def by_time():
+    return Window.partitionBy("series_id").orderBy("ts")
+
 POLICIES = ("sum", "mean", "first", "last")
 
 
@@ -40,7 +42,7 @@ def from_values(spark, values, series_id: str = "all") -> DataFrame:
 
 def with_position(series: DataFrame) -> DataFrame:
     """pos: the row's place in its series, from 0."""
-    return series.withColumn("pos", F.row_number().over(BY_TIME).cast("long") - 1)
+    return series.withColumn("pos", F.row_number().over(by_time()).cast("long") - 1)
 
 
 def present(series: DataFrame) -> DataFrame:
@@ -124,13 +126,13 @@ def align(y: DataFrame, exog: DataFrame | None) -> DataFrame | None:
 def deltas(series: DataFrame) -> DataFrame:
     """Microseconds from each time to the next."""
     at = calendar.micros(F.col("ts"))
-    return series.select("series_id", "ts", (at - F.lag(at).over(BY_TIME)).alias("delta_us")).where("delta_us IS NOT NULL")
+    return series.select("series_id", "ts", (at - F.lag(at).over(by_time())).alias("delta_us")).where("delta_us IS NOT NULL")
 
 
 def dominant_delta(series: DataFrame) -> DataFrame:
     """The most frequent gap of each series (of equals the one seen first), its count and its share."""
     at = calendar.micros(F.col("ts"))
-    gaps = series.select("series_id", (at - F.lag(at).over(BY_TIME)).alias("delta_us"), F.row_number().over(BY_TIME).alias("n")).where("delta_us IS NOT NULL")
+    gaps = series.select("series_id", (at - F.lag(at).over(by_time())).alias("delta_us"), F.row_number().over(by_time()).alias("n")).where("delta_us IS NOT NULL")
     counted = gaps.groupBy("series_id", "delta_us").agg(F.count("*").alias("count"), F.min("n").alias("first"))
     best = F.max_by("delta_us", F.struct("count", -F.col("first")))
     return counted.groupBy("series_id").agg(best.alias("delta_us"), F.max("count").alias("count"), (F.max("count") / F.sum("count")).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SeriesBundle, SeriesView, TransformedSeries, TransformPlan, TransformStepRecord
-from .series import BY_TIME, align, present, with_position
+from .series import by_time, align, present, with_position
 
 
 def lowest(series: DataFrame) -> float | None:
@@ -43,7 +43,7 @@ def detrend_linear(series: DataFrame, check: bool = True) -> DataFrame:
 def difference(series: DataFrame, lag: int = 1, order: int = 1) -> DataFrame:
     """y less the value `lag` rows before, `order` times; rows without a value go after each time."""
     for _ in range(order):
-        series = series.withColumn("y", F.col("y") - F.lag("y", lag).over(BY_TIME)).where("y IS NOT NULL")
+        series = series.withColumn("y", F.col("y") - F.lag("y", lag).over(by_time())).where("y IS NOT NULL")
     return series
 
 
