@@ -4,7 +4,8 @@ A rule is a host and the beginning of a path, written together (`example.net/en/
 subdomains, and every path that starts with its own. Each rule has a 64-bit XXH64 key; the keys lie sorted in a
 file that workers map into memory, beside the rules' full strings. A url is judged by probing the keys of each
 (host suffix at a label's start, path prefix of a length that some rule has) with a vectorised binary search;
-a hit counts only if the stored string is the probed one. The longest rule that fits wins (by characters).
+a hit counts only if the stored string is the probed one. The longest rule that fits wins (by characters; of equal
+ones that with the longer host).
 
 An index holds `max_rules` at most, so what is sent to the executors is bounded; longer lists are
 split into several indices by key, each is probed in turn, and the longest rule found so far is kept.
@@ -47,7 +48,8 @@ class DigestArray:
         given = dict(zip(strings, values, strict=True))
         keys = np.fromiter((xxhash.xxh64_intdigest(s.encode()) for s in given), np.uint64, len(given))
         order = np.argsort(keys, kind="stable")
-        texts = [list(given)[k].encode() for k in order]
+        names = list(given)
+        texts = [names[k].encode() for k in order]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         marks = np.fromiter(given.values(), np.uint8, len(given))[order]
         self.n = len(given)
@@ -131,13 +133,17 @@ def _probe(shared, lengths: list[int]):
             found = index.find(probes)
             for p in np.flatnonzero(found >= 0):
                 k, text = of[p], probes[p].decode()
-                if rule[k] is None or len(text) > len(rule[k]):
+                if rule[k] is None or _rank(text) > _rank(rule[k]):
                     rule[k], verdict[k] = text, BLOCK if index.values[found[p]] else ALLOW
             yield record_batch(page_id=batch.column("page_id"), host=hosts, path=paths, rule=_strings(rule), verdict=verdict)
 
     return work
 
 
+def _rank(rule: str) -> tuple[int, int]:
+    return len(rule), rule.index("/")
+
+
 def _strings(values):
     import pyarrow as pa
 

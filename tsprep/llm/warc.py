@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,27 +120,28 @@ def read_archive(content: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[st
             at += length + 4
 
 
-def _write(batches: Iterable[pa.RecordBatch]):
-    from pyspark import TaskContext
+def _write(archive_bytes: int):
+    def work(batches: Iterable[pa.RecordBatch]):
+        part, nth, records, size = TaskContext.get().partitionId(), 0, [], 0
 
-    part, nth, records, size = TaskContext.get().partitionId(), 0, [], 0
+        def archive():
+            return record_batch(archive=[f"{part:06d}-{nth:05d}.warc.zst"], content=[write_archive(records)])
 
-    def archive():
-        return record_batch(archive=[f"{part:06d}-{nth:05d}.warc.zst"], content=[write_archive(records)])
+        for batch in slices(batches, "html"):
+            for page, url, html, first, copy in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "copy")), strict=True):
+                record = record_bytes(page, url, html.encode("utf-8", "surrogatepass"), first if copy else None)
+                records.append(record)
+                size += len(record)
+                if size >= archive_bytes:
+                    yield archive()
+                    nth, records, size = nth + 1, [], 0
+        if records:
+            yield archive()
 
-    for batch in slices(batches, "html"):
-        for page, url, html, first, copy in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "copy")), strict=True):
-            record = record_bytes(page, url, html.encode("utf-8", "surrogatepass"), first if copy else None)
-            records.append(record)
-            size += len(record)
-            if size >= ARCHIVE_BYTES:
-                yield archive()
-                nth, records, size = nth + 1, [], 0
-    if records:
-        yield archive()
+    return work
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES, folder: str | None = None) -> DataFrame:
     """Writes a record for each row and returns the archives: archive, content."""
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -150,7 +152,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     joined = keyed.join(firsts, ["digest", "size"], "left")
     marked = joined.withColumn("copy", F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False)))
     folder = folder or new_folder(spark, "warc")
-    arrow_map(marked.select("page_id", "url", "html", "first_id", "copy"), _write, "archive string, content binary").write.option("compression", "none").parquet(folder)
+    arrow_map(marked.select("page_id", "url", "html", "first_id", "copy"), _write(archive_bytes), "archive string, content binary").write.option("compression", "none").parquet(folder)
     return spark.read.parquet(folder)
 
 
