@@ -107,6 +107,23 @@ def test_ranged_positions(spark, gappy):
     assert got.pos.tolist() == list(range(137)) * 2
 
 
+def test_long_series_in_ranges(spark, gappy):
+    y, s = gappy
+    both = s.unionByName(s.withColumn("series_id", sr.F.lit("b")))
+    for block in (14, 50, 1000):
+        got = pulled(sr.ranged_rolling(both, 14, block, 5).where("series_id = 'b'"))
+        want = pd.Series(y, dtype=float).rolling(14, min_periods=4)
+        assert np.allclose(got.rolling_mean, want.mean(), equal_nan=True) and np.allclose(got.rolling_var, want.var(), equal_nan=True)
+    rows = [(g, k, None if k % 5 == 0 else k * k) for g in ("a", "b") for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(3)
+    for n in (1, 2, 7, 60):
+        got = {(r.g, r.o): r.before for r in sr.with_previous(df, ["g"], "o", "v", n).collect()}
+        assert got == {(g, k): None if k == 0 or (k - 1) % 5 == 0 else (k - 1) ** 2 for g, k, _ in rows}
+    assert sr.with_previous(df.where("g = 'a'"), [], "o", "v", 4).where("before IS NULL").count() == 13
+    with pytest.raises(ValueError):
+        sr.ranged_rolling(s, 14, 5)
+
+
 def test_rolling_like_pandas(spark, gappy):
     y, s = gappy
     want = pd.Series(y, dtype=float).rolling(14, min_periods=4)

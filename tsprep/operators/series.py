@@ -49,15 +49,20 @@ def present(series: DataFrame) -> DataFrame:
     return series.where("y IS NOT NULL")
 
 
+def in_ranges(df: DataFrame, order: Column, n_ranges: int | None = None) -> DataFrame:
+    """df with __range: which of n stretches of the order (whole numbers) a row lies in; the ends are approximate quantiles."""
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(ends))]) if ends else F.array().cast("array<bigint>")
+    # Never null, or the optimizer infers a filter on the lambda that loses its columns under a window.
+    return df.withColumn("__range", F.coalesce(F.size(F.filter(cuts, lambda e: e <= order)), F.lit(0)))
+
+
 def ranged_positions(series: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """Places in long series without gathering them: rows are placed within ranges of time, and the counts of the ranges before are added.
 
-    The ranges' ends are approximate quantiles, so few; the counts are one row for each range and series. Ties of ts stay in some order."""
-    n = n_ranges or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = calendar.micros(F.col("ts"))
-    ends = series.agg(F.percentile_approx(at, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(ends))]) if ends else F.array().cast("array<bigint>")
-    ranged = series.withColumn("__range", F.size(F.filter(cuts, lambda e: e <= at)))
+    The counts are one row for each range and series. Ties of ts stay in some order."""
+    ranged = in_ranges(series, calendar.micros(F.col("ts")), n_ranges)
     counts = ranged.groupBy("series_id", "__range").count()
     before = Window.partitionBy("series_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).drop("count")
@@ -66,6 +71,34 @@ def ranged_positions(series: DataFrame, n_ranges: int | None = None) -> DataFram
     return local.join(counts, ["series_id", "__range"]).withColumn("pos", F.col("__before") + F.col("__local")).drop("__range", "__before", "__local")
 
 
+def with_previous(df: DataFrame, keys: list[str], order: str, value: str, n_ranges: int | None = None) -> DataFrame:
+    """df with `before`, the value of the row before by order (a whole number) within the keys, without gathering a key's rows.
+
+    Within a range it is a window's lag; the first row of a range gets the last value of the range before."""
+    ranged = in_ranges(df, F.col(order).cast("long"), n_ranges)
+    inside = Window.partitionBy(*keys, "__range").orderBy(order)
+    local = ranged.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__lag", F.lag(value).over(inside))
+    lasts = ranged.groupBy(*keys, "__range").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("last"))
+    across = Window.partitionBy(*keys).orderBy("__range") if keys else Window.partitionBy(F.lit(0)).orderBy("__range")
+    lasts = lasts.withColumn("__last", F.lag("last").over(across)["v"]).drop("last")
+    joined = local.join(lasts, [*keys, "__range"])
+    return joined.withColumn("before", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__lag"))).drop("__range", "__first", "__lag", "__last")
+
+
+def ranged_rolling(series: DataFrame, window: int, block: int = 100_000, n_ranges: int | None = None) -> DataFrame:
+    """rolling_mean and rolling_var of long series, a block of rows at a time; each block sees the rows that its first windows need."""
+    if block < window:
+        raise ValueError("a block holds a window at least")
+    placed = ranged_positions(series, n_ranges).withColumn("__block", F.call_function("div", F.col("pos"), F.lit(block)))
+    early = (F.col("pos") % block) >= block - (window - 1)
+    both = F.when(early, F.array(F.col("__block"), F.col("__block") + 1)).otherwise(F.array(F.col("__block")))
+    spread = placed.withColumn("__in", F.explode(both))
+    w = Window.partitionBy("series_id", "__in").orderBy("pos").rowsBetween(-(window - 1), 0)
+    enough = F.count("y").over(w) >= max(2, window // 3)
+    done = spread.withColumn("rolling_mean", F.when(enough, F.avg("y").over(w))).withColumn("rolling_var", F.when(enough, F.var_samp("y").over(w)))
+    return done.where(F.col("__in") == F.col("__block")).select("series_id", "ts", "rolling_mean", "rolling_var", F.lit(window).alias("window"))
+
+
 def resample(series: DataFrame, rule: str, how: str = "sum") -> DataFrame:
     """One value for each bucket that has any; everything but "mean" sums. Buckets without values are left out."""
     f = calendar.frequency(rule)

@@ -361,6 +361,13 @@ def ranged_positions(spark, sf_dir):
     return sr.ranged_positions(sr.canonical(table(spark, sf_dir, "events"), "ts", "value", "event_type")).select("series_id", "ts", r("y", 6), "pos")
 
 
+@query(f"WITH h AS (SELECT event_type AS series_id, ts, value AS y FROM events) SELECT series_id, ts, CASE WHEN count(y) OVER w >= 17 THEN round(avg(y) OVER w, 8) + 0.0 END AS rolling_mean, CASE WHEN count(y) OVER w >= 17 THEN round(sqrt(var_samp(y) OVER w), 8) + 0.0 END AS rolling_std FROM h {ROLL}")
+def rolling_long_series(spark, sf_dir):
+    """Rolling figures over raw events, a block of rows at a time."""
+    found = sr.ranged_rolling(sr.canonical(table(spark, sf_dir, "events"), "ts", "value", "event_type"), 52, 500)
+    return found.select("series_id", "ts", r("rolling_mean", 8), r(F.sqrt("rolling_var"), 8, "rolling_std"))
+
+
 DFT = f"""{H}, q AS (SELECT series_id, y - avg(y) OVER () AS e, row_number() OVER (ORDER BY ts) - 1 AS t, count(*) OVER () AS n FROM h),
 k AS (SELECT unnest(generate_series(1, (SELECT max(n) // 2 FROM q))) AS k),
 f AS (SELECT series_id, k, any_value(n) AS n, sum(e * cos(2 * pi() * k * t / n)) AS c, sum(e * sin(2 * pi() * k * t / n)) AS s FROM q, k GROUP BY series_id, k),
