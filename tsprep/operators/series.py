@@ -49,13 +49,19 @@ def present(series: DataFrame) -> DataFrame:
     return series.where("y IS NOT NULL")
 
 
+MAX_RANGES = 512
+
+
 def in_ranges(df: DataFrame, order: Column, n_ranges: int | None = None) -> DataFrame:
-    """df with __range: which of n stretches of the order (whole numbers) a row lies in; the ends are approximate quantiles."""
-    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """df with __range: which of n stretches of the order (whole numbers) a row lies in; the ends are approximate quantiles.
+
+    The place is a plain sum of comparisons: the optimizer loses the columns of a lambda here. Nulls are in the first."""
+    n = min(MAX_RANGES, n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(ends))]) if ends else F.array().cast("array<bigint>")
-    # Never null, or the optimizer infers a filter on the lambda that loses its columns under a window.
-    return df.withColumn("__range", F.coalesce(F.size(F.filter(cuts, lambda e: e <= order)), F.lit(0)))
+    place = F.lit(0)
+    for e in sorted(set(ends)):
+        place = place + (order >= int(e)).cast("int")
+    return df.withColumn("__range", F.coalesce(place, F.lit(0)))
 
 
 def ranged_positions(series: DataFrame, n_ranges: int | None = None) -> DataFrame:
