@@ -47,6 +47,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = (state.n, state.h)
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written first, so that the join meets plain rows on either side and a node with very many edges can be split.
+        least = materialised(least)
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
