@@ -236,7 +236,7 @@ def test_dot_product_placing():
 
 def test_chunks_encode_like_whole_texts():
     tokenizer, encoder = Tokenizer.from_file(VOCABULARY), packing.ChunkEncoder(VOCABULARY)
-    texts = ["Don't <|endoftext|>A <|EndOfText|> it's WE'LL \x1c a\x85c\xa0d İstanbul İİ. ΣΑΣ ﬁ é. x9, 'tis. don't.,", "a., b.. c,. ., .. 9.", "ſt K Å", "", *[t for t in ODD if t]]
+    texts = ["Don't <|endoftext|>A <|EndOfText|> it's WE'LL \x1c a\x85c\xa0d İstanbul İİ. ΣΑΣ ﬁ é. x9, 'tis. don't.,", "a., b.. c,. ., .. 9.", "ſt K Å", "", "word!! x$$$ a|> b<|endoftext|>! c-'s d'!! <|endoftext|>, e_ é*** 9.. .a", *[t for t in ODD if t]]
     for _ in range(2):
         for got, t in zip(encoder.encode(texts), texts, strict=True):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids

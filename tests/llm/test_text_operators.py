@@ -266,6 +266,15 @@ def corpus(seed, n=40):
     return [*texts, "ab" * 300, "ab" * 200, "a" * 500, texts[3], None, "", "short", texts[5] + texts[5]]
 
 
+def test_parts_follow_each_other_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_PARTITIONS", 2)
+    texts = corpus(4)
+    want = removed_brute(list(enumerate(texts)), 100)
+    for r in suffix_dedup.remove_repeats(documents(spark, texts).repartition(3), part_bytes=500).collect():
+        data = (r.row.text or "").encode()
+        assert bytes(r.kept) == bytes(np.frombuffer(data, np.uint8)[~want[r.row.doc_id]])
+
+
 @pytest.mark.parametrize("options", [{}, {"hot_bucket": 0}, {"length": 50, "kgram": 16}, {"part_bytes": 2000}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_removal(spark, options, seed):
@@ -372,6 +381,7 @@ def test_quality(spark):
     rows = quality.score(docs, model).collect()
     assert all((r.quality_score >= 0.7) == (r.doc_id < 150) for r in rows) and all(0 <= r.quality_score <= 1 for r in rows)
     assert rows[0].part == 1 and rows[0].score == 3.0
+    assert quality.score(docs, model, into="score").columns == [*[c for c in docs.columns if c != "score"], "score"]
     odd = {r.doc_id: r.quality_score for r in quality.score(documents(spark, ODD), model).collect()}
     assert len(odd) == len(ODD) and odd[0] == odd[1] and odd[8] == odd[9]
     assert quality.score(docs.limit(0), model).count() == 0

@@ -40,11 +40,57 @@ def plan_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
-def partitions(df: DataFrame, bytes_each: int) -> int:
-    """Shuffle partitions for df: the session's number, more if the input's size asks for it."""
+#: Partitions of a shuffle at most; beyond it, several parts of the data follow each other in one partition.
+MAX_PARTITIONS = 20_000
+
+
+def parts_of(df: DataFrame, bytes_each: int) -> int:
+    """In how many parts to work on df: the session's shuffle partitions, more if the input's size asks for it."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((plan_bytes(df) or 0) / bytes_each))
 
 
+def partitions(df: DataFrame, bytes_each: int) -> int:
+    return min(parts_of(df, bytes_each), MAX_PARTITIONS)
+
+
+def by_part(df: DataFrame, n: int, *then) -> DataFrame:
+    """Rows with a column part (0 to n-1) in partitions that hold a part each, or several in a row; sorted by part and then."""
+    spread = df.repartitionById(n, F.col("part")) if n <= MAX_PARTITIONS else df.repartition(MAX_PARTITIONS, "part")
+    return spread.sortWithinPartitions("part", *then)
+
+
+def each_part(work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work on the batches of each part by itself; rows come sorted by part."""
+
+    def pieces(batches):
+        for batch in batches:
+            part = batch.column("part").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    yield int(part[a]), batch.slice(a, b - a)
+
+    def run(batches):
+        source = pieces(batches)
+        head = next(source, None)
+        while head is not None:
+            now = head[0]
+
+            def own(now=now):
+                nonlocal head
+                while head is not None and head[0] == now:
+                    batch = head[1]
+                    head = next(source, None)
+                    yield batch
+
+            group = own()
+            yield from work(group)
+            for _ in group:
+                pass
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id's text leaves 2 when divided by 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

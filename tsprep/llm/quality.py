@@ -189,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model().fit(x, np.array([r.label for r in found], np.float64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs (all its columns) with `quality_score` appended."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
+    """docs with all its columns and the score in the column `into`, which takes the place of one of that name."""
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
@@ -200,6 +201,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = pickle.loads(shared.value)
         for batch in slices(batches, text, rows=256, max_bytes=2 << 20):
             scores = found.score(matrix(batch.column(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, into])
 
-    return arrow_map(docs, work, ", ".join([*own, "quality_score double"]))
+    return arrow_map(docs, work, ", ".join([*own, f"`{into}` double"]))

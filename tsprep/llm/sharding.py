@@ -14,14 +14,12 @@ the input's columns in a struct `row`, so that no name clashes.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, plan_bytes
+from .common import MAX_PARTITIONS, new_folder, parts_of
 
 #: Bytes of a bucket as the optimizer sees the input (Parquet's); in memory it is several times that.
 BUCKET_BYTES = 16 << 20
@@ -77,7 +75,7 @@ def external_shuffle(rows: DataFrame, n_shards: int, seed: int = 7, doc_id: str
     if n_shards < 1:
         raise ValueError("at least one shard")
     spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((plan_bytes(rows) or 0) / bucket_bytes))
+    n = parts_of(rows, bucket_bytes)
     h = F.xxhash64(F.col(doc_id), F.lit(seed))
     if not rows.where(F.col(doc_id).isNull()).select(doc_id).isEmpty():
         h = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text), F.lit(seed))).otherwise(h)
@@ -88,7 +86,7 @@ def external_shuffle(rows: DataFrame, n_shards: int, seed: int = 7, doc_id: str
         counts[b + 1] = k
     offsets = spark.sparkContext.broadcast(np.cumsum(counts)[:-1])
     keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), bucket.alias("bucket"), h.alias("h"))
-    keyed = keyed.repartition(n, "bucket").sortWithinPartitions("bucket", "h", F.col("row").getField(text)).select("bucket", "row")
+    keyed = keyed.repartition(min(n, MAX_PARTITIONS), "bucket").sortWithinPartitions("bucket", "h", F.col("row").getField(text)).select("bucket", "row")
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema)
     placed = keyed.mapInArrow(_shuffled(seed, offsets, n_shards), f"row struct<{fields}>, place struct<shard: int, slot: bigint>")
     folder = folder or new_folder(spark, "shards")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialised, partitions
+from .common import MAX_PARTITIONS, arrow_map, by_part, each_part, materialised, parts_of
 from .suffixes import PERIOD, CoverSample
 
 LENGTH, KGRAM = 100, 32
@@ -458,30 +458,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """row (the input's columns), kept (bytes), spans (start, end of each removed run) for each row of docs."""
     if kgram & (kgram - 1) or not kgram <= length - 1 or length - kgram > 255:
         raise ValueError("kgram must be a power of two under length and within 255 of it")
-    n = partitions(docs, part_bytes)
+    n = parts_of(docs, part_bytes)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     kind = dict(docs.dtypes)[doc_id]
     if kind not in ("bigint", "int", "smallint", "tinyint") or not ids.where("doc_id IS NULL").isEmpty() or not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         # Ids that are no order by themselves: rows are sorted once and numbered in that order.
         keyed = docs.select(row, F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-        keyed = keyed.repartitionByRange(n, F.col("i").asc_nulls_first(), "h").sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "text")
+        keyed = keyed.repartitionByRange(min(n, MAX_PARTITIONS), F.col("i").asc_nulls_first(), "h").sortWithinPartitions(F.col("i").asc_nulls_first(), "h", "text")
         keyed = materialised(keyed.select(F.monotonically_increasing_id().alias("doc_key"), "text", "row"))
     else:
         keyed = docs.select(F.col(doc_id).cast("long").alias("doc_key"), F.col(text).alias("text"), row)
     part = F.pmod(F.xxhash64("doc_key"), F.lit(n)).cast("int").alias("part")
     texts = keyed.select("doc_key", "text")
 
-    sent = arrow_map(texts, _anchored(length, kgram, n), _SENT).repartitionById(n, F.col("part"))
-    found = materialised(arrow_map(sent, _bucketed(length, n, hot_bucket), _SENT))
+    sent = by_part(arrow_map(texts, _anchored(length, kgram, n), _SENT), n)
+    found = materialised(arrow_map(sent, each_part(_bucketed(length, n, hot_bucket)), _SENT))
 
     def with_rows(blobs: DataFrame, rows: DataFrame) -> DataFrame:
         both = blobs.unionByName(rows.withColumn("kind", F.lit(-1)).withColumn("part", part), allowMissingColumns=True)
-        return both.repartitionById(n, F.col("part")).sortWithinPartitions(F.desc("kind"))
+        return by_part(both, n, F.desc("kind"))
 
-    spans = arrow_map(with_rows(found.where("kind = 2"), texts), _fetched(length, n), _SENT).repartitionById(n, F.col("part"))
-    more = arrow_map(spans, _sorted(length, n), _SENT)
+    spans = by_part(arrow_map(with_rows(found.where("kind = 2"), texts), each_part(_fetched(length, n)), _SENT), n)
+    more = arrow_map(spans, each_part(_sorted(length, n)), _SENT)
     ranges = found.where("kind = 1").unionByName(more)
     row_type = docs.select(row).schema["row"].dataType
     work = _removed(docs.columns.index(text))
-    return with_rows(ranges, keyed.select("doc_key", "row")).mapInArrow(work, f"row {row_type.simpleString()}, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    return with_rows(ranges, keyed.select("doc_key", "row")).mapInArrow(each_part(work), f"row {row_type.simpleString()}, kept binary, spans array<struct<start: bigint, end: bigint>>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, record_batch
+from .common import MAX_PARTITIONS, arrow_map, record_batch
 
 SCALE, K = 64, 20
 SHARD, LEAF, QUERY_BLOCK, GROUP = 4096, 128, 1024, 1 << 17
@@ -217,14 +217,14 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
     dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
 
     def blobs(rows, part, n, size, tree):
-        rows = rows.repartition(max(1, min(n, 4096)), "dim", part).sortWithinPartitions("dim", part, "vec_id", "v")
+        rows = rows.repartition(max(1, min(n, MAX_PARTITIONS)), "dim", part).sortWithinPartitions("dim", part, "vec_id", "v")
         return arrow_map(rows, _blobs(part, size, tree), "dim long, part int, nth int, blob binary")
 
     trees = blobs(kept.withColumn("grp", dealt(n_groups, 1)), "grp", n_groups, SHARD, True)
     asked = blobs(kept.where("is_query").withColumn("block", dealt(n_blocks, 2)), "block", n_blocks, 1 << 30, False)
     left = asked.select("dim", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), F.lit(0).alias("kind"), "nth", "blob")
     right = trees.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("part").alias("grp"), F.lit(1).alias("kind"), "nth", "blob")
-    work = left.unionByName(right).repartition(max(tasks, n_blocks * n_groups), "dim", "block", "grp").sortWithinPartitions("dim", "block", "grp", "kind", "nth")
+    work = left.unionByName(right).repartition(min(MAX_PARTITIONS, max(tasks, n_blocks * n_groups)), "dim", "block", "grp").sortWithinPartitions("dim", "block", "grp", "kind", "nth")
     found = arrow_map(work, _answers(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
