@@ -27,10 +27,14 @@ from .common import arrow_map, slices
 
 CAPACITY, END, MAX_SEGMENTS, BLOCK_PIECES = 2048, 1, 256, 1024
 #: Chunks whose ids a worker keeps at most; the memory is a few hundred bytes for each.
-CACHE = 250_000
+CACHE = 400_000
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Signs that a chunk may end with: not the apostrophe, which begins tokens with letters, nor what special tokens are written with.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
@@ -68,39 +72,40 @@ class ChunkEncoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = [w for w in set().union(*(p for p in parts if p)) if w not in known]
-        for w in new:
-            if w in older:
-                known[w] = older[w]
-        self._learn([w for w in new if w not in known])
+        new = set().union(*(p for p in parts if p)).difference(known)
+        again = new - new.difference(older)
+        known.update((w, older[w]) for w in again)
+        self._learn(new - again)
         get = known.__getitem__
         return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, parts, strict=True)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Stops and commas after a letter are tokens of their own: what stands before them is looked up without them."""
-        known, pairs, whole = self.known, [], []
+    def _learn(self, chunks: set[str]) -> None:
+        """Signs after a letter are a token of their own: what stands before them is looked up without them."""
+        known, pairs, whole = self.known, [], set()
         for w in chunks:
-            bare = w.rstrip(".,")
-            if bare and len(bare) < len(w) and bare[-1].isalpha() and bare[-1].lower()[-1].isalpha():
-                pairs.append((w, bare, w[len(bare) :]))
-            else:
-                whole.append(w)
-        more = {x for _, bare, tail in pairs for x in (bare, tail) if x not in known}
-        whole = list(more.union(whole))
-        words = [w for w in whole if w.isalpha()]
-        rest = [w for w in whole if not w.isalpha()]
+            if w[-1] in TAIL:
+                bare = w.rstrip(TAIL)
+                if bare and bare[-1].isalpha() and bare[-1].lower()[-1].isalpha():
+                    tail = w[len(bare) :]
+                    pairs.append((w, bare, tail))
+                    whole.add(bare)
+                    whole.add(tail)
+                    continue
+            whole.add(w)
+        whole = whole.difference(known)
+        words = list(filter(str.isalpha, whole))
+        rest = list(whole.difference(words))
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array([-1 if i is None else i for i in found.word_ids], np.int64)
-            ends = np.searchsorted(of, np.arange(len(some)), side="right") * 4
-            if len(of) and (of[-1] != len(some) - 1 or len(np.unique(of)) != len(some) or (np.diff(of) < 0).any()):
+            of = np.array(found.word_ids, float)
+            ends = np.searchsorted(of, np.arange(len(some)), side="right")
+            if len(of) != ends[-1] or (np.diff(ends, prepend=0) < 1).any() or not (np.diff(of) >= 0).all():
                 rest += some  # a word became several, as folding can make it
                 continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                known[w] = data[begin:end]
-                begin = end
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = (ends * 4).tolist()
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         known.update(zip(rest, self._encode(rest), strict=True))
         for w, bare, tail in pairs:
             known[w] = known[bare] + known[tail]
