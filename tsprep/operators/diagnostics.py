@@ -9,12 +9,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, kernels
 from ..model import SeriesView
-from .series import by_time, with_position
+from .series import by_time, whole_series, with_position
 from .transforms import values_of
 
 N_WINDOWS, TOP_K, MAX_LAGS, OUTLIER_Z = 12, 5, 60, 4.0
@@ -60,10 +60,10 @@ def rolling_ratio(series: DataFrame, window: int) -> DataFrame:
 
 def window_mean_variance(series: DataFrame, n_windows: int = N_WINDOWS) -> DataFrame:
     """Mean and variance of equal stretches of the values present; series of under 10 values have none."""
-    placed = values_of(series)
-    n = placed.groupBy("series_id").agg(F.count("*").alias("n"))
+    # The count shares the places' window, and the groups its partitioning: one shuffle in all.
+    placed = values_of(series).withColumn("n", F.count("*").over(whole_series()))
     bucket = F.call_function("div", F.lit(n_windows) * (F.col("pos") + 1) - 1, F.col("n")).cast("int")
-    parts = placed.join(n, "series_id").where("n >= 10").groupBy("series_id", bucket.alias("window")).agg(F.count("*").alias("len"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
+    parts = placed.where("n >= 10").groupBy("series_id", bucket.alias("window")).agg(F.count("*").alias("len"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
     return parts.where("len >= 3 AND mean > 0 AND var > 0").drop("len")
 
 
@@ -171,15 +171,13 @@ def periodogram(series: DataFrame) -> DataFrame:
     return _kernel(series, ["series_id"], work, "k int, freq double, power double")
 
 
-def spectral_peaks(spectrum: DataFrame, n: Column | None = None) -> DataFrame:
+def spectral_peaks(spectrum: DataFrame) -> DataFrame:
     """Periods of the strict inner maxima of a periodogram: m, the greatest power that rounds to it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series_id").orderBy("k")
-    marked = spectrum.withColumn("before", F.lag("power").over(w)).withColumn("after", F.lead("power").over(w))
-    size = spectrum.groupBy("series_id").agg(F.bround(F.max(F.col("k") / F.col("freq")), 0).cast("int").alias("n"))
+    size = F.bround(F.max(F.col("k") / F.col("freq")).over(whole_series()), 0).cast("int")
+    marked = spectrum.withColumn("before", F.lag("power").over(w)).withColumn("after", F.lead("power").over(w)).withColumn("n", size)
     top = marked.where("power > before AND power > after").withColumn("m", F.bround(F.lit(1.0) / F.col("freq"), 0).cast("int"))
-    kept = top.join(size, "series_id").where("m >= 2 AND m <= n div 2")
+    kept = top.where("m >= 2 AND m <= n div 2")
     return kept.groupBy("series_id", "m").agg(F.max("power").alias("power"))
 
 
@@ -208,9 +206,8 @@ def acf(series: DataFrame, max_lags: int = MAX_LAGS) -> DataFrame:
     """lag, acf, acf_lo, acf_hi, n: biased autocorrelations with Bartlett's bounds, up to half the values; none for under 12.
 
     All lags come from one window over the series, added up in one aggregate."""
-    some = series.where("y IS NOT NULL")
-    centre = some.groupBy("series_id").agg(F.avg("y").alias("mu"), F.count("*").alias("n")).where("n >= 12")
-    e = some.join(centre, "series_id").withColumn("e", F.col("y") - F.col("mu"))
+    some = series.where("y IS NOT NULL").withColumn("n", F.count("*").over(whole_series())).where("n >= 12")
+    e = some.withColumn("e", F.col("y") - F.avg("y").over(whole_series()))
     shifted = e.select("series_id", "n", "e", *[F.lag("e", k).over(by_time()).alias(f"l{k}") for k in range(1, max_lags + 1)])
     sums = shifted.groupBy("series_id", "n").agg(F.sum(F.col("e") * F.col("e")).alias("g0"), F.array(F.sum(F.col("e") * F.col("e")), *[F.sum(F.col("e") * F.col(f"l{k}")) for k in range(1, max_lags + 1)]).alias("g"))
     nlags = F.least(F.lit(max_lags), F.call_function("div", F.col("n"), F.lit(2)).cast("int"))
@@ -279,11 +276,9 @@ def stl(series: DataFrame, m: int, robust: bool = True) -> DataFrame:
 
 def seasonal_prototype(series: DataFrame, m: int) -> DataFrame:
     """Each row with the mean of its phase; null where m is under 2 or the series is shorter."""
-    from pyspark.sql import Window
-
     placed = values_of(series)
-    whole, phase = Window.partitionBy("series_id"), Window.partitionBy("series_id", F.pmod("pos", F.lit(max(m, 1))))
-    proto = F.when((F.lit(m) > 1) & (F.count("*").over(whole) >= m), F.avg("y").over(phase))
+    phase = Window.partitionBy("series_id", F.pmod("pos", F.lit(max(m, 1))))
+    proto = F.when((F.lit(m) > 1) & (F.count("*").over(whole_series()) >= m), F.avg("y").over(phase))
     return placed.select("series_id", "ts", "y", F.lit(m).alias("m"), proto.alias("proto"))
 
 

@@ -13,6 +13,10 @@ from ..functions import calendar
 def by_time():
     return Window.partitionBy("series_id").orderBy("ts")
 
+def whole_series():
+    return Window.partitionBy("series_id")
+
+
 POLICIES = ("sum", "mean", "first", "last")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SeriesBundle, SeriesView, TransformedSeries, TransformPlan, TransformStepRecord
-from .series import by_time, align, present, with_position
+from .series import align, by_time, present, whole_series, with_position
 
 
 def lowest(series: DataFrame) -> float | None:
@@ -31,13 +31,15 @@ def linear_trend(series: DataFrame) -> DataFrame:
 
 
 def detrend_linear(series: DataFrame, check: bool = True) -> DataFrame:
-    """y less its linear trend over all rows' places; a series with under three values is an error."""
-    placed = with_position(series)
-    fit = linear_trend(series)
-    if check and not fit.where("n_present < 3").isEmpty():
+    """y less its linear trend over all rows' places; a series with under three values is an error.
+
+    The trend is fitted over the window that gives the places, so that a series is shuffled once."""
+    if check and not series.groupBy("series_id").agg(F.count("y").alias("n")).where("n < 3").isEmpty():
         raise ValueError("a linear trend needs three values")
-    joined = placed.join(fit, "series_id")
-    return joined.select("series_id", "ts", (F.col("y") - (F.col("slope") * F.col("pos") + F.col("intercept"))).alias("y"))
+    placed = with_position(series).withColumn("pos", F.col("pos").cast("double"))
+    slope, intercept = F.regr_slope("y", "pos").over(whole_series()), F.regr_intercept("y", "pos").over(whole_series())
+    fitted = placed.withColumn("slope", slope).withColumn("intercept", intercept)
+    return fitted.select("series_id", "ts", (F.col("y") - (F.col("slope") * F.col("pos") + F.col("intercept"))).alias("y"))
 
 
 def difference(series: DataFrame, lag: int = 1, order: int = 1) -> DataFrame:
@@ -64,13 +66,20 @@ def detrend(series: DataFrame, how: str) -> DataFrame:
 
 
 class TransformEngine:
-    """Views of a bundle under a plan."""
+    """Views of a bundle under a plan. A log that has been checked and taken is not checked again."""
+
+    def __init__(self):
+        self._logs: list[tuple[DataFrame, float, DataFrame]] = []
 
     def variance(self, series: DataFrame, plan: TransformPlan) -> tuple[DataFrame, list[TransformStepRecord]]:
         plan.checked()
-        if plan.variance_transform == "log":
-            return log_transform(series, plan.boxcox_offset), [TransformStepRecord("log", {"offset": plan.boxcox_offset}, True)]
-        return series, []
+        if plan.variance_transform != "log":
+            return series, []
+        taken = next((out for of, offset, out in self._logs if of is series and offset == plan.boxcox_offset), None)
+        if taken is None:
+            taken = log_transform(series, plan.boxcox_offset).persist()
+            self._logs.append((series, plan.boxcox_offset, taken))
+        return taken, [TransformStepRecord("log", {"offset": plan.boxcox_offset}, True)]
 
     def raw(self, bundle: SeriesBundle) -> SeriesView:
         return SeriesView("raw", bundle.y, bundle.exog, [])
