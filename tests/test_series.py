@@ -75,6 +75,13 @@ def test_frequency_of_irregular_axes(spark):
     assert frequency.infer_frequency(sr.from_values(spark, [(t, 1) for t in fifteenths])).first().freq is None
 
 
+def test_frequencies_beside_a_series_of_one(spark):
+    one = sr.from_values(spark, [(START, 1)], "one")
+    two = sr.from_values(spark, [(START + timedelta(days=3 * k), k) for k in range(9)], "two")
+    got = {r.series_id: r.freq for r in frequency.infer_frequency(one.unionByName(two)).collect()}
+    assert got == {"one": None, "two": "3D"}
+
+
 def test_unknown_frequencies():
     for name in ("X", "0D", "W-FEB", "QS-SUN", ""):
         with pytest.raises(ValueError):

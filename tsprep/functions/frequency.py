@@ -5,7 +5,7 @@ makes a frequency is decided by rules on that one row, so an axis is never gathe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import calendar
@@ -15,6 +15,11 @@ DAY, HOUR = FIXED["D"], FIXED["h"]
 DOMINANT = 0.95
 
 
+def _kinds(small: Column) -> Column:
+    """How many values a small whole number takes, as bits of one number: no distinct aggregate, which would multiply the rows."""
+    return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), small.cast("int")))).cast("int")
+
+
 def axis_facts(series: DataFrame) -> DataFrame:
     """One row for each series: what `infer` and `fallback` decide by."""
     w = Window.partitionBy("series_id").orderBy("ts")
@@ -31,9 +36,9 @@ def axis_facts(series: DataFrame) -> DataFrame:
     )
     facts = rows.groupBy("series_id").agg(
         F.count("*").alias("rows"), F.min("months").alias("months_min"), F.max("months").alias("months_max"), F.min("ts").alias("start"),
-        F.count_distinct(F.month("ts")).alias("month_names"), F.bool_and(F.col("day") == 1).alias("cs"), F.bool_and(F.col("day") == F.col("last")).alias("ce"),
+        _kinds(F.month("ts")).alias("month_names"), F.bool_and(F.col("day") == 1).alias("cs"), F.bool_and(F.col("day") == F.col("last")).alias("ce"),
         F.bool_and((F.col("day") == 1) | (F.col("day") <= 3) & (F.col("weekday") == 0)).alias("bs"), F.bool_and((F.col("day") == F.col("last")) | (F.col("last") - F.col("day") < 3) & (F.col("weekday") == 4)).alias("be"),
-        F.count_distinct("weekday").alias("weekdays"), F.count_distinct("nth").alias("nths"), F.min("nth").alias("nth"), F.bool_and(business_gap | F.col("gap").isNull()).alias("business"), F.min("weekday").alias("weekday_min"),
+        _kinds(F.col("weekday")).alias("weekdays"), _kinds(F.col("nth")).alias("nths"), F.min("nth").alias("nth"), F.bool_and(business_gap | F.col("gap").isNull()).alias("business"), F.min("weekday").alias("weekday_min"),
         F.min_by("weekday", "ts").alias("weekday_first"), F.min_by("month", "ts").alias("month_first"),
     )
     return facts.join(by_gap, "series_id", "left")
@@ -95,6 +100,8 @@ def infer_frequency(series: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for f in frame.drop(columns=["start"]).astype(object).where(frame.drop(columns=["start"]).notna(), None).to_dict("records"):
+                # A series without gaps makes the others' whole numbers floats.
+                f = {k: int(v) if isinstance(v, float) and k != "share" else v for k, v in f.items()}
                 name = infer(f)
                 rows.append((f["series_id"], name or fallback(f), name is not None, f["share"]))
             yield pd.DataFrame(rows, columns=["series_id", "freq", "is_regular", "share"])
