@@ -76,11 +76,12 @@ def loglog_fit(points: DataFrame) -> DataFrame:
 
 
 def cv_by_season(series: DataFrame, freq_hint: str | None) -> DataFrame:
-    """Mean, deviation, count and their ratio for each season; series of under 10 values have none."""
+    """Mean, deviation, count and their ratio for each season; series of under 10 values have none.
+
+    A series' size is added up from its seasons, after they have been aggregated."""
     name, key = calendar.season_key(F.col("ts"), freq_hint)
-    some = series.where("y IS NOT NULL")
-    enough = some.groupBy("series_id").count().where("count >= 10").select("series_id")
-    parts = some.join(enough, "series_id", "left_semi").groupBy("series_id", key.alias("g")).agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.count("*").alias("count"))
+    parts = series.where("y IS NOT NULL").groupBy("series_id", key.alias("g")).agg(F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.count("*").alias("count"))
+    parts = parts.withColumn("n", F.sum("count").over(whole_series())).where("n >= 10")
     return parts.select("series_id", F.lit(name).alias("group"), "g", "mean", "std", "count", F.try_divide("std", "mean").alias("cv"))
 
 
@@ -105,12 +106,12 @@ def distribution(series: DataFrame) -> DataFrame:
 
 
 def mad_scores(series: DataFrame) -> DataFrame:
-    """Every value present with its robust z; series of under 10 values have none."""
-    some = series.where("y IS NOT NULL")
-    middle = some.groupBy("series_id").agg(F.median("y").alias("med"), F.count("*").alias("n")).where("n >= 10")
-    away = some.join(middle, "series_id")
-    spread = away.groupBy("series_id").agg((F.median(F.abs(F.col("y") - F.col("med"))) + 1e-9).alias("mad"))
-    return away.join(spread, "series_id").select("series_id", "ts", "y", (F.lit(0.6745) * (F.col("y") - F.col("med")) / F.col("mad")).alias("z"))
+    """Every value present with its robust z; series of under 10 values have none. Both medians are taken where the series is."""
+    w = whole_series()
+    some = series.where("y IS NOT NULL").withColumn("n", F.count("*").over(w)).where("n >= 10")
+    away = some.withColumn("off", F.col("y") - F.median("y").over(w))
+    spread = away.withColumn("mad", F.median(F.abs("off")).over(w) + 1e-9)
+    return spread.select("series_id", "ts", "y", (F.lit(0.6745) * F.col("off") / F.col("mad")).alias("z"))
 
 
 def mad_outliers(series: DataFrame, threshold: float = OUTLIER_Z) -> DataFrame:
@@ -303,10 +304,10 @@ class DiagnosticsEngine:
         }
 
     def variance(self, view: SeriesView, flags: DataFrame) -> DataFrame:
-        """needs_stabilization, suggested_transform, the offset and Box-Cox's lambda; from flags that raw has made."""
+        """The flags that raw has made, with needs_stabilization, suggested_transform, the offset and Box-Cox's lambda."""
         needs = F.col("variance_scales_with_level") | F.coalesce(F.col("cv_std") < 0.25, F.lit(False))
         joined = flags.join(recommended_offset(view.y), "series_id", "left").join(boxcox_mle(view.y), "series_id", "left")
-        return joined.select("series_id", needs.alias("needs_stabilization"), F.when(needs, "log").otherwise("none").alias("suggested_transform"), F.coalesce("recommended_offset", F.lit(0.0)).alias("recommended_offset"), "boxcox_lambda_mle", "boxcox_llf")
+        return joined.select(*[F.col(c) for c in flags.columns], needs.alias("needs_stabilization"), F.when(needs, "log").otherwise("none").alias("suggested_transform"), F.coalesce("recommended_offset", F.lit(0.0)).alias("recommended_offset"), "boxcox_lambda_mle", "boxcox_llf")
 
     def periods(self, view: SeriesView, top_k: int = TOP_K) -> DataFrame:
         return period_candidates(view.y, top_k)

@@ -81,6 +81,11 @@ class TransformEngine:
             self._logs.append((series, plan.boxcox_offset, taken))
         return taken, [TransformStepRecord("log", {"offset": plan.boxcox_offset}, True)]
 
+    def release(self) -> None:
+        for _, _, taken in self._logs:
+            taken.unpersist()
+        self._logs.clear()
+
     def raw(self, bundle: SeriesBundle) -> SeriesView:
         return SeriesView("raw", bundle.y, bundle.exog, [])
 

@@ -469,9 +469,7 @@ SELECT series_id, round(slope, 6) + 0.0 AS slope_loglog, round(r2, 6) + 0.0 AS r
 def variance_flags(spark, sf_dir):
     engine, bundle = dg.DiagnosticsEngine(), SeriesBundle(daily(spark, sf_dir), freq="D")
     view = tr.TransformEngine().raw(bundle)
-    flags = engine.raw(view, "D")["flags"]
-    advice = engine.variance(view, flags).select("series_id", "needs_stabilization", "suggested_transform")
-    return flags.join(advice, "series_id").select("series_id", r("slope_loglog", 6), r("r2_loglog", 6), r("cv_std", 9), "variance_scales_with_level", "likely_multiplicative", "needs_stabilization", "suggested_transform")
+    return engine.variance(view, engine.raw(view, "D")["flags"]).select("series_id", r("slope_loglog", 6), r("r2_loglog", 6), r("cv_std", 9), "variance_scales_with_level", "likely_multiplicative", "needs_stabilization", "suggested_transform")
 
 
 @query("SELECT * FROM (VALUES ('orders', 'o_orderdate', 'o_custkey', 'o_orderkey,o_totalprice'), ('events', 'ts', 'value', '')) t(name, date_col, target_col, kept)")
@@ -544,7 +542,9 @@ def ingest_preview(spark, sf_dir):
 @query()
 def pipeline_summary(spark, sf_dir):
     """What a whole pre-modelling run of daily revenue decides."""
-    state = PreModelOrchestrator().run(SeriesBundle(daily(spark, sf_dir), "revenue", "D"))
+    engine = PreModelOrchestrator()
+    state = engine.run(SeriesBundle(daily(spark, sf_dir), "revenue", "D"))
+    engine.release(state)
     p, d = state.plan, state.diagnostics
     row = (p.variance_transform, p.boxcox_offset, p.seasonal_period_m, p.d, p.D, d.stationarity_selection["reason"], len(d.stationarity_table), d.acf_pacf.get("nlags"))
     return spark.createDataFrame([row], "variance_transform string, boxcox_offset double, m int, d int, D_ int, reason string, n_candidates int, nlags int")
@@ -554,7 +554,9 @@ def pipeline_summary(spark, sf_dir):
 def locked_pipeline(spark, sf_dir):
     """A run under locks: log, m = 7 and one seasonal difference as the plan says."""
     plan = with_changes(TransformPlan(), variance_transform="log", seasonal_period_m=7, D=1)
-    state = PreModelOrchestrator().run(SeriesBundle(daily(spark, sf_dir), "revenue", "D"), plan, True, True, True)
+    engine = PreModelOrchestrator()
+    state = engine.run(SeriesBundle(daily(spark, sf_dir), "revenue", "D"), plan, True, True, True)
+    engine.release(state)
     rows = [(r["D"], r["d"], r["m"], r["n"], r.get("adf_pvalue"), r.get("kpss_pvalue"), r.get("acf1"), r["pass_stationarity"]) for r in state.diagnostics.stationarity_table]
     return spark.createDataFrame(rows, "D_ int, d int, m int, n int, adf_pvalue double, kpss_pvalue double, acf1 double, pass_stationarity boolean")
 

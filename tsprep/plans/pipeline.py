@@ -87,6 +87,12 @@ class PreModelOrchestrator:
         self.diagnostics = diagnostics or DiagnosticsEngine()
         self.views = ViewBuilder(transforms)
 
+    def release(self, state: PreModelState) -> None:
+        """Gives back the memory of the views that a run has kept; they are made again where they are looked at."""
+        for view in state.views.values():
+            view.y.unpersist()
+        self.views.transforms.release()
+
     def run(self, bundle: SeriesBundle, manual_plan: TransformPlan | None = None, lock_m: bool = False, lock_variance: bool = False, lock_diffs: bool = False, compat_stl_view: bool = False) -> PreModelState:
         """compat_stl_view decomposes the differenced series instead of the one that can be interpreted."""
         plan = manual_plan or TransformPlan()
