@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, record_batch, slices
 
 #: Bounds of what is learned from: documents a language, characters of each, symbols a language, all symbols.
-DOCS_PER_LANGUAGE, CHARS_PER_DOC, SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL = 96, 2048, 32_768, 1_048_576
+DOCS_PER_LANGUAGE, CHARS_PER_DOC, SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL = 96, 2048, 32_768, 262_144
 #: Letters with a symbol of their own; all others share one that no sample holds.
 MAX_LETTERS = 120
 #: Symbols in a block; a phrase does not go over a block's end, so that all blocks are parsed in step.
