@@ -312,8 +312,9 @@ def bits_for(similarity: float, bits: int = 64 * 3) -> int:
 
 def _with_components(rows: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
-    by_fp = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = by_fp.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Written before they are joined with each other, so that a component with very many fingerprints can be split.
+    by_fp = materialised(ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = materialised(by_fp.groupBy("root").agg(F.min("least_id").alias("component_id")))
     return rows.join(by_fp.select("fp", "root").join(least, "root").drop("root"), "fp")
 
 
