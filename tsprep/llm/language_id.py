@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -71,6 +72,14 @@ def parser(goto: np.ndarray) -> np.ndarray:
     return np.vstack([table, 2 * begin + 1]).astype(np.int32)
 
 
+@lru_cache(maxsize=2)
+def classes(letters: tuple[str, ...]) -> np.ndarray:
+    """The symbol of each code point: 0 between words, then the letters, last all other letters. A worker makes it once."""
+    own = {c: k for k, c in enumerate(letters, 1)}
+    other = len(letters) + 1
+    return np.array([own.get(c.lower()[0], other) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.uint8)
+
+
 class Model:
     """Parsing tables of all languages one below the other, and the symbols of characters."""
 
@@ -80,12 +89,10 @@ class Model:
         seen = Counter(c.lower()[0] for texts in samples.values() for t in texts for c in t if c.isalpha())
         self.letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
         self.width = len(self.letters) + 2
-        self._classes = None
         share = min(SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL // max(1, len(samples)))
         tables, self.starts, self.bits, above = [], [], [], 0
         for texts in samples.values():
-            symbols, lengths = self.symbols([t + "\n" for t in texts])
-            symbols = symbols[:share]
+            symbols = self.symbols([t + "\n" for t in texts])[0][:share]
             table = parser(automaton(symbols.tolist(), self.width))
             tables.append(table + 2 * above)
             self.starts.append(above * self.width)
@@ -95,22 +102,10 @@ class Model:
         table = np.vstack(tables) if tables else np.zeros((1, self.width), np.int32)
         self.table = (((table >> 1) * self.width << 1) | (table & 1)).astype(np.int32).ravel()
 
-    def __getstate__(self):
-        return self.__dict__ | {"_classes": None}
-
-    @property
-    def classes(self) -> np.ndarray:
-        """The symbol of each code point: 0 between words, then letters, last all other letters."""
-        if self._classes is None:
-            own = {c: k for k, c in enumerate(self.letters, 1)}
-            other = self.width - 1
-            self._classes = np.array([own.get(c.lower()[0], other) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.uint8)
-        return self._classes
-
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, what is not a letter run together as one 0, and how many each text has."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        found = self.classes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        found = classes(tuple(self.letters))[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         ends = np.cumsum(lengths)
         before = np.zeros(len(found), np.uint8)
         before[1:] = found[:-1]
