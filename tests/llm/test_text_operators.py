@@ -367,6 +367,15 @@ def test_whole_items_are_found_everywhere(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_items_in_capitals_are_found(spark):
+    """Whatever the letter case of the document, figures as they were or changed."""
+    lower = ITEMS[1][1]
+    changed = ITEMS[0][1].replace("12", "25").replace("for 3", "for 9").replace("Ann 4", "Ann 7")
+    texts = [lower.upper(), lower.upper().replace(" ", "\n"), lower.title(), ITEMS[0][1].upper(), changed.upper(), changed.title(), ITEMS[0][1].lower()]
+    for options in ({}, {"max_build_words": 20}):
+        assert [g[:2] for g in leaks(spark, texts, **options)] == [(0, 2), (1, 2), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1)]
+
+
 # --- quality
 
 

@@ -2,7 +2,8 @@
 
 Words of benchmark items and documents are canonicalised: lower-case without the signs around them, with numbers, units
 and names (capitalised within a sentence) replaced by typed placeholders, so that a question whose figures
-or names have been changed keeps its template. Windows of template words are hashed; the items' windows are the build side
+or names have been changed keeps its template. As capitals tell names only in ordinary writing, a second template leaves
+names as lower-case words: it finds items in documents of other letter case. Windows of template words are hashed; the items' windows are the build side
 of a hash join that each document's windows probe. A hit is checked word by word, and its slots for consistency: one
 value of the item always becomes one value of the document, and no two the same. What is left counts: a document
 is contaminated by an item if consistent windows cover `min_covered` of the item's words, or the whole of a shorter item.
@@ -81,8 +82,8 @@ class Lexicon(dict):
             self._new = []
         return found
 
-    def template(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts in a row: template codes, literal hashes, kinds; and where each text begins, with the end."""
+    def templates(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts in a row: kinds of each template (see TEMPLATES), literal hashes, kinds that words have within a sentence; and where each text begins, with the end."""
         words = [t.split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -91,8 +92,13 @@ class Lexicon(dict):
         first = np.zeros(len(at), bool)
         first[1:] = ends[:-1]
         first[bounds[:-1][sizes > 0]] = True
-        kind = np.where((kind == NAME) & first, LITERAL, kind)
-        return np.where(kind == LITERAL, literal, _CODES[kind]), literal, kind, bounds
+        named = np.where((kind == NAME) & first, LITERAL, kind)
+        caseless = np.where(kind == NAME, LITERAL, kind)
+        return [named, caseless], literal, kind, bounds
+
+
+def _codes(kind: np.ndarray, literal: np.ndarray) -> np.ndarray:
+    return np.where(kind == LITERAL, literal, _CODES[kind])
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -112,37 +118,43 @@ class Windows:
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED):
         self.min_covered = min_covered
         self.ids = [i for i, _ in items]
-        self.code, self.literal, self.kind, self.bounds = Lexicon().template(["" if t is None else t for _, t in items])
+        kinds, self.literal, self.kind, self.bounds = Lexicon().templates(["" if t is None else t for _, t in items])
+        self.codes = [_codes(k, self.literal) for k in kinds]
         sizes = np.diff(self.bounds)
         self.sizes = sorted({min(window, int(n)) for n in sizes if n >= min_words})
         self.tables = []
         for size in self.sizes:
-            hashes = window_hashes(self.code, size)
-            item = np.repeat(np.arange(len(items)), sizes)[: len(hashes)]
-            at = np.arange(len(hashes))
-            literals = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-            fine = (at + size <= self.bounds[item + 1]) & (np.minimum(window, sizes[item]) == size) & (sizes[item] >= min_words) & (2 * (literals[at + size] - literals[at]) >= size)
-            at, hashes, item = at[fine], hashes[fine], item[fine]
-            order = np.argsort(hashes, kind="stable")
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((size, hashes[order], at[order], item[order], sieve))
+            tables = []
+            for kind, code in zip(kinds, self.codes, strict=True):
+                hashes = window_hashes(code, size)
+                item = np.repeat(np.arange(len(items)), sizes)[: len(hashes)]
+                at = np.arange(len(hashes))
+                literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+                fine = (at + size <= self.bounds[item + 1]) & (np.minimum(window, sizes[item]) == size) & (sizes[item] >= min_words) & (2 * (literals[at + size] - literals[at]) >= size)
+                at, hashes, item = at[fine], hashes[fine], item[fine]
+                order = np.argsort(hashes, kind="stable")
+                sieve = np.zeros(1 << 20, bool)
+                sieve[(hashes >> np.uint64(44)).astype(np.int64)] = True
+                tables.append((hashes[order], at[order].astype(np.int32), item[order].astype(np.int32), sieve))
+            self.tables.append((size, tables))
 
     def matches(self, lexicon: Lexicon, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, words covered, slots changed) for each text and item that contaminates it."""
-        code, literal, kind, bounds = lexicon.template(texts)
+        kinds, literal, _, bounds = lexicon.templates(texts)
+        codes = [_codes(k, literal) for k in kinds]
         of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for size, hashes, places, items, sieve in self.tables:
-            own = window_hashes(code, size)
-            at = np.flatnonzero(sieve[(own >> np.uint64(44)).astype(np.int64)])
-            at = at[at + size <= bounds[of[at] + 1]]
-            low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], side="right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for k in range(a, b):
-                    q = int(places[k])
-                    if (code[p : p + size] == self.code[q : q + size]).all():
-                        hits.setdefault((int(of[p]), int(items[k])), []).append((p - q, q, size))
+        hits: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        for size, tables in self.tables:
+            for code, own_code, (hashes, places, items, sieve) in zip(codes, self.codes, tables, strict=True):
+                own = window_hashes(code, size)
+                at = np.flatnonzero(sieve[(own >> np.uint64(44)).astype(np.int64)])
+                at = at[at + size <= bounds[of[at] + 1]]
+                low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], side="right")
+                for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                    for k in range(a, b):
+                        q = int(places[k])
+                        if (code[p : p + size] == own_code[q : q + size]).all():
+                            hits.setdefault((int(of[p]), int(items[k])), set()).add((p - q, q, size))
         found = []
         for (text, item), own in hits.items():
             covered, changed = self._consistent(sorted(own), literal)
@@ -153,13 +165,16 @@ class Windows:
     def _consistent(self, hits: list[tuple[int, int, int]], literal: np.ndarray) -> tuple[int, int]:
         """The item's words that consistent windows cover at one shift or several, and its slots with another value.
 
-        Hits come by shift (document place - item place); each shift binds its slots anew."""
+        Hits come by shift (document place - item place); each shift binds its slots anew. Windows equal word by word always count."""
         covered: set[int] = set()
         changed: set[int] = set()
         shift, forth, back = None, {}, {}
         for own_shift, q, size in hits:
             if own_shift != shift:
                 shift, forth, back = own_shift, {}, {}
+            if (self.literal[q : q + size] == literal[q + own_shift : q + own_shift + size]).all():
+                covered.update(range(q, q + size))
+                continue
             slots = [(int(self.literal[j]), int(literal[j + shift]), j) for j in range(q, q + size) if self.kind[j] != LITERAL]
             if any(forth.get(a, b) != b or back.get(b, a) != a for a, b, _ in slots) or len({a for a, _, _ in slots}) != len({b for _, b, _ in slots}):
                 continue
