@@ -315,6 +315,15 @@ def test_removal_with_odd_ids(spark):
         suffix_dedup.remove_repeats(documents(spark, texts), kgram=33)
 
 
+def test_unlike_spans_of_one_anchor_stay(spark):
+    """Two strings with one anchor whose spans agree in the upper 32 bits of their hash."""
+    anchor = "reriuiemivhgyzznsvockqmytxygywnq"
+    texts = [anchor + "udrhkbhkujfgerfujkgeconmfqsbofgoyelryjqjppogevpfmiyfkfrwmcwebncepjar", anchor + "ctkhfqwfocrypjswycprytkcdybzwcrrqhcfwbgfcvgjormrncyvljoxdguamcspatef"]
+    records = np.concatenate([suffix_dedup.Hasher(100, 32).records([(k, 0, np.frombuffer(t.encode(), np.uint8))]) for k, t in enumerate(texts)])
+    assert records["key"][0] == records["key"][1] and not suffix_dedup.collapse(records)[1].any()
+    assert [(bytes(r.kept).decode(), r.spans) for r in suffix_dedup.remove_repeats(documents(spark, texts)).orderBy("row.doc_id").collect()] == [(t, []) for t in texts]
+
+
 def test_long_hash_is_sparks(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     got = [r.h for r in spark.createDataFrame([(v,) for v in values], "v long").select(F.xxhash64("v").alias("h")).collect()]
