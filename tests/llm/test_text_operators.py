@@ -214,6 +214,37 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id or 0) for r in simhash.one_of_each(twice, simhash.similar_documents(twice)).collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("hot", [2, 7, 50, 1000])
+def test_wide_hot_keys_are_exact(hot):
+    """Chains of rows under one key, in any order and whatever the group's bound, end in the components of all pairs."""
+    rng = np.random.default_rng(hot)
+    rows, keys = [], []
+    for key, n in ((3, 5), (4, 260), (5, 3), (6, 90)):
+        row = rng.integers(0, 1 << 63, 3, np.int64).astype(np.uint64)
+        for k in range(n):
+            row = row.copy() if k % 40 else rng.integers(0, 1 << 63, 3, np.int64).astype(np.uint64)
+            for bit in rng.choice(192, 20, replace=False):
+                row[bit // 64] ^= np.uint64(1 << int(bit) % 64)
+            rows.append(row)
+            keys.append(key)
+    rows, keys = np.array(rows), np.array(keys)
+    order = np.lexsort((rng.permutation(len(keys)), keys))
+    rows, keys = rows[order], keys[order]
+    batches = [common.record_batch(key=keys[a : a + 10], **{n: rows[a : a + 10, k].copy().view(np.int64) for k, n in enumerate(simhash.WIDE[:3])}) for a in range(0, len(keys), 10)]
+    edges = [(a, b) for out in simhash._linked(37, hot, simhash.WIDE[:3])(iter(batches)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    first = rows[:, 0].copy().view(np.int64).tolist()
+
+    def grouped(pairs):
+        root = {x: x for x in first}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {x: new if r == old else r for x, r in root.items()}
+        return {frozenset(x for x in root if root[x] == r) for r in root.values()}
+
+    near = [(first[a], first[b]) for a in range(len(rows)) for b in range(a) if keys[a] == keys[b] and np.bitwise_count(rows[a] ^ rows[b]).sum() <= 37]
+    assert grouped(edges) == grouped(near)
+
+
 # --- suffix sorting and removal
 
 

@@ -20,6 +20,7 @@ Columns other than id and text are ignored.
 from __future__ import annotations
 
 import math
+import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -222,20 +223,42 @@ def _keyed(by: str, carried: tuple[str, ...]):
     return work
 
 
+class _Earlier:
+    """The blocks of a hot key's rows that came so far, in a file that goes with this object."""
+
+    def __init__(self, words: int):
+        self.file, self.words, self.sizes = tempfile.TemporaryFile(), words, []
+
+    def __iter__(self):
+        self.file.seek(0)
+        for n in self.sizes:
+            yield np.frombuffer(self.file.read(n * self.words * 8), np.uint64).reshape(n, self.words)
+
+    def add(self, fps: np.ndarray) -> None:
+        self.file.seek(0, 2)
+        self.file.write(np.ascontiguousarray(fps).tobytes())
+        self.sizes.append(len(fps))
+
+
 def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
     """Rows sorted by key -> edges. Of keys with too many rows: with one word, the fingerprints themselves (b null);
-    with more, what is held is linked and one row of each component goes on."""
+    with more, a block of rows is linked within itself and with each of the key's earlier blocks, two held at a time."""
 
     def emit(a, b=None):
         b = pa.nulls(len(a), pa.int64()) if b is None else b.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(b)], ["a", "b"])
 
+    def meet(earlier, fps):
+        for block in earlier if len(fps) else ():
+            for a, b in forest(np.concatenate([block, fps]), max_bits):
+                yield emit(a, b)
+
     def work(batches):
-        keys, fps, hot = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.uint64), None
+        keys, fps, hot, earlier = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.uint64), None, None
         for batch in batches:
             k = batch.column("key").to_numpy(zero_copy_only=False)
             x = np.stack([_column(batch, n) for n in carried], 1)
-            if hot is not None:
+            if hot is not None and len(carried) == 1:
                 n = int(np.searchsorted(k, hot, side="right"))
                 if n:
                     yield emit(x[:n, 0])
@@ -247,6 +270,9 @@ def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
             if not len(keys):
                 continue
             tail = int(np.searchsorted(keys, keys[-1]))
+            if hot is not None and keys[-1] != hot:
+                yield from meet(earlier, fps[: int(np.searchsorted(keys, hot, side="right"))])
+                hot = earlier = None
             if tail:
                 yield emit(*links_by_key(keys[:tail], fps[:tail], max_bits))
                 keys, fps = keys[tail:], fps[tail:]
@@ -254,10 +280,13 @@ def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
                 yield emit(fps[:, 0])
                 hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
             elif len(keys) > hot_group:
-                a, b = links_by_key(keys, fps, max_bits)
-                yield emit(a, b)
-                fps = fps[~np.isin(fps[:, 0], b)]
-                keys = keys[: len(fps)]
+                earlier = _Earlier(len(carried)) if hot is None else earlier
+                yield from meet(earlier, fps)
+                yield emit(*links_by_key(keys, fps, max_bits))
+                earlier.add(fps)
+                hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
+        if hot is not None and len(carried) > 1:
+            yield from meet(earlier, fps)
         if len(keys):
             yield emit(*links_by_key(keys, fps, max_bits))
 
