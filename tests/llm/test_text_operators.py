@@ -416,6 +416,23 @@ def test_items_in_capitals_are_found(spark):
         assert [g[:2] for g in leaks(spark, texts, **options)] == [(0, 2), (1, 2), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1)]
 
 
+def test_items_of_few_literal_words_are_found(spark):
+    """Verbatim copies of items that are mostly figures, units or names; changed ones only where half the words are literal."""
+    items = [
+        (1, "Convert 5 km to m and 30 min to s"),
+        (2, "10 20 30 40 50 60 70 80"),
+        (3, "Anna Berta Carl Dora Emil Franz Gustav Hans Ida Josef Klara Ludwig Martha Nora Otto"),
+        (4, "Tom sold the old red boat to a very rich man."),
+        (5, "5 km 3 min"),
+    ]
+    texts = [f"{start} {t} again" for start in ("we know that", "It is so.") for _, t in items]
+    texts += ["then Bob sold the old red boat to a very rich man", "So it is. Bob sold the old red boat to a very rich man.", "11 21 31 41 51 61 71 81", "6 km 4 min", "Convert 6 km to m and 40 min to s"]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"max_build_words": 20}):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.find(documents(spark, texts), table, **options).collect())
+        assert got == [*((k, k % 5 + 1) for k in range(10)), (10, 4), (11, 4)]
+
+
 # --- quality
 
 

@@ -3,7 +3,9 @@
 Words of benchmark items and documents are canonicalised: lower-case without the signs around them, with numbers, units
 and names (capitalised within a sentence) replaced by typed placeholders, so that a question whose figures
 or names have been changed keeps its template. As capitals tell names only in ordinary writing, a second template leaves
-names as lower-case words: it finds items in documents of other letter case. Windows of template words are hashed; the items' windows are the build side
+names as lower-case words: it finds items in documents of other letter case. In a third one names are names at the start of a
+sentence too, so that an item's first word may change wherever a copy stands; a fourth has all words as they are, lower-case,
+and finds verbatim copies however few of their words are literal. Windows of template words are hashed; the items' windows are the build side
 of a hash join that each document's windows probe. A hit is checked word by word, and its slots for consistency: one
 value of the item always becomes one value of the document, and no two the same. What is left counts: a document
 is contaminated by an item if consistent windows cover `min_covered` of the item's words, or the whole of a shorter item.
@@ -12,7 +14,8 @@ The build side is bounded: a benchmark of more than `max_build_words` words is s
 that are probed one after the other, each exactly.
 
 Defined results: null or empty texts and items match nothing; items with under `min_words` words are skipped, as they
-would hit clean documents; windows with fewer than half their words literal are skipped. Repeated items and
+would hit clean documents; windows with fewer than half their words literal count only
+where all their words are the same. Repeated items and
 rows each count. A document is reported once for each item that contaminates it.
 """
 
@@ -83,7 +86,7 @@ class Lexicon(dict):
         return found
 
     def templates(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts in a row: kinds of each template (see TEMPLATES), literal hashes, kinds that words have within a sentence; and where each text begins, with the end."""
+        """Of all texts in a row: kinds of each template (names within sentences, no names, names anywhere, all words as they are), literal hashes, kinds that words have within a sentence; and where each text begins, with the end."""
         words = [t.split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -94,7 +97,7 @@ class Lexicon(dict):
         first[bounds[:-1][sizes > 0]] = True
         named = np.where((kind == NAME) & first, LITERAL, kind)
         caseless = np.where(kind == NAME, LITERAL, kind)
-        return [named, caseless], literal, kind, bounds
+        return [named, caseless, kind, np.zeros(len(at), np.uint8)], literal, kind, bounds
 
 
 def _codes(kind: np.ndarray, literal: np.ndarray) -> np.ndarray:
