@@ -214,6 +214,15 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id or 0) for r in simhash.one_of_each(twice, simhash.similar_documents(twice)).collect()) == [0, 1]
 
 
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(12)
+    line, rests = words_of(rng, 9) + " ", [words_of(rng, 120) for _ in range(8)]
+    texts = [line * 300 + r for r in rests] + [line * 3 + r for r in rests]
+    assert jaccard(texts[0], texts[1]) < 0.3 and jaccard(texts[0], texts[8]) == 1
+    comp = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    assert comp == {k: k % 8 for k in range(16)}
+
+
 @pytest.mark.parametrize("hot", [2, 7, 50, 1000])
 def test_wide_hot_keys_are_exact(hot):
     """Chains of rows under one key, in any order and whatever the group's bound, end in the components of all pairs."""
