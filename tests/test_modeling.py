@@ -104,6 +104,15 @@ def test_selection_rules(spark):
     table = spark.createDataFrame([("a", r["D"], r["d"], r["adf_pvalue"], r["kpss_pvalue"], r["acf1"]) for r in rows], "series_id string, D_ int, d int, adf_pvalue double, kpss_pvalue double, acf1 double")
     found = selection.selected_by_series(table).first()
     assert (found.D_, found.d, found.passed) == (1, 0, True)
+    # What rows say of themselves comes before their tests, and a candidate without a row is one that fails.
+    flagged = [row(0, 0, 0.01, 0.1, 0.9) | {"overdiff_flag": "hard"}, row(0, 1, 0.01, 0.1, 0.0)]
+    assert selection.select_stationary_candidate(pool, flagged)[0].plan.D == 1
+    stated = [row(0, 0, 0.01, 0.1, 0.0) | {"pass_stationarity": False}, row(1, 0, 0.9, 0.01, 0.0) | {"pass_stationarity": True}, row(0, 1, 0.01, 0.1, 0.0) | {"pass_stationarity": False}]
+    assert selection.select_stationary_candidate(pool, stated)[0].plan.d == 1
+    best, meta = selection.select_stationary_candidate(pool, [row(1, 0, 0.9, 0.01, 0.0)])
+    assert (best.plan.d, best.plan.D, meta["passed"], meta["any_candidates"]) == (0, 0, False, True)
+    table = spark.createDataFrame([("a", 0, 0, 0.01, 0.1, 0.9, "hard", True), ("a", 1, 0, 0.9, 0.01, 0.0, None, True), ("a", 0, 1, 0.01, 0.1, 0.0, "none", False)], "series_id string, D_ int, d int, adf_pvalue double, kpss_pvalue double, acf1 double, overdiff_flag string, pass_stationarity boolean")
+    assert selection.selected_by_series(table).select("D_", "d", "passed", "any_passed").first() == (1, 0, True, True)
     assert selection.candidate_grid(None, 2, 1) == [(0, 0), (0, 1), (0, 2)] and len(selection.candidate_grid(7, 2, 1)) == 6
 
 
