@@ -315,7 +315,7 @@ def test_parts_follow_each_other_in_few_partitions(spark, monkeypatch):
         assert bytes(r.kept) == bytes(np.frombuffer(data, np.uint8)[~want[r.row.doc_id]])
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_bucket": 0}, {"length": 50, "kgram": 16}, {"part_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"hot_bucket": 0}, {"length": 50, "kgram": 16}, {"part_bytes": 2000}, {"hot_records": 0}, {"hot_records": 2, "hot_bucket": 1, "part_bytes": 2000}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_removal(spark, options, seed):
     texts = corpus(seed)
@@ -355,8 +355,27 @@ def test_removal_with_odd_ids(spark):
         suffix_dedup.remove_repeats(documents(spark, texts), kgram=33)
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_records": 20}, {"hot_bucket": 20}])
+def test_removal_round_a_hot_anchor(spark, options):
+    """A passage in most documents, each with other text round it: its edges make one bucket with a span for each document."""
+    rng = random.Random(12)
+    passage = words_of(rng, 40)
+    texts = [words_of(rng, 30) + passage + words_of(rng, 30) if k % 5 else words_of(rng, 60) for k in range(150)]
+    want = removed_brute(list(enumerate(texts)), 100)
+    for r in suffix_dedup.remove_repeats(documents(spark, texts).repartition(6), **options).collect():
+        assert bytes(r.kept) == bytes(np.frombuffer(texts[r.row.doc_id].encode(), np.uint8)[~want[r.row.doc_id]]), r.row.doc_id
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    p = words_of(random.Random(9), 60)
+    docs = spark.createDataFrame([(k, p + str(k), (k, {"x y": 1}), k, k, k) for k in range(3)], "doc_id long, text string, `a-b` struct<`my col`: int, `m.n`: map<string, int>>, `a.b` int, `q``r` int, row int")
+    rows = suffix_dedup.remove_repeats(docs).orderBy("row.doc_id").collect()
+    assert [r.row.asDict()["a.b"] for r in rows] == [0, 1, 2] and rows[1].row["a-b"]["my col"] == 1 and rows[2].row["q`r"] == 2 and rows[2].row["row"] == 2
+    assert [len(bytes(r.kept)) for r in rows] == [len(p) + 1, 1, 1]
+
+
 def test_unlike_spans_of_one_anchor_stay(spark):
-    """Two strings with one anchor whose spans agree in the upper 32 bits of their hash."""
+    """Two strings with one anchor that a short hash of their spans took for one."""
     anchor = "reriuiemivhgyzznsvockqmytxygywnq"
     texts = [anchor + "udrhkbhkujfgerfujkgeconmfqsbofgoyelryjqjppogevpfmiyfkfrwmcwebncepjar", anchor + "ctkhfqwfocrypjswycprytkcdybzwcrrqhcfwbgfcvgjormrncyvljoxdguamcspatef"]
     records = np.concatenate([suffix_dedup.Hasher(100, 32).records([(k, 0, np.frombuffer(t.encode(), np.uint8))]) for k, t in enumerate(texts)])

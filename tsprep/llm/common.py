@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,14 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one where none is set and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tsprep-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -100,10 +104,20 @@ def learnable(doc_id: str = "doc_id") -> Column:
     return F.col(doc_id).isNotNull() & ~held_out(doc_id)
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression sees it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, where no name can clash with another."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 1024, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has few rows and, unless a single value is larger, few bytes."""
     for batch in batches:

@@ -6,18 +6,22 @@ they are sorted a bucket at a time, and only those that can have an equal at all
 
 1. Each start of a string belongs to an anchor, the leftmost place of least hash among the string's runs of KGRAM
    bytes. Equal strings have equal anchors at equal places, so the anchor's run is the bucket of the suffix.
-   Successive starts with one anchor make one record (bucket, bytes they span by hash, document, place). Records that
-   span the same bytes are collapsed to the first, within a task before the shuffle and then within the bucket: the
-   others' strings are repeats. Buckets with a single kind of span are done.
+   Successive starts with one anchor make one record (bucket, digest of the bytes they span, document, place). Equal spans
+   would lie side by side in the suffix order, so each enters the sort once: records that span the same bytes are
+   collapsed to the first, within a task before the shuffle and then within the bucket, and the others' strings
+   are repeats. Buckets with a single kind of span are then sorted already.
 2. The spans left are fetched and gathered by bucket. Buckets are suffix-sorted a bounded block at a time, with
    ties of the first bytes resolved by the ranks of a difference cover's sample (see suffixes.py). In each run of suffixes
    that agree in `length` bytes all but the earliest are repeats. Buckets with very many spans are split beforehand by
    the bytes that all strings of a few neighbouring starts share.
 3. Each document's repeated ranges meet its text.
 
+Hot anchors: a task that holds more than `hot_records` different spans of one key deals these records over all parts by
+their digests and leaves a mark at the key's own part, so that no part takes all of a passage's edges. Such a bucket is split
+into single strings, of which a task sends equal ones once.
+
 Shuffled arrays travel as one binary value for each task and partition, and the number of partitions follows the input.
-Collapsing relies on the 64 bits of the spans' hash, beside equal keys, and compares no bytes: N different spans around one
-anchor have about N^2 / 2^65 false meetings. What suffix sorting finds is compared byte by byte.
+Spans are the same where 128 bits of their SHA-256 are; what suffix sorting finds is compared byte by byte.
 
 Defined results: a null text is empty. Rows with a null id come before all others, rows that share an id are documents of
 their own in the order of their texts' hashes (rows equal in both: in some order). All columns of the input are kept.
@@ -25,13 +29,16 @@ their own in the order of their texts' hashes (rows equal in both: in some order
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MAX_PARTITIONS, arrow_map, by_part, each_part, materialised, parts_of
+from .common import MAX_PARTITIONS, arrow_map, by_part, each_part, materialised, parts_of, whole_row
 from .suffixes import PERIOD, CoverSample
 
 LENGTH, KGRAM = 100, 32
@@ -39,12 +46,14 @@ LENGTH, KGRAM = 100, 32
 PIECE, HELD, BLOCK = 1 << 20, 2_000_000, 2 << 20
 #: Spans of a bucket beyond which it is split, and the starts that share a part's key.
 HOT_BUCKET, STEP = 4096, 8
+#: Different spans of one key in a task's batch of records beyond which they are dealt over all parts.
+HOT_RECORDS = 1024
 PART_BYTES = 12 << 20
 
 _rng = np.random.default_rng(20240229)
-_BYTE, _BYTE2 = (_rng.integers(1, 2**63, 256, np.int64).astype(np.uint64) for _ in range(2))
-_BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("span", "<u8"), ("at", "<i8"), ("before", "u1"), ("after", "u1")])
+_BYTE = _rng.integers(1, 2**63, 256, np.int64).astype(np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("span", "<u8"), ("span2", "<u8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,12 +90,7 @@ class Hasher:
     """Anchors and spans of pieces of text."""
 
     def __init__(self, length: int, kgram: int):
-        self.length, self.kgram, self.power = length, kgram, np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> np.ndarray:
-        if len(self.power) < n:
-            self.power = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, _BASE2, np.uint64))])
-        return self.power[:n]
+        self.length, self.kgram = length, kgram
 
     def records(self, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
         """pieces: (document, place of its first byte, bytes), each at least `length` long."""
@@ -110,23 +114,16 @@ class Hasher:
         a = start[first]
         b = np.append(start[np.flatnonzero(first)[1:] - 1], start[-1])
         p = anchor[first].astype(np.int64)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE2[text] * self._powers(n))])
-        span = _mixed((total[b + self.length] - total[a]) * self._inverse(a))
+        data, digest = text.tobytes(), hashlib.sha256
+        spans = b"".join([digest(data[i:j]).digest()[:16] for i, j in zip(a.tolist(), (b + self.length).tolist(), strict=True)])
         piece = np.searchsorted(begins, a, side="right") - 1
         out = np.zeros(len(a), _RECORD)
         out["key"], out["before"], out["after"] = h[p], p - a, p - b
-        out["span"] = _mixed(span + (out["before"].astype(np.uint64) << np.uint64(8)) + out["after"])
+        out["span"], out["span2"] = np.frombuffer(spans, "<u8").reshape(-1, 2).T
         out["doc"] = np.array([q[0] for q in pieces], np.int64)[piece]
         out["at"] = a - begins[piece] + np.array([q[1] for q in pieces], np.int64)[piece]
         return out
 
-    def _inverse(self, at: np.ndarray) -> np.ndarray:
-        """The base's inverse to the power of each place."""
-        if not hasattr(self, "inverse") or len(self.inverse) <= at.max():
-            inv = np.uint64(pow(int(_BASE2), -1, 1 << 64))
-            self.inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(int(at.max()) + 1, inv, np.uint64))])
-        return self.inverse[at]
-
 
 def pieces_of(doc: int, text: bytes, length: int) -> list[tuple[int, int, np.ndarray]]:
     """A text as pieces whose starts follow each other; each has the bytes that its last string needs."""
@@ -136,9 +133,11 @@ def pieces_of(doc: int, text: bytes, length: int) -> list[tuple[int, int, np.nda
 
 def collapse(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records sorted by key, span, document and place; and which are not the first of their key and span."""
-    order = np.lexsort((records["at"], records["doc"], records["span"], records["key"]))
+    order = np.lexsort((records["at"], records["doc"], records["span2"], records["span"], records["key"]))
     r = records[order]
-    same = (r["key"][1:] == r["key"][:-1]) & (r["span"][1:] == r["span"][:-1])
+    same = np.ones(max(0, len(r) - 1), bool)
+    for f in ("key", "span", "span2"):
+        same &= r[f][1:] == r[f][:-1]
     return r, np.concatenate([[False], same]) if len(r) else np.zeros(0, bool)
 
 
@@ -146,7 +145,7 @@ def _ranges(records: np.ndarray, length: int) -> np.ndarray:
     """(document, from, to) of the bytes that the records' strings cover."""
     out = np.zeros(len(records), [("doc", "<i8"), ("from", "<i8"), ("to", "<i8")])
     out["doc"], out["from"] = records["doc"], records["at"]
-    out["to"] = records["at"] + records["before"] - records["after"] + length
+    out["to"] = records["at"].astype(np.int64) + records["before"] - records["after"] + length
     return merged(out)
 
 
@@ -213,8 +212,9 @@ def _texts(batch: pa.RecordBatch):
         yield key, text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _anchored(length: int, kgram: int, n: int):
-    """Documents -> their records by part of the key (kind 0), and ranges known to be repeats by part of the document (kind 1)."""
+def _anchored(length: int, kgram: int, n: int, hot_records: int):
+    """Documents -> their records by part of the key (kind 0), ranges known to be repeats by part of the document (kind 1),
+    and for hot keys records by part of the span (kind 4) with a mark at the part of the key (kind 5)."""
 
     def work(batches):
         hasher, held, count = Hasher(length, kgram), [], 0
@@ -226,8 +226,16 @@ def _anchored(length: int, kgram: int, n: int):
             for part, some in _dealt(ranges, _bucket(ranges["doc"], n)):
                 yield _sent(part, 1, _packed(some))
             first = r[~again]
-            for part, some in _dealt(first, (first["key"] % np.uint64(n)).astype(np.int64)):
+            keys, of, counts = np.unique(first["key"], return_inverse=True, return_counts=True)
+            hot = counts[of] > hot_records
+            part_of = lambda k: (k % np.uint64(n)).astype(np.int64)
+            for part, some in _dealt(first[~hot], part_of(first["key"][~hot])):
                 yield _sent(part, 0, _packed(some))
+            for part, some in _dealt(first[hot], part_of(first["span"][hot])):
+                yield _sent(part, 4, _packed(some))
+            marks = keys[counts > hot_records]
+            for part, some in _dealt(marks, part_of(marks)):
+                yield _sent(part, 5, some.tobytes())
 
         for batch in batches:
             for key, text in _texts(batch):
@@ -253,30 +261,34 @@ def _bucketed(length: int, n: int, hot_bucket: int):
     """One part's records -> ranges of repeats (kind 1) and the records whose spans must be sorted (kind 2), by part of the document."""
 
     def work(batches):
-        held = []
+        held = {0: [], 4: [], 5: []}
         for batch in batches:
             for k, kind in enumerate(batch.column("kind").to_pylist()):
                 blob = batch.column("blob")[k].as_buffer()
-                if kind == 0:
-                    held.append(_unpacked(blob, _RECORD))
-                else:
+                if kind == 1:
                     yield _sent(batch.column("part")[k].as_py(), 1, blob.to_pybytes())
-        if not held:
-            return
-        r, again = collapse(np.concatenate(held))
-        held.clear()
-        ranges = _ranges(r[again], length)
-        for part, some in _dealt(ranges, _bucket(ranges["doc"], n)):
-            yield _sent(part, 1, _packed(some))
-        r = r[~again]
-        _, at, counts = np.unique(r["key"], return_inverse=True, return_counts=True)
-        left = np.zeros(len(r), _LEFT)
-        for f in _RECORD.names:
-            left[f] = r[f]
-        left["hot"] = counts[at] > hot_bucket
-        left = left[counts[at] > 1]
-        for part, some in _dealt(left, _bucket(left["doc"], n)):
-            yield _sent(part, 2, _packed(some))
+                else:
+                    held[kind].append(np.frombuffer(blob, "<u8") if kind == 5 else _unpacked(blob, _RECORD))
+        marked = np.unique(np.concatenate(held[5])) if held[5] else np.zeros(0, np.uint64)
+        for kind in (0, 4):
+            if not held[kind]:
+                continue
+            r, again = collapse(np.concatenate(held[kind]))
+            held[kind].clear()
+            ranges = _ranges(r[again], length)
+            for part, some in _dealt(ranges, _bucket(ranges["doc"], n)):
+                yield _sent(part, 1, _packed(some))
+            r = r[~again]
+            _, at, counts = np.unique(r["key"], return_inverse=True, return_counts=True)
+            left = np.zeros(len(r), _LEFT)
+            for f in _RECORD.names:
+                left[f] = r[f]
+            # 1: split by what neighbouring strings share; 2: into single strings. A key has one and the same everywhere.
+            very = np.isin(r["key"], marked) if kind == 0 else np.ones(len(r), bool)
+            left["hot"] = np.where(very, 2, counts[at] > hot_bucket)
+            left = left[(counts[at] > 1) | very]
+            for part, some in _dealt(left, _bucket(left["doc"], n)):
+                yield _sent(part, 2, _packed(some))
 
     return work
 
@@ -320,16 +332,28 @@ def _parts(before: int, after: int):
 
 
 def _fetched(length: int, n: int):
-    """A part's texts and records -> spans with their bytes, by part of the bucket."""
+    """A part's texts and records -> spans with their bytes, by part of the bucket (kind 3).
+
+    Of equal single strings of hot buckets only the first is sent; the others are ranges of repeats (kind 1)."""
     split = _by_text()
 
     def work(batches):
         left, texts = split(batches, _LEFT)
         spans: list[tuple[int, int, int, int, int]] = []
         data: list[bytes] = []
+        single: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         size = 0
 
         def send():
+            again = []
+            for (route, own), places in single.items():
+                places.sort()
+                spans.append((route, *places[0], length, 0))
+                data.append(own)
+                again += [(doc, at, at + length) for doc, at in places[1:]]
+            ranges = merged(np.array(again, _RANGE))
+            for part, some in _dealt(ranges, _bucket(ranges["doc"], n)):
+                yield _sent(part, 1, _packed(some))
             array = np.array(spans, _SPAN)
             sizes = array["size"].astype(np.int64)
             joined = np.frombuffer(b"".join(data), np.uint8)
@@ -342,9 +366,16 @@ def _fetched(length: int, n: int):
         for batch in texts:
             for key, text in _texts(batch):
                 a, b = np.searchsorted(left["doc"], key), np.searchsorted(left["doc"], key, side="right")
-                for r in left[a:b].tolist():
-                    route, _, _, at, before, after, hot = r
+                for route, _, _, _, at, before, after, hot in left[a:b].tolist():
                     anchor = at + before
+                    if hot == 2:
+                        for shift in range(after, before + 1):
+                            start = anchor - shift
+                            own = text[start : start + length]
+                            single.setdefault((xxhash.xxh64_intdigest(own, route ^ shift), own), []).append((key, start))
+                            size += 16
+                        size += length
+                        continue
                     for more, less, shift in _parts(before, after) if hot else ((before, after, None),):
                         start = anchor - more
                         own = text[start : anchor - less + length]
@@ -358,7 +389,8 @@ def _fetched(length: int, n: int):
                 if size >= 8 << 20:
                     yield from send()
                     spans, data, size = [], [], 0
-        if spans:
+                    single.clear()
+        if spans or single:
             yield from send()
 
     return work
@@ -399,8 +431,11 @@ def _sorted(length: int, n: int):
     def work(batches):
         heads, contents = [], []
         for batch in batches:
-            for blob in batch.column("blob"):
+            for place, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 buffer = memoryview(blob.as_buffer())
+                if kind == 1:
+                    yield _sent(place, 1, bytes(buffer))
+                    continue
                 k = int.from_bytes(buffer[:8], "little")
                 end = 8 + k * _SPAN.itemsize
                 heads.append(_unpacked(buffer[8:end], _SPAN))
@@ -455,12 +490,12 @@ def _removed(text_at: int):
     return work
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kgram: int = KGRAM, hot_bucket: int = HOT_BUCKET, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, kgram: int = KGRAM, hot_bucket: int = HOT_BUCKET, hot_records: int = HOT_RECORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """row (the input's columns), kept (bytes), spans (start, end of each removed run) for each row of docs."""
     if kgram & (kgram - 1) or not kgram <= length - 1 or length - kgram > 255:
         raise ValueError("kgram must be a power of two under length and within 255 of it")
     n = parts_of(docs, part_bytes)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = whole_row(docs).alias("row")
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     kind = dict(docs.dtypes)[doc_id]
     if kind not in ("bigint", "int", "smallint", "tinyint") or not ids.where("doc_id IS NULL").isEmpty() or not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -473,7 +508,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     part = F.pmod(F.xxhash64("doc_key"), F.lit(n)).cast("int").alias("part")
     texts = keyed.select("doc_key", "text")
 
-    sent = by_part(arrow_map(texts, _anchored(length, kgram, n), _SENT), n)
+    sent = by_part(arrow_map(texts, _anchored(length, kgram, n, hot_records), _SENT), n)
     found = materialised(arrow_map(sent, each_part(_bucketed(length, n, hot_bucket)), _SENT))
 
     def with_rows(blobs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -485,4 +520,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ranges = found.where("kind = 1").unionByName(more)
     row_type = docs.select(row).schema["row"].dataType
     work = _removed(docs.columns.index(text))
-    return with_rows(ranges, keyed.select("doc_key", "row")).mapInArrow(each_part(work), f"row {row_type.simpleString()}, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    out = T.StructType([T.StructField("row", row_type), T.StructField("kept", T.BinaryType()), T.StructField("spans", span)])
+    return arrow_map(with_rows(ranges, keyed.select("doc_key", "row")), each_part(work), out)
