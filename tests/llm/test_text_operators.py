@@ -412,7 +412,7 @@ def test_decontamination(spark):
     texts = [filler, f"{filler} {ITEMS[0][1]} {filler}", f"so {changed}", f"we said {torn}", ITEMS[1][1], " ".join(ITEMS[1][1].split()[:6]) + filler, "too short", *ODD, ITEMS[1][1].upper().replace(" ", "\n")]
     for options in ({}, {"max_build_words": 20}):
         got = leaks(spark, texts, **options)
-        assert [g[:2] for g in got] == [(1, 1), (2, 1), (4, 2)] + ([(17, 2)] if (17, 2) in [g[:2] for g in got] else [])
+        assert [g[:2] for g in got] == [(1, 1), (2, 1), (4, 2), (6, 3), (17, 2)]
         assert dict((g[0], g[2]) for g in got)[1] == 0 and dict((g[0], g[2]) for g in got)[2] > 0
     kept = decontaminate.clean(documents(spark, texts), spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {g[0] for g in got} and kept.columns == documents(spark, texts).columns
@@ -461,6 +461,65 @@ def test_items_of_few_literal_words_are_found(spark):
         assert got == [*((k, k % 5 + 1) for k in range(10)), (10, 4), (11, 4)]
 
 
+def brute_matches(text, item, window=8, min_words=4, min_covered=13):
+    """Whether item contaminates text and how many slots changed, alignment by alignment, without hashes."""
+
+    def kinds_of(t):
+        lexicon = decontaminate.Lexicon()
+        words = t.split()
+        at = lexicon.look_up(words)
+        first = [k == 0 or bool(lexicon.ends[at[k - 1]]) for k in range(len(words))]
+        kind = lexicon.kind[at].tolist()
+        named = [0 if k == decontaminate.NAME and f else k for k, f in zip(kind, first, strict=True)]
+        return lexicon.hash[at].tolist(), [named, [0 if k == decontaminate.NAME else k for k in kind], kind, [0] * len(kind)]
+
+    (own, own_kinds), (doc, doc_kinds) = kinds_of(item), kinds_of(text)
+    n = min(window, len(own))
+    covered, kept = set(), set()
+    for shift in range(1 - len(own), len(doc)):
+        alike, other = set(), set()
+        for q in range(max(0, -shift), min(len(own) - n, len(doc) - n - shift) + 1):
+            here = range(q, q + n)
+            for t in range(4):
+                if t < 3 and (len(own) < min_words or 2 * sum(own_kinds[t][j] == 0 for j in here) < n):
+                    continue
+                if all(own_kinds[t][j] == doc_kinds[t][j + shift] and (own_kinds[t][j] or own[j] == doc[j + shift]) for j in here):
+                    (alike if all(own[j] == doc[j + shift] for j in here) else other).update(here)
+        pairs = {(own[j], doc[j + shift]) for j in alike | other if own_kinds[2][j]}
+        if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            alike |= other
+        covered |= alike
+        kept |= {j for j in alike if own[j] == doc[j + shift]}
+    return (len(covered - kept),) if own and len(covered) >= min(min_covered, len(own)) else None
+
+
+def test_decontamination_is_that_of_brute_force(spark):
+    rng = random.Random(31)
+    vocabulary = ["tom", "Tom", "Ann", "sold", "the", "old", "boat", "5", "7", "12", "km", "min", "for", "of.", "=", "rich"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(f"i{k}", say(rng.choice([1, 2, 3, 5, 9, 14, 20]))) for k in range(25)] + [("none", None), ("empty", " ")]
+    texts = []
+    for k in range(120):
+        item = rng.choice(items[:25])[1]
+        if k % 3 == 0:
+            swap = {"5": "8", "7": "9", "Tom": "Bob"} if k % 2 else {w: rng.choice(["1", "2", "3"]) for w in ("5", "7", "12")}
+            item = " ".join(swap.get(w, w) if k % 2 or rng.random() < 0.5 else w for w in item.split())
+        texts.append(f"{say(rng.randint(0, 20))} {item.upper() if k % 10 == 0 else item} {say(rng.randint(0, 20))}")
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate([*texts, None, ""])], "doc_id string, text string")
+    found = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    want = {(f"d{k}", i): got[0] for k, t in enumerate(texts) for i, item in items[:25] if (got := brute_matches(t, item))}
+    assert found == want and len(want) > 150 and any(want.values())
+
+
+def test_slots_of_an_alignment_hang_together(spark):
+    items = [(1, "Add 12 + 13 = 25 , 14 + 15 = 29 , 16 + 17 = 33"), (2, "she bought 5 pears and ate 5 pears before she went back home to sleep"), (3, "Solve 12 13 14 15 16"), (4, "Define entropy.")]
+    twisted = items[1][1].replace("5 pears and", "7 pears and").replace("ate 5", "ate 9")
+    texts = [items[0][1], twisted, items[1][1].replace("5", "8"), f"so {items[2][1]} now", "Now define entropy. Then go on"]
+    found = decontaminate.find(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed_slots) for r in found) == [(0, 1, 0), (2, 2, 2), (3, 3, 0), (4, 4, 0)]
+    assert decontaminate.find(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), min_verbatim_words=3).where("item_id = 4").isEmpty()
+
+
 # --- quality
 
 

@@ -118,7 +118,7 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 1024, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str | int, rows: int = 1024, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice has few rows and, unless a single value is larger, few bytes."""
     for batch in batches:
         if not batch.num_rows:

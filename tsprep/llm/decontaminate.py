@@ -6,17 +6,19 @@ or names have been changed keeps its template. As capitals tell names only in or
 names as lower-case words: it finds items in documents of other letter case. In a third one names are names at the start of a
 sentence too, so that an item's first word may change wherever a copy stands; a fourth has all words as they are, lower-case,
 and finds verbatim copies however few of their words are literal. Windows of template words are hashed; the items' windows are the build side
-of a hash join that each document's windows probe. A hit is checked word by word, and its slots for consistency: one
-value of the item always becomes one value of the document, and no two the same. What is left counts: a document
-is contaminated by an item if consistent windows cover `min_covered` of the item's words, or the whole of a shorter item.
+of a hash join that each document's windows probe. A hit is checked word by word. Windows at one alignment of item and document
+are checked together for slot consistency: one value of the item always becomes one value of the document, and no two the same;
+where that fails, only the alignment's windows that are equal word by word count. A document
+is contaminated by an item if what counts covers `min_covered` of the item's words, or the whole of a shorter item. A slot is
+changed where no alignment leaves its word as it was.
 
 The build side is bounded: a benchmark of more than `max_build_words` words is split by a hash of its items into blocks
 that are probed one after the other, each exactly.
 
-Defined results: null or empty texts and items match nothing; items with under `min_words` words are skipped, as they
-would hit clean documents; windows with fewer than half their words literal count only
-where all their words are the same. Repeated items and
-rows each count. A document is reported once for each item that contaminates it.
+Defined results: null or empty texts and items match nothing. Whole items are found word by word from `min_verbatim_words` words
+on (all, unless told otherwise); items with under `min_words` words, and windows with fewer than half their words literal, are found in no other way, as their
+templates would hit clean documents. Repeated items and
+rows each count. A document is reported once for each item that contaminates it. Ids may be of any type that can be sorted.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from itertools import groupby
+from operator import itemgetter
+from typing import Any
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, slices
 
-WINDOW, MIN_WORDS, MIN_COVERED, MAX_BUILD_WORDS = 8, 4, 13, 2_000_000
+WINDOW, MIN_WORDS, MIN_VERBATIM_WORDS, MIN_COVERED, MAX_BUILD_WORDS = 8, 4, 1, 13, 2_000_000
 #: Words that a worker keeps at most.
 LEXICON = 500_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -118,22 +124,22 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 class Windows:
     """The items' windows by hash, and their templates."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS, min_covered: int = MIN_COVERED):
+    def __init__(self, items: list[tuple[Any, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS, min_verbatim_words: int = MIN_VERBATIM_WORDS, min_covered: int = MIN_COVERED):
         self.min_covered = min_covered
         self.ids = [i for i, _ in items]
         kinds, self.literal, self.kind, self.bounds = Lexicon().templates(["" if t is None else t for _, t in items])
         self.codes = [_codes(k, self.literal) for k in kinds]
         sizes = np.diff(self.bounds)
-        self.sizes = sorted({min(window, int(n)) for n in sizes if n >= min_words})
+        self.sizes = sorted({min(window, int(n)) for n in sizes if n >= max(1, min_verbatim_words)})
         self.tables = []
         for size in self.sizes:
             tables = []
-            for kind, code in zip(kinds, self.codes, strict=True):
+            for kind, code, least in zip(kinds, self.codes, (min_words, min_words, min_words, min_verbatim_words), strict=True):
                 hashes = window_hashes(code, size)
                 item = np.repeat(np.arange(len(items)), sizes)[: len(hashes)]
                 at = np.arange(len(hashes))
                 literals = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-                fine = (at + size <= self.bounds[item + 1]) & (np.minimum(window, sizes[item]) == size) & (sizes[item] >= min_words) & (2 * (literals[at + size] - literals[at]) >= size)
+                fine = (at + size <= self.bounds[item + 1]) & (np.minimum(window, sizes[item]) == size) & (sizes[item] >= least) & (2 * (literals[at + size] - literals[at]) >= size)
                 at, hashes, item = at[fine], hashes[fine], item[fine]
                 order = np.argsort(hashes, kind="stable")
                 sieve = np.zeros(1 << 20, bool)
@@ -166,75 +172,74 @@ class Windows:
         return sorted(found)
 
     def _consistent(self, hits: list[tuple[int, int, int]], literal: np.ndarray) -> tuple[int, int]:
-        """The item's words that consistent windows cover at one shift or several, and its slots with another value.
-
-        Hits come by shift (document place - item place); each shift binds its slots anew. Windows equal word by word always count."""
+        """How many of the item's words count at any shift (document place - item place), and how many of them are the same at none. hits are sorted."""
         covered: set[int] = set()
-        changed: set[int] = set()
-        shift, forth, back = None, {}, {}
-        for own_shift, q, size in hits:
-            if own_shift != shift:
-                shift, forth, back = own_shift, {}, {}
-            if (self.literal[q : q + size] == literal[q + own_shift : q + own_shift + size]).all():
-                covered.update(range(q, q + size))
-                continue
-            slots = [(int(self.literal[j]), int(literal[j + shift]), j) for j in range(q, q + size) if self.kind[j] != LITERAL]
-            if any(forth.get(a, b) != b or back.get(b, a) != a for a, b, _ in slots) or len({a for a, _, _ in slots}) != len({b for _, b, _ in slots}):
-                continue
-            for a, b, j in slots:
-                forth[a], back[b] = b, a
-                if a != b:
-                    changed.add(j)
-            covered.update(range(q, q + size))
-        return len(covered), len(changed)
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, max_build_words: int):
+        kept: set[int] = set()
+        for shift, windows in groupby(hits, itemgetter(0)):
+            alike: set[int] = set()
+            other: set[int] = set()
+            for _, q, size in windows:
+                here = range(q, q + size)
+                (alike if (self.literal[q : q + size] == literal[q + shift : q + shift + size]).all() else other).update(here)
+            if other:
+                pairs = {(int(self.literal[j]), int(literal[j + shift])) for j in alike | other if self.kind[j] != LITERAL}
+                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                    alike |= other
+            covered |= alike
+            kept |= {j for j in alike if self.literal[j] == literal[j + shift]}
+        return len(covered), len(covered - kept)
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, max_build_words: int, limits: dict[str, int]):
     """Windows of the benchmark's items, a bounded block at a time."""
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
     words = rows.agg(F.sum(F.octet_length("text") / 5 + 1)).first()[0] or 0
     n = max(1, math.ceil(words / max_build_words))
     for k in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Windows([(r.item_id, r.text) for r in block.orderBy("item_id", "text").toLocalIterator()])
+        yield Windows([(r.item_id, r.text) for r in block.orderBy("item_id", "text").toLocalIterator()], **limits)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_build_words: int = MAX_BUILD_WORDS) -> DataFrame:
-    """doc_id, item_id, covered, item_words, changed_slots: a row for each document and item that contaminates it."""
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_build_words: int = MAX_BUILD_WORDS, **limits: int) -> DataFrame:
+    """doc_id, item_id, covered, item_words, changed_slots: a row for each document and item that contaminates it. limits: those of Windows."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = "doc_id long, item_id long, covered int, item_words int, changed_slots int"
-    kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("changed_slots", pa.int32())])
-    rows, out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), None
-    for windows in _blocks(benchmark, item_id, item_text, max_build_words):
+    item_type = benchmark.schema[item_id].dataType
+    counts = ("covered", "item_words", "changed_slots")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", item_type), *(T.StructField(c, T.IntegerType()) for c in counts)])
+    kind = to_arrow_type(item_type)
+    rows, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+    for windows in _blocks(benchmark, item_id, item_text, max_build_words, limits):
 
         def work(batches, shared=docs.sparkSession.sparkContext.broadcast(pickle.dumps(windows))):
             own, lexicon = pickle.loads(shared.value), Lexicon()
             for batch in slices(batches, "text", rows=512, max_bytes=4 << 20):
                 found = own.matches(lexicon, ["" if t is None else t for t in batch.column("text").to_pylist()])
-                ids = batch.column("doc_id").to_pylist()
-                lines = [(ids[t], own.ids[i], c, int(own.bounds[i + 1] - own.bounds[i]), s) for t, i, c, s in found]
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lines, strict=True), kinds, strict=True)], schema=kinds)
+                if found:
+                    at, item, covered, changed = zip(*found, strict=True)
+                    words = np.diff(own.bounds)[list(item)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array([own.ids[i] for i in item], kind), *(pa.array(c, pa.int32()) for c in (covered, words, changed))], ["doc_id", "item_id", *counts])
 
         part = arrow_map(rows, work, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_build_words: int = MAX_BUILD_WORDS) -> DataFrame:
-    """The rows of docs, all columns, that no item contaminates."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_build_words: int = MAX_BUILD_WORDS, **limits: int) -> DataFrame:
+    """The rows of docs, all columns, that no item contaminates. limits: those of Windows."""
     own_schema = docs.schema
-    for windows in _blocks(benchmark, item_id, item_text, max_build_words):
+    at = docs.columns.index(text)
+    for windows in _blocks(benchmark, item_id, item_text, max_build_words, limits):
 
         def work(batches, shared=docs.sparkSession.sparkContext.broadcast(pickle.dumps(windows))):
             import pyarrow as pa
 
             own, lexicon = pickle.loads(shared.value), Lexicon()
-            for batch in slices(batches, text, rows=512, max_bytes=4 << 20):
+            for batch in slices(batches, at, rows=512, max_bytes=4 << 20):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in own.matches(lexicon, ["" if t is None else t for t in batch.column(text).to_pylist()])]] = False
+                keep[[m[0] for m in own.matches(lexicon, ["" if t is None else t for t in batch.column(at).to_pylist()])]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, own_schema)
+        docs = arrow_map(docs, work, own_schema)
     return docs
