@@ -57,6 +57,61 @@ def test_cross_parsing(sample, text):
         assert got[0, k] == parse_brute(symbols.tobytes(), own.tobytes())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=60), st.lists(st.text("abc ", max_size=60), max_size=4), st.integers(1, 9), st.integers(1, 60))
+def test_phrases_go_over_the_ends_of_blocks(sample, texts, block, cells):
+    models = language_id.Model({"x": [sample], "y": [sample[::-1] + "a"]})
+    texts = [*texts, sample * 4]
+    old = language_id.BLOCK, language_id.CELLS
+    language_id.BLOCK, language_id.CELLS = block, cells
+    try:
+        got, sizes = models.phrases(texts)
+    finally:
+        language_id.BLOCK, language_id.CELLS = old
+    for row, name in zip(got, models.languages, strict=True):
+        own = models.symbols([{"x": sample, "y": sample[::-1] + "a"}[name] + "\n"])[0]
+        assert row.tolist() == [parse_brute(own.tobytes(), models.symbols([t])[0].tobytes()) for t in texts]
+
+
+def test_long_texts_are_parsed_whole():
+    """Phrases far longer than a block, and far more blocks than are parsed side by side."""
+    rng = random.Random(3)
+    sample = words_of(rng, 900)
+    model = language_id.Model({"x": [sample]})
+    text = sample * 3 + words_of(rng, 3000) + sample[100:4000]
+    own, _ = model.symbols([text])
+    assert model.phrases([text, "ab"])[0][0, 0] == parse_brute(model.symbols([sample + "\n"])[0].tobytes(), own.tobytes())
+
+
+def test_languages_of_many_letters(spark):
+    """Two languages of the same two thousand letters, told apart by how these follow each other; no two letters share symbols."""
+    letters = [chr(0x4E00 + k) for k in range(2000)]
+    rng = random.Random(4)
+
+    def say(turn, n=300):
+        at, out = rng.randrange(2000), []
+        for _ in range(n):
+            out.append(letters[at])
+            at = (at * turn + rng.randrange(3)) % 2000
+        return "".join(out)
+
+    texts = [say(7) for _ in range(40)] + [say(11) for _ in range(40)]
+    docs = documents(spark, texts, lang=["zh"] * 40 + ["ja"] * 40)
+    model = language_id.fit(docs.where("doc_id % 4 <> 0"))
+    assert len({model.symbols([c])[0].tobytes() for c in letters}) == 2000
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert all(got[k] == ("zh" if k < 40 else "ja") for k in range(80))
+
+
+def test_the_sample_is_of_whole_texts(spark):
+    texts = ["abcdef" * 30, "uvwxyz" * 50, "k" * 400]
+    docs = documents(spark, texts, lang=["en", "en", "de"])
+    model = language_id.fit(docs, max_chars=250)
+    assert set(model.letters) == set("abcdefk") and model.languages == ["de", "en"]
+    small = language_id.Model({"en": ["ab" * 50, "cd" * 50, "ef"]}, symbols_per_language=110)
+    assert small.bits == [float(np.log2(101 + 3))]
+
+
 def test_languages(spark):
     rng = random.Random(1)
     texts = [words_of(rng, 60, "aeionlrst") for _ in range(30)] + [words_of(rng, 60, "uöäkzwxyq") for _ in range(30)]

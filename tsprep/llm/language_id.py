@@ -5,6 +5,16 @@ right: each phrase is the longest string at that place which the language's samp
 contains none). A language's figure is phrases x log2(sample length) / symbols, an estimate of the
 cross-entropy in bits a symbol; the language with the least wins.
 
+Symbols: one for all that stands between words, one for each of the `MAX_LETTERS` commonest letters of the samples, and for
+any other letter the five hexadecimal digits of its code point, a symbol each, so that no two letters are one.
+Texts are parsed whole. For speed they are cut into blocks of BLOCK symbols that are parsed side by side as if each began anew;
+then every block is entered once more in the state that the one before it ends in, until both ways meet, which they
+do after a phrase or two. The phrases are those of one parse from end to end.
+
+What is learned from is a bounded sample of whole rows, all bounds being parameters of `fit`: `docs_per_language` rows of each language (those
+of least hash), of which whole texts are taken as long as they fit into `symbols_per_language`, or into the language's share of
+`symbols_in_all` where there are many languages. Texts over `max_chars` are drawn only where a language has no others; they are cut to it.
+
 Defined results: a null text, or one without letters, is `und` with score 0. Ties go to the language that sorts
 first. Repeated rows get equal results. Without any labelled row every text is `und`. Columns of the input
 other than the id and the text are ignored, whatever their names.
@@ -22,12 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, record_batch, slices
 
-#: Bounds of what is learned from: documents a language, characters of each, symbols a language, all symbols.
-DOCS_PER_LANGUAGE, CHARS_PER_DOC, SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL = 96, 2048, 32_768, 262_144
-#: Letters with a symbol of their own; all others share one that no sample holds.
-MAX_LETTERS = 120
-#: Symbols in a block; a phrase does not go over a block's end, so that all blocks are parsed in step.
-BLOCK = 512
+#: Bounds of what is learned from: rows of a language, characters of a text, symbols of a language, symbols in all.
+DOCS_PER_LANGUAGE, MAX_CHARS, SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL = 96, 4096, 40_960, 262_144
+MAX_LETTERS, DIGITS = 100, 5
+#: Symbols of a block, and cells that the parse of many blocks side by side keeps.
+BLOCK, CELLS = 512, 8 << 20
 UNDETERMINED = "und"
 
 
@@ -73,26 +82,29 @@ def parser(goto: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def classes(letters: tuple[str, ...]) -> np.ndarray:
-    """The symbol of each code point: 0 between words, then the letters, last all other letters. A worker makes it once."""
+def classes(letters: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its symbol (0 between words, then the letters, last all other letters) and the code point of its lower case.
+
+    A worker makes it once."""
     own = {c: k for k, c in enumerate(letters, 1)}
     other = len(letters) + 1
-    return np.array([own.get(c.lower()[0], other) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.uint8)
+    low = [c.lower()[0] if c.isalpha() else "" for c in map(chr, range(0x110000))]
+    return np.array([own.get(c, other) if c else 0 for c in low], np.uint8), np.array([ord(c) if c else 0 for c in low], np.int32)
 
 
 class Model:
     """Parsing tables of all languages one below the other, and the symbols of characters."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], symbols_per_language: int = SYMBOLS_PER_LANGUAGE, symbols_in_all: int = SYMBOLS_IN_ALL):
         samples = {k: v for k, v in sorted(samples.items()) if any(any(map(str.isalpha, t)) for t in v)}
         self.languages = list(samples)
         seen = Counter(c.lower()[0] for texts in samples.values() for t in texts for c in t if c.isalpha())
-        self.letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
-        self.width = len(self.letters) + 2
-        share = min(SYMBOLS_PER_LANGUAGE, SYMBOLS_IN_ALL // max(1, len(samples)))
+        self.letters = tuple(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS])
+        self.width = len(self.letters) + 17
+        share = min(symbols_per_language, symbols_in_all // max(1, len(samples)))
         tables, self.starts, self.bits, above = [], [], [], 0
         for texts in samples.values():
-            symbols = self.symbols([t + "\n" for t in texts])[0][:share]
+            symbols = self._sample(texts, share)
             table = parser(automaton(symbols.tolist(), self.width))
             tables.append(table + 2 * above)
             self.starts.append(above * self.width)
@@ -102,46 +114,98 @@ class Model:
         table = np.vstack(tables) if tables else np.zeros((1, self.width), np.int32)
         self.table = (((table >> 1) * self.width << 1) | (table & 1)).astype(np.int32).ravel()
 
+    def _sample(self, texts: list[str], room: int) -> np.ndarray:
+        """Whole texts in a row as long as they fit; the first alone is cut if it does not."""
+        found, sizes = self.symbols([t + "\n" for t in texts])
+        ends = np.cumsum(sizes)
+        parts = [found[: min(room, sizes[0])]]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if b - a <= room - sum(map(len, parts)):
+                parts.append(found[a:b])
+        return np.concatenate(parts)
+
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, what is not a letter run together as one 0, and how many each text has."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        found = classes(tuple(self.letters))[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        symbol_of, low = classes(self.letters)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = symbol_of[points]
         ends = np.cumsum(lengths)
         before = np.zeros(len(found), np.uint8)
         before[1:] = found[:-1]
         begins = (ends - lengths)[lengths > 0]
         before[begins] = 0
-        keep = (found > 0) | (before > 0)
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return found[keep], kept[ends] - kept[ends - lengths]
+        other = len(self.letters) + 1
+        places = np.where(found == other, DIGITS, (found > 0) | (before > 0))
+        upto = np.concatenate([[0], np.cumsum(places)])
+        out = np.repeat(found, places)
+        rare = np.flatnonzero(found == other)
+        if len(rare):
+            for k in range(DIGITS):
+                out[upto[rare] + k] = other + ((low[points[rare]] >> 4 * (DIGITS - 1 - k)) & 15)
+        return out, upto[ends] - upto[ends - lengths]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by language and text, and the symbols of each text."""
         symbols, sizes = self.symbols(texts)
-        counts = np.zeros((len(self.languages), len(texts)), np.int64)
         blocks = -(-sizes // BLOCK)
         text = np.repeat(np.arange(len(texts)), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
         length = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
-        order = np.argsort(-length, kind="stable")
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            counts += self._parse(symbols, start[some], length[some], text[some], len(texts))
+        counts = np.repeat((sizes > 0).astype(np.int64)[None], len(self.languages), 0)
+        entered = np.array(self.starts, np.int64)
+        step = max(1, CELLS // (BLOCK * max(1, len(self.languages))))
+        for at in range(0, len(text), step):
+            some = slice(at, at + step)
+            marks, entered = self._parse(symbols, start[some], length[some], nth[some] > 0, entered)
+            counts += np.stack([np.bincount(text[some], row, len(texts)) for row in marks]).astype(np.int64)
         return counts, sizes
 
-    def _parse(self, symbols, start, length, text, n) -> np.ndarray:
-        """length falls, so that the blocks still going are always the first."""
-        m = len(start)
-        state = np.repeat(np.array(self.starts, np.int64)[:, None], m, 1)
-        count = np.ones((len(self.starts), m), np.int32)
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        for t in range(int(length[0])):
+    def _parse(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, follows: np.ndarray, entered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New phrases by language and block, and the states after the last block.
+
+        follows: whether a block goes on where the one before it ends; the first then begins in the states `entered`."""
+        m, roots = len(start), np.array(self.starts, np.int64)[:, None]
+        # Blocks by falling length, so that those still going are always the first.
+        order = np.argsort(-length, kind="stable")
+        place = np.argsort(order, kind="stable")
+        s, longest = start[order], int(length.max())
+        active = np.searchsorted(-length[order], -np.arange(1, longest + 1), side="right")
+        state = np.repeat(roots, m, 1)
+        marks = np.zeros((len(roots), m), np.int64)
+        cells = np.empty((longest, len(roots), m), np.int32)
+        for t in range(longest):
             k = int(active[t])
-            cell = self.table[state[:, :k] + symbols[start[:k] + t]]
-            count[:, :k] += cell & 1
+            cell = self.table[state[:, :k] + symbols[s[:k] + t]]
+            cells[t, :, :k] = cell
+            marks[:, :k] += cell & 1
             state[:, :k] = cell >> 1
-        return np.stack([np.bincount(text, row, n) for row in count]).astype(np.int64)
+        alone, marks = state[:, place], marks[:, place]
+        ends, more = alone.copy(), np.zeros_like(marks)
+        first = np.concatenate([entered[:, None], alone[:, :-1]], 1)
+        lang, block = np.nonzero(np.repeat(follows[None], len(roots), 0))
+        while len(block):
+            added, left = np.zeros(len(block), np.int64), alone[lang, block]
+            live, here = np.arange(len(block)), first[lang, block]
+            for t in range(longest):
+                b = block[live]
+                cell, own = self.table[here + symbols[start[b] + t]], cells[t, lang[live], place[b]]
+                added[live] += (cell & 1) - (own & 1)
+                here = (cell >> 1).astype(np.int64)
+                apart, last = here != own >> 1, length[b] == t + 1
+                left[live[apart & last]] = here[apart & last]
+                live, here = live[apart & ~last], here[apart & ~last]
+                if not len(live):
+                    break
+            more[lang, block] = added
+            # Where a block ends otherwise than was taken for granted, the next one is entered anew.
+            again = (left != ends[lang, block]) & (block + 1 < m)
+            again[again] = follows[block[again] + 1]
+            ends[lang, block] = left
+            lang, block = lang[again], block[again] + 1
+            first[lang, block] = ends[lang, block - 1]
+        return marks + more, ends[:, -1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a symbol; the score is how far the best is ahead of the second, 0 to 1."""
@@ -159,18 +223,20 @@ class Model:
         return names.tolist(), np.where(some, np.clip(ahead, 0, 1), 0.0), np.where(some, ranked[0], 0.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def fit(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, max_chars: int = MAX_CHARS, symbols_per_language: int = SYMBOLS_PER_LANGUAGE, symbols_in_all: int = SYMBOLS_IN_ALL
+) -> Model:
     """A model of the rows with a language, from a bounded sample of each language's texts.
 
-    The sample is the texts of least hash; rows are cut to the sample before the shuffle, so that a frequent
-    language costs no more than a rare one."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, CHARS_PER_DOC).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
+    Rows are cut to the sample before the shuffle, so that a frequent language costs no more than a rare one."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), (F.length("text") > max_chars).alias("long"), F.substring("text", 1, max_chars).alias("text"))
+    first = Window.partitionBy("lang").orderBy("long", "h", "text")
     samples: dict[str, list[str]] = {}
     for row in rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).orderBy("lang", "n").toLocalIterator():
-        samples.setdefault(row.lang, []).append(row.text)
-    return Model({k: list(dict.fromkeys(v)) for k, v in samples.items()})
+        if not row.long or row.n == 1:
+            samples.setdefault(row.lang, []).append(row.text)
+    return Model({k: list(dict.fromkeys(v)) for k, v in samples.items()}, symbols_per_language, symbols_in_all)
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +246,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def work(batches):
         found = pickle.loads(shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", max_bytes=2 << 20):
             names, score, bits = found.predict(batch.column("text").to_pylist())
             yield record_batch(doc_id=batch.column("doc_id"), lang_pred=names, score=score, bits_per_symbol=bits)
 

@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(common.learnable()))
-    return language_id.identify(docs, model).withColumn("held_out", common.held_out())
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score", "bits_per_symbol")
 
 
 @query
