@@ -168,14 +168,16 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that connect what is connected among the rows of fps; each is compared only with those not reached yet."""
+def forest(fps: np.ndarray, max_bits: int, skip: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (first words) that connect what is connected among the rows of fps; each is compared only with those not reached yet.
+
+    skip: words at the front that only tell rows apart."""
     rest, edges = fps, []
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             here = frontier.pop()
-            near = _apart(rest, here) <= max_bits
+            near = _apart(rest[:, skip:], here[skip:]) <= max_bits
             if near.any():
                 reached, rest = rest[near], rest[~near]
                 edges.append((np.full(len(reached), here[0]), reached[:, 0]))
@@ -225,7 +227,7 @@ def _keyed(by: str, carried: tuple[str, ...]):
     return work
 
 
-class _Earlier:
+class Earlier:
     """The blocks of a hot key's rows that came so far, in a file that goes with this object."""
 
     def __init__(self, words: int):
@@ -282,7 +284,7 @@ def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
                 yield emit(fps[:, 0])
                 hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
             elif len(keys) > hot_group:
-                earlier = _Earlier(len(carried)) if hot is None else earlier
+                earlier = Earlier(len(carried)) if hot is None else earlier
                 yield from meet(earlier, fps)
                 yield emit(*links_by_key(keys, fps, max_bits))
                 earlier.add(fps)
