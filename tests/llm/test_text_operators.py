@@ -211,6 +211,33 @@ def test_links_are_exact(spark, hot):
         simhash.links(edges, 5)
 
 
+@pytest.mark.parametrize("full", [2, 30])
+def test_full_keys_are_split_exactly(monkeypatch, full):
+    monkeypatch.setattr(simhash, "FULL_GROUP", full)
+    rng = random.Random(full)
+    fps = list(dict.fromkeys([*near_fingerprints(rng, 400, 5), *(rng.getrandbits(40) for _ in range(60))]))
+    # Half of them share their lower segments, so that keys are full.
+    fps += [x >> 46 << 46 | 12345 for x in fps[:200]] + [x & ((1 << 46) - 1) for x in fps[200:300]]
+    fps = np.array(list(dict.fromkeys(fps)), np.uint64)
+    golay = simhash.Golay()
+    keys, at = simhash.fuzzy_keys(fps, golay)
+    order = np.lexsort((fps[at], keys))
+    a, b = simhash.links_by_key(keys[order], fps[at][order], 4, golay, dense=2)
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert (x ^ y).bit_count() <= 4
+        root[find(x)] = find(y)
+    want = components_brute(fps.tolist(), list(range(len(fps))), 4)
+    got = [find(int(x)) for x in fps]
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want)) < len(fps)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, k) for k in range(201, 260)]
@@ -242,73 +269,6 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
-def jaccard(a, b, words=5):
-    shingles = lambda t: {tuple(t.lower().split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))}
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def test_similar_documents(spark):
-    rng = random.Random(6)
-    base = [words_of(rng, 250) for _ in range(60)]
-    near, far = [], []
-    for t in base:
-        w = t.split()
-        for k in rng.sample(range(250), 2):
-            w[k] = "changed"
-        near.append(" ".join(w))
-        far.append(" ".join(t.split()[:125]) + " " + words_of(rng, 125))
-    assert min(jaccard(a, b) for a, b in zip(base, near, strict=True)) > 0.8 and max(jaccard(a, b) for a, b in zip(base, far, strict=True)) < 0.5
-    found = simhash.similar_documents(documents(spark, base + near + far + [base[0]]))
-    comp = {r.doc_id: r.component_id for r in found.collect()}
-    assert sum(comp[60 + k] == k for k in range(60)) >= 50
-    assert sum(comp[120 + k] == 120 + k for k in range(60)) >= 58 and comp[180] == 0
-    kept = simhash.one_of_each(documents(spark, base + near + far + [base[0]]), found)
-    assert {r.doc_id for r in kept.collect()} == {k for k, v in comp.items() if k == v}
-    twice = documents(spark, ["one", "one", "two"], [1, 1, None])
-    assert sorted((r.doc_id or 0) for r in simhash.one_of_each(twice, simhash.similar_documents(twice)).collect()) == [0, 1]
-
-
-def test_repeated_lines_count_once(spark):
-    rng = random.Random(12)
-    line, rests = words_of(rng, 9) + " ", [words_of(rng, 120) for _ in range(8)]
-    texts = [line * 300 + r for r in rests] + [line * 3 + r for r in rests]
-    assert jaccard(texts[0], texts[1]) < 0.3 and jaccard(texts[0], texts[8]) == 1
-    comp = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, texts)).collect()}
-    assert comp == {k: k % 8 for k in range(16)}
-
-
-@pytest.mark.parametrize("hot", [2, 7, 50, 1000])
-def test_wide_hot_keys_are_exact(hot):
-    """Chains of rows under one key, in any order and whatever the group's bound, end in the components of all pairs."""
-    rng = np.random.default_rng(hot)
-    rows, keys = [], []
-    for key, n in ((3, 5), (4, 260), (5, 3), (6, 90)):
-        row = rng.integers(0, 1 << 63, 3, np.int64).astype(np.uint64)
-        for k in range(n):
-            row = row.copy() if k % 40 else rng.integers(0, 1 << 63, 3, np.int64).astype(np.uint64)
-            for bit in rng.choice(192, 20, replace=False):
-                row[bit // 64] ^= np.uint64(1 << int(bit) % 64)
-            rows.append(row)
-            keys.append(key)
-    rows, keys = np.array(rows), np.array(keys)
-    order = np.lexsort((rng.permutation(len(keys)), keys))
-    rows, keys = rows[order], keys[order]
-    batches = [common.record_batch(key=keys[a : a + 10], **{n: rows[a : a + 10, k].copy().view(np.int64) for k, n in enumerate(simhash.WIDE[:3])}) for a in range(0, len(keys), 10)]
-    edges = [(a, b) for out in simhash._linked(37, hot, simhash.WIDE[:3])(iter(batches)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
-    first = rows[:, 0].copy().view(np.int64).tolist()
-
-    def grouped(pairs):
-        root = {x: x for x in first}
-        for a, b in pairs:
-            old, new = root[a], root[b]
-            root = {x: new if r == old else r for x, r in root.items()}
-        return {frozenset(x for x in root if root[x] == r) for r in root.values()}
-
-    near = [(first[a], first[b]) for a in range(len(rows)) for b in range(a) if keys[a] == keys[b] and np.bitwise_count(rows[a] ^ rows[b]).sum() <= 37]
-    assert grouped(edges) == grouped(near)
-
-
 # --- suffix sorting and removal
 
 

@@ -113,6 +113,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front of it until df has no column like it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of df in one struct, where no name can clash with another."""
     return F.struct(*[F.col(quoted(c)) for c in df.columns])

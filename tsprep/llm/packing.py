@@ -9,7 +9,7 @@ bounded and tasks are independent; a sequence's number is its task's partition a
 
 Defined results: a null text counts as empty, and its document is the end token alone. Ties in the
 dot product go to the example that comes first. Repeated rows are packed separately. With loss limits
-below the token limit a piece is cut so that it keeps within them. Columns other than id and text are ignored.
+below the token limit a piece is cut so that it keeps within them. Ids may be of any type. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, slices
 
 CAPACITY, END, MAX_SEGMENTS, BLOCK_PIECES = 2048, 1, 256, 1024
 #: Chunks whose ids a worker keeps at most; the memory is a few hundred bytes for each.
 CACHE = 400_000
-_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_REST = [("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("loss_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
 #: Signs that a chunk may end with: not the apostrophe, which begins tokens with letters, nor what special tokens are written with.
@@ -147,9 +149,11 @@ def place(demands: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     return bins
 
 
-def _packed(tokenizer_path: str, limits: np.ndarray):
+def _packed(tokenizer_path: str, limits: np.ndarray, id_type: pa.DataType):
     """Batches of doc_id, text (and prompt_tokens) -> pieces with their places."""
 
+    schema = pa.schema([("doc_id", id_type), *_REST])
+
     def work(batches):
         encode = encoder_of(tokenizer_path).encode
         base, counter = TaskContext.get().partitionId() << 33, 0
@@ -158,7 +162,7 @@ def _packed(tokenizer_path: str, limits: np.ndarray):
 
         def flush():
             nonlocal counter
-            out = [[] for _ in _OUT]
+            out = [[] for _ in schema]
             demands = np.array([[len(p[2]) // 4, 1, p[4]] for p in waiting], np.int64)
             for held in place(demands, limits):
                 offset = 0
@@ -169,7 +173,7 @@ def _packed(tokenizer_path: str, limits: np.ndarray):
                     offset += len(ids) // 4
                 counter += 1
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _OUT, strict=True)], schema=_OUT)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
         end = np.array([END], "<u4").tobytes()
         for batch in slices(batches, "text", rows=512, max_bytes=2 << 20):
@@ -197,5 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     limits = np.array([capacity, max_segments, capacity if max_loss_tokens is None else max_loss_tokens], np.int64)
     if (limits < 1).any():
         raise ValueError("limits are at least 1")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(None).cast("long")).alias("prompt_tokens"))
-    return arrow_map(rows, _packed(tokenizer_path, limits), "doc_id long, start long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(prompt_tokens).cast("long") if prompt_tokens else F.lit(None).cast("long")).alias("prompt_tokens"))
+    id_type = docs.schema[doc_id].dataType
+    rest = [T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n, _ in _REST]
+    return arrow_map(rows, _packed(tokenizer_path, limits, to_arrow_type(id_type)), T.StructType([T.StructField("doc_id", id_type), *rest]))

@@ -5,7 +5,7 @@ feature's bins to the loss's gradient and adds it to that feature's table. Then
 whose joint bins explain most of what is left get tables of their own, boosted the same way. The model is
 nothing but bin edges and tables, so a score is a sum of looked-up values, made for a whole batch at once.
 
-Learning uses a bounded sample of labels (MAX_SAMPLE), whose texts' figures are the only part that the driver sees. Defined results: null texts count as empty and get a score like any other; without
+Learning uses a bounded sample of labels (`max_sample`) with their whole texts, whose figures are the only part that the driver sees. Defined results: null texts count as empty and get a score like any other; without
 labelled rows every score is 0.5; with one class only it is near that class. Ties in a split go to the first;
 repeated rows get equal scores. Columns other than those named are ignored, whatever their names.
 """
@@ -20,11 +20,12 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, record_batch, slices
 
-#: Bounds of the sample: its rows, and the bytes of a text that are carried with a row (longer texts are not learned from).
-MAX_SAMPLE, MAX_SAMPLE_BYTES = 20_000, 1 << 20
+#: Labelled rows that are learned from at most.
+MAX_SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 32, 8, 10, 120, 60, 0.15, 3
 THRESHOLD = 0.7
 FEATURES = (
@@ -181,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     The sample is drawn from the labels, those of least hash of the id, so that it is small enough to be sent to the texts."""
     drawn = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_sample)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_SAMPLE_BYTES)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(drawn), "doc_id").select("text", "label")
     found = arrow_map(rows, _measured, "label int, x array<double>").collect()
     found.sort(key=lambda r: (r.x, r.label))
@@ -193,14 +194,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "qualit
     """docs with all its columns and the score in the column `into`, which takes the place of one of that name."""
     docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    at = docs.columns.index(text)
 
     def work(batches):
         import pyarrow as pa
 
         found = pickle.loads(shared.value)
-        for batch in slices(batches, text, rows=256, max_bytes=2 << 20):
-            scores = found.score(matrix(batch.column(text).to_pylist()))
+        for batch in slices(batches, at, rows=256, max_bytes=2 << 20):
+            scores = found.score(matrix(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, into])
 
-    return arrow_map(docs, work, ", ".join([*own, f"`{into}` double"]))
+    return arrow_map(docs, work, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))

@@ -8,7 +8,8 @@ segments have two or less each: fingerprints that link share a key made of two s
 that share a key are compared by all 64 bits, so the links are exact.
 
 Within a key, only the edges of a spanning forest are kept: a fingerprint that has been reached is compared no
-more, which makes dense groups cheap. A key with more fingerprints than `hot_group` streams past without being held:
+more, which makes dense groups cheap. A full key is split by what its fingerprints must share besides (see `sub_keys`),
+so that chance meetings stay few. A key with more fingerprints than `hot_group` streams past without being held:
 its fingerprints go through midpoints instead (all words within two bits of each, joined to the least
 fingerprint at the same midpoint), which is exact and linear in their number.
 
@@ -19,8 +20,6 @@ Columns other than id and text are ignored.
 
 from __future__ import annotations
 
-import math
-import tempfile
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, group_bounds, materialised, partitions, record_batch, slices
 from .graph import components
@@ -37,7 +37,8 @@ SEED, MAX_BITS = 42, 4
 GENERATOR = 0b110001110101
 #: (lowest bit, width) of each segment.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-HOT_GROUP, WIDE_HOT_GROUP = 50_000, 1_000_000
+#: Fingerprints of a key beyond which it is split by what its other bits must share, and beyond which it is not held.
+FULL_GROUP, HOT_GROUP = 1024, 500_000
 
 _SPREAD = (((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(1)) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
 
@@ -77,10 +78,8 @@ def vote(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashed(texts: list[str | None], words: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     found = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
-    if distinct:
-        found = [np.unique(f) for f in found]
     return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array([len(f) for f in found], np.int64)
 
 
@@ -88,35 +87,16 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     return vote(*_hashed(texts, words))
 
 
-def wide_fingerprints(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Three fingerprints of the distinct shingles' hashes, each mixed anew, and one of distinct two-word shingles."""
-    hashes, sizes = _hashed(texts, words, distinct=True)
-    columns = [vote(hashes, sizes)]
-    for turn in (1, 2):
-        mixed = (hashes ^ (hashes >> np.uint64(29 + turn))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * turn)
-        columns.append(vote(mixed ^ (mixed >> np.uint64(32)), sizes))
-    return [*columns, vote(*_hashed(texts, 2, distinct=True))]
-
-
-def _longs(columns: list[np.ndarray], names: tuple[str, ...]) -> dict[str, np.ndarray]:
-    return {n: c.view(np.int64) for n, c in zip(names, columns, strict=True)}
-
-
-WIDE = ("fp", "fp2", "fp3", "pairs")
-
-
-def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row; wide: also fp2, fp3, pairs."""
+def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) for each row."""
 
     def work(batches):
         for batch in slices(batches, "text", rows=512, max_bytes=4 << 20):
-            texts = batch.column("text").to_pylist()
-            found = _longs(wide_fingerprints(texts, words), WIDE) if wide else _longs([fingerprints(texts, words)], ("fp",))
-            yield record_batch(doc_id=batch.column("doc_id"), **found)
+            found = fingerprints(batch.column("text").to_pylist(), words)
+            yield record_batch(doc_id=batch.column("doc_id"), fp=found.view(np.int64))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    columns = ", ".join(f"{n} long" for n in (WIDE if wide else ("fp",)))
-    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, f"doc_id {kind}, {columns}")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, schema)
 
 
 class Golay:
@@ -185,24 +165,50 @@ def forest(fps: np.ndarray, max_bits: int, skip: int = 0) -> list[tuple[np.ndarr
     return edges
 
 
-def links_by_key(keys: np.ndarray, fps: np.ndarray, max_bits: int, dense: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (first words) between rows of fps with equal keys; keys come sorted."""
+def sub_keys(fps: np.ndarray, key: int, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """(sub-key, position) rows that split a full key's fingerprints.
+
+    Of two that link, take the segment that differs most. If it does by two bits at most, they share an index of it; else
+    the key's two segments differ by one bit in all, so one of them is the same. Each such pair meets under
+    the key of the other two segments."""
+    i, j = list(combinations(range(len(SEGMENTS)), 2))[key >> 24]
+    words = [((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
+    k = 3 - i - j
+    indices = golay.keys(words[k], SEGMENTS[k][1])
+    keys, at = [words[i] | 1 << 32, words[j] | 2 << 32], [np.arange(len(fps))] * 2
+    for column in indices:
+        some = np.flatnonzero(column >= 0)
+        keys.append(column[some])
+        at.append(some)
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def links_by_key(keys: np.ndarray, fps: np.ndarray, max_bits: int, golay: Golay, dense: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between fingerprints with equal keys; keys come sorted."""
     bounds = group_bounds(keys)
     sizes = np.diff(bounds)
     left, right = [], []
     for k in np.flatnonzero(sizes > dense):
-        for a, b in forest(np.unique(fps[bounds[k] : bounds[k + 1]], axis=0), max_bits):
-            left.append(a)
-            right.append(b)
+        own = np.unique(fps[bounds[k] : bounds[k + 1]])
+        parts = [own]
+        if len(own) > FULL_GROUP:
+            sub, at = sub_keys(own, int(keys[bounds[k]]), golay)
+            order = np.argsort(sub, kind="stable")
+            ends = group_bounds(sub[order])
+            parts = [own[at[order[a:b]]] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b - a > 1]
+        for part in parts:
+            for a, b in forest(part[:, None], max_bits):
+                left.append(a)
+                right.append(b)
     ends = np.repeat(bounds[1:], sizes)
     at = np.flatnonzero(np.repeat(sizes <= dense, sizes))
     for step in range(1, dense):
         at = at[at + step < ends[at]]
         if not len(at):
             break
-        near = at[_apart(fps[at], fps[at + step]) <= max_bits]
-        left.append(fps[near, 0])
-        right.append(fps[near + step, 0])
+        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
+        left.append(fps[near])
+        right.append(fps[near + step])
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     edges = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
@@ -213,59 +219,32 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def _keyed(by: str, carried: tuple[str, ...]):
-    """Rows with a row for each fuzzy key of the column `by`."""
-
-    def work(batches):
-        golay = Golay()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                some = batch.slice(at, 8192)
-                key, k = fuzzy_keys(_column(some, by), golay)
-                yield record_batch(key=key, **{n: _column(some, n)[k].view(np.int64) for n in carried})
-
-    return work
-
+def _keyed(batches):
+    """Distinct fingerprints with a row for each fuzzy key."""
+    golay = Golay()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 8192):
+            fps = _column(batch.slice(at, 8192), "fp")
+            key, k = fuzzy_keys(fps, golay)
+            yield record_batch(key=key, fp=fps[k].view(np.int64))
 
-class Earlier:
-    """The blocks of a hot key's rows that came so far, in a file that goes with this object."""
 
-    def __init__(self, words: int):
-        self.file, self.words, self.sizes = tempfile.TemporaryFile(), words, []
-
-    def __iter__(self):
-        self.file.seek(0)
-        for n in self.sizes:
-            yield np.frombuffer(self.file.read(n * self.words * 8), np.uint64).reshape(n, self.words)
-
-    def add(self, fps: np.ndarray) -> None:
-        self.file.seek(0, 2)
-        self.file.write(np.ascontiguousarray(fps).tobytes())
-        self.sizes.append(len(fps))
-
-
-def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
-    """Rows sorted by key -> edges. Of keys with too many rows: with one word, the fingerprints themselves (b null);
-    with more, a block of rows is linked within itself and with each of the key's earlier blocks, two held at a time."""
+def _linked(max_bits: int, hot_group: int):
+    """Rows sorted by key -> edges; of keys with more rows than hot_group the fingerprints themselves (b null)."""
 
     def emit(a, b=None):
-        b = pa.nulls(len(a), pa.int64()) if b is None else b.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(b)], ["a", "b"])
-
-    def meet(earlier, fps):
-        for block in earlier if len(fps) else ():
-            for a, b in forest(np.concatenate([block, fps]), max_bits):
-                yield emit(a, b)
+        b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), b], ["a", "b"])
 
     def work(batches):
-        keys, fps, hot, earlier = np.zeros(0, np.int64), np.zeros((0, len(carried)), np.uint64), None, None
+        golay = Golay()
+        keys, fps, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
         for batch in batches:
-            k = batch.column("key").to_numpy(zero_copy_only=False)
-            x = np.stack([_column(batch, n) for n in carried], 1)
-            if hot is not None and len(carried) == 1:
+            k, x = batch.column("key").to_numpy(zero_copy_only=False), _column(batch, "fp")
+            if hot is not None:
                 n = int(np.searchsorted(k, hot, side="right"))
                 if n:
-                    yield emit(x[:n, 0])
+                    yield emit(x[:n])
                 k, x = k[n:], x[n:]
                 if not len(k):
                     continue
@@ -274,25 +253,14 @@ def _linked(max_bits: int, hot_group: int, carried: tuple[str, ...]):
             if not len(keys):
                 continue
             tail = int(np.searchsorted(keys, keys[-1]))
-            if hot is not None and keys[-1] != hot:
-                yield from meet(earlier, fps[: int(np.searchsorted(keys, hot, side="right"))])
-                hot = earlier = None
             if tail:
-                yield emit(*links_by_key(keys[:tail], fps[:tail], max_bits))
+                yield emit(*links_by_key(keys[:tail], fps[:tail], max_bits, golay))
                 keys, fps = keys[tail:], fps[tail:]
-            if len(keys) > hot_group and len(carried) == 1:
-                yield emit(fps[:, 0])
-                hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
-            elif len(keys) > hot_group:
-                earlier = Earlier(len(carried)) if hot is None else earlier
-                yield from meet(earlier, fps)
-                yield emit(*links_by_key(keys, fps, max_bits))
-                earlier.add(fps)
+            if len(keys) > hot_group:
+                yield emit(fps)
                 hot, keys, fps = int(keys[-1]), keys[:0], fps[:0]
-        if hot is not None and len(carried) > 1:
-            yield from meet(earlier, fps)
         if len(keys):
-            yield emit(*links_by_key(keys, fps, max_bits))
+            yield emit(*links_by_key(keys, fps, max_bits, golay))
 
     return work
 
@@ -314,9 +282,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP)
     """Edges (a, b) that connect just what the links at max_bits or less connect. fps: distinct, column fp."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"three Golay segments find links of up to {MAX_BITS} bits")
-    keyed = arrow_map(fps, _keyed("fp", ("fp",)), "key long, fp long")
+    keyed = arrow_map(fps, _keyed, "key long, fp long")
     found = keyed.repartition(partitions(fps, 4 << 20), "key").sortWithinPartitions("key", "fp")
-    found = materialised(arrow_map(found, _linked(max_bits, hot_group, ("fp",)), "a long, b long"))
+    found = materialised(arrow_map(found, _linked(max_bits, hot_group), "a long, b long"))
     edges = found.where("b IS NOT NULL")
     hot = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if hot.isEmpty():
@@ -326,23 +294,6 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_group: int = HOT_GROUP)
     return edges.unionByName(mids.join(least, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
-def similar_links(fps: DataFrame, similarity: float, hot_group: int = WIDE_HOT_GROUP) -> DataFrame:
-    """Edges (a, b) between first words of wide fingerprints whose shingles are about that similar.
-
-    Keys come from the fingerprint of word pairs, which an edited word changes less than it does long shingles; the
-    192 bits of the long shingles' three fingerprints then tell how similar two rows are."""
-    carried = WIDE[:3]
-    keyed = arrow_map(fps, _keyed("pairs", carried), "key long, " + ", ".join(f"{n} long" for n in carried))
-    found = keyed.repartition(partitions(fps, 4 << 20), "key").sortWithinPartitions("key", *carried)
-    return materialised(arrow_map(found, _linked(bits_for(similarity), hot_group, carried), "a long, b long"))
-
-
-def bits_for(similarity: float, bits: int = 64 * 3) -> int:
-    """Differing bits up to which rows of that Jaccard similarity are expected: the mean and 1.64 deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 1.64 * math.sqrt(bits * p * (1 - p)))
-
-
 def _with_components(rows: DataFrame, ids: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     # Written before they are joined with each other, so that a component with very many fingerprints can be split.
@@ -356,24 +307,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialised(fingerprint(docs, doc_id, text, words))
     ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     return _with_components(rows, ids, links(ids.select("fp"), max_bits, hot_group))
-
-
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, component_id, where documents link whose shingles are about that similar, by wide fingerprints.
-
-    Shingles count once, however often a text repeats them. Texts of one fingerprint count as one, and no link is
-    verified by the shingles themselves. What is found is not exact: of pairs just at a similarity of 0.8 about
-    three in four share a key, of pairs at 0.9 nearly all; and the bits allow for the estimate's spread."""
-    rows = materialised(fingerprint(docs, doc_id, text, words, wide=True))
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("fp2", "fp3", "pairs")).alias("rest"))
-    edges = similar_links(ids.select("fp", "rest.*"), similarity)
-    return _with_components(rows.select("doc_id", "fp"), ids.select("fp", "least_id"), edges)
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is their component's least, and rows with a null id; of rows with one id, one. All columns."""
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id) == F.col("__kept"), "left_semi")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        with_id = with_id.dropDuplicates([doc_id])
-    return with_id.unionByName(docs.where(F.col(doc_id).isNull()))
