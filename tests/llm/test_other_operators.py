@@ -56,6 +56,67 @@ def test_bounds_prune_and_stay_exact():
     assert best.result()[1].tolist() == want.tolist() and scored < 3 * 1000 / 64
 
 
+def asks(x, ids, monkeypatch, queries=300, k=5):
+    """The whole way within this process: (query, shard) pairs asked, shards, and the k best of each query."""
+    from pyspark.sql import Row
+
+    for name, value in {"SHARD": 64, "LEAF": 16, "GROUP": 500, "CELL": 200, "CELLS": 16}.items():
+        monkeypatch.setattr(topk, name, value)
+    shared = lambda value: Row(value=topk.pickle.dumps(value))
+    batch = lambda rows, **more: topk.record_batch(vec_id=ids[rows], dim=np.full(len(rows), x.shape[1]), v=list(x[rows]), **more)
+    parts = topk.Parts({x.shape[1]: x[::7]}, len(x))
+    dealt = topk.pa.Table.from_batches(list(topk._dealt(shared(parts))([batch(np.arange(len(x)))]))).sort_by([("part", "ascending"), ("vec_id", "ascending")])
+    shards = [r for b in topk._shards(dealt.to_batches(max_chunksize=333)) for r in b.to_pylist()]
+    assert len({r["shard"] for r in shards}) == len(shards) and sum(len(topk.pickle.loads(r["tree"]).ids) for r in shards) == len(x)
+    trees = {r["shard"]: topk.pickle.loads(r["tree"]) for r in shards}
+    balls = [np.frombuffer(r["ball"]) for r in shards]
+    pack = {x.shape[1]: (np.array([r["shard"] for r in shards]), np.stack([b[:-1] for b in balls]), np.array([b[-1:] for b in balls]))}
+    found, asked = {int(i): [] for i in ids[:queries]}, Counter()
+
+    def ask(batches, first):
+        for out in topk._routed(shared(pack), first)(batches):
+            for row in out.to_pylist():
+                rows = [{"shard": row["shard"], "kind": 0, "blob": topk.pickle.dumps(trees[row["shard"]])}, {"shard": row["shard"], "kind": 1, "blob": row["blob"]}]
+                asked[row["shard"]] += row["n"]
+                for got in topk._answers(k)([topk.pa.RecordBatch.from_pylist(rows)]):
+                    for r in got.to_pylist():
+                        found[r["query_id"]].append((-r["score"], r["vec_id"], r["shard"]))
+
+    rows = np.arange(queries)
+    ask([batch(rows)], True)
+    kth = [-sorted(found[int(i)])[k - 1][0] if len(found[int(i)]) >= k else None for i in ids[:queries]]
+    ask([batch(rows, kth=topk.pa.array(kth, topk.pa.float64()), seen=[sorted({s for *_, s in found[int(i)]}) for i in ids[:queries]])], False)
+    return sum(asked.values()), len(shards), {i: [(v, -s) for s, v, _ in sorted(own)[:k]] for i, own in found.items()}
+
+
+def test_queries_go_only_to_shards_that_can_serve_them(monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 10))
+    x = np.floor((centres / np.linalg.norm(centres, axis=1)[:, None])[rng.integers(0, 30, 6000)] * 900 + rng.normal(size=(6000, 10)) * 15)
+    x[3000:3400] = x[0]
+    ids = rng.permutation(6000) - 50
+    pairs, shards, best = asks(x, ids, monkeypatch)
+    assert shards > 60 and pairs < 0.25 * 300 * shards
+    for i in range(0, 300, 17):
+        others = np.flatnonzero(ids != ids[i])
+        order = others[np.lexsort((ids[others], -(x[others] @ x[i])))[:5]]
+        assert best[int(ids[i])] == [(int(ids[j]), int(x[j] @ x[i])) for j in order]
+
+
+def test_hot_shards_have_copies(spark):
+    """Many queries for one shard: their blobs are dealt over its copies, and no answer is lost."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(50, 4)) * 64)
+    tree = topk.BallTree(np.arange(50), x)
+    shards = spark.createDataFrame([(7, topk.pickle.dumps(tree))], "shard long, tree binary")
+    ids = np.arange(1000, 1200)
+    q = np.floor(rng.normal(size=(200, 4)) * 64)
+    blobs = [(7, 40_000, topk.pickle.dumps((ids[a : a + 20], q[a : a + 20], np.full(20, -np.inf)))) for a in range(0, 200, 20)]
+    got = topk.answered(shards, spark.createDataFrame(blobs, "shard long, n long, blob binary"), 3).collect()
+    want = {(1000 + i, int(j)) for i in range(200) for j in np.lexsort((np.arange(50), -(x @ q[i])))[:3]}
+    assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == 600
+
+
 def test_products_beyond_floats():
     q, x = np.array([[3e15, 1.0]]), np.array([[3.0, 1.0], [1e9, 0.0]])
     assert topk._products(q, x).tolist() == [[9 * 10**15 + 1, 2**63 - 1]]
