@@ -155,6 +155,8 @@ def test_url_rules(spark, max_rules, default):
         assert got[k] == judge_brute(u, RULES, default), u
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
+    table = spark.createDataFrame(RULES * 2, "rule string, action string")
+    assert {r.page_id: tuple(r)[1:] for r in url_filter.judge(pages, table, default=default, max_rules=max_rules).collect()} == got
 
 
 def test_rules_must_agree(spark):
@@ -162,6 +164,8 @@ def test_rules_must_agree(spark):
     for bad in ([("net/", "block"), ("net/", "allow")], [("net", "block")], [("net/", "perhaps")]):
         with pytest.raises(ValueError):
             url_filter.judge(pages, bad)
+        with pytest.raises(ValueError):
+            url_filter.judge(pages, spark.createDataFrame(bad, "rule string, action string"))
 
 
 def test_colliding_digests_are_told_apart(monkeypatch):
@@ -193,6 +197,14 @@ def test_shards(spark):
         sharding.external_shuffle(df, 0)
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, "t", (k,), k, k) for k in range(30)], "doc_id long, text string, `a-b` struct<`my col`: int>, `a.b` int, part int")
+    got = sharding.external_shuffle(df, 4, bucket_bytes=100).collect()
+    assert sorted((r.row.doc_id, r.row["a-b"]["my col"], r.row["a.b"], r.row.part) for r in got) == [(k, k, k, k) for k in range(30)]
+    same = spark.createDataFrame([(1, "t")] * 40, "doc_id long, text string")
+    assert Counter(r.place.shard for r in sharding.external_shuffle(same, 4).collect()) == {k: 10 for k in range(4)}
+
+
 def test_shards_are_mixed(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = {r.row.doc_id: (r.place.shard, r.place.slot) for r in sharding.external_shuffle(df, 4).collect()}
@@ -206,7 +218,7 @@ def test_shards_are_mixed(spark):
 def test_saved_shards(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     sharding.save_shards(sharding.external_shuffle(df, 4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("__shard").count().count() == 4
+    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
 
 
 # --- WARC
@@ -237,6 +249,34 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_dictionary_is_of_all_records():
+    records = [b"%05d " % k * 100 for k in range(9000)]
+    pieces = []
+
+    def seen(size, sample, **_):
+        pieces.extend(sample)
+        raise warc.zstandard.ZstdError
+
+    real = warc.zstandard.train_dictionary
+    warc.zstandard.train_dictionary = seen
+    try:
+        warc.build_dictionary(records)
+        assert len(pieces) >= 3000 and sum(map(len, pieces)) <= warc.SAMPLE_BYTES and len({p[:60] for p in pieces}) > 1000
+        pieces.clear()
+        warc.build_dictionary([b"a" * (2 << 20), b"b" * (2 << 20)])
+        assert [p[:1] for p in pieces] == [b"a", b"b"]
+    finally:
+        warc.zstandard.train_dictionary = real
+    assert warc.build_dictionary([]) == b""
+
+
+def test_long_records_are_read_in_step(spark):
+    """A record of many chunks, then short ones, read back whole."""
+    records = [warc.record_bytes(k, "u", bytes([65 + k]) * n, None) for k, n in enumerate((10, 3_000_000, 0, 70_000))]
+    got = [(h["WARC-Record-ID"], len(b)) for h, b in warc.read_archive(warc.write_archive(records), chunk=4096)]
+    assert [g[0] for g in got] == [warc.record_uri(k) for k in range(4)] and got[1][1] > 3_000_000
+
+
 def test_warc_frames():
     records = [warc.record_bytes(k, f"http://a/{k}", b"<html>payload number %d</html>" % k * 20, None) for k in range(300)]
     data = warc.write_archive(records)

@@ -6,8 +6,10 @@ shuffle seeded by the bucket, and writes it. Buckets follow each other in the wh
 dealt to the shards in turn: shard = place mod shards, slot = place div shards. So counts of shards are at most
 one apart (the law `rows`) and slots have no gaps.
 
-Defined results: a null text has no bytes; a null id is scattered by its text; rows repeated with one id and one
-text land in one bucket, in an order that does not matter, as they are equal. An empty table gives no rows.
+Defined results: a null text has no bytes; ids and texts scatter rows together, so rows of one id lie apart and null ids are no
+exception; rows repeated with one id and one
+text land in one bucket, in an order that does not matter, as they are equal. An empty table gives no rows. The law says nothing about
+rows of equal texts: each is a row like any other.
 All columns of the input are written, whatever their names; shard and slot are put in a struct `place` beside
 the input's columns in a struct `row`, so that no name clashes.
 """
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MAX_PARTITIONS, new_folder, parts_of
+from .common import arrow_map, by_part, new_folder, parts_of, quoted, whole_row
 
 #: Bytes of a bucket as the optimizer sees the input (Parquet's); in memory it is several times that.
 BUCKET_BYTES = 16 << 20
@@ -54,7 +57,7 @@ def _shuffled(seed: int, offsets, n_shards: int):
     def work(batches):
         held, now = [], None
         for batch in batches:
-            buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
+            buckets = batch.column("part").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -76,24 +79,22 @@ def external_shuffle(rows: DataFrame, n_shards: int, seed: int = 7, doc_id: str
         raise ValueError("at least one shard")
     spark = rows.sparkSession
     n = parts_of(rows, bucket_bytes)
-    h = F.xxhash64(F.col(doc_id), F.lit(seed))
-    if not rows.where(F.col(doc_id).isNull()).select(doc_id).isEmpty():
-        h = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text), F.lit(seed))).otherwise(h)
+    h = F.xxhash64(F.col(quoted(doc_id)), F.lit(seed), F.col(quoted(text)))
     bucket = F.pmod(h, F.lit(n)).cast("int")
-    # One count for each bucket; their number is the input's size by the bucket's.
+    # One count for each bucket, 12 bytes in an Arrow column; their number is the input's size by the bucket's.
     counts = np.zeros(n + 1, np.int64)
-    for b, k in rows.groupBy(bucket.alias("b")).count().collect():
-        counts[b + 1] = k
+    found = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).toArrow()
+    counts[found.column("b").to_numpy() + 1] = found.column("k").to_numpy()
     offsets = spark.sparkContext.broadcast(np.cumsum(counts)[:-1])
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), bucket.alias("bucket"), h.alias("h"))
-    keyed = keyed.repartition(min(n, MAX_PARTITIONS), "bucket").sortWithinPartitions("bucket", "h", F.col("row").getField(text)).select("bucket", "row")
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema)
-    placed = keyed.mapInArrow(_shuffled(seed, offsets, n_shards), f"row struct<{fields}>, place struct<shard: int, slot: bigint>")
+    keyed = rows.select(whole_row(rows).alias("row"), bucket.alias("part"), h.alias("h"))
+    keyed = by_part(keyed, n, "h", F.col(f"row.{quoted(text)}")).select("part", "row")
+    place = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    placed = arrow_map(keyed, _shuffled(seed, offsets, n_shards), T.StructType([T.StructField("row", keyed.schema["row"].dataType), T.StructField("place", place)]))
     folder = folder or new_folder(spark, "shards")
     placed.write.parquet(folder)
     return spark.read.parquet(folder)
 
 
 def save_shards(shards: DataFrame, folder: str) -> None:
-    """Each shard's rows in a folder of its own, in the order of their slots within each file."""
-    shards.select("row.*", F.col("place.shard").alias("__shard"), F.col("place.slot").alias("__slot")).repartition("__shard").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(folder)
+    """Each shard's rows (column row) in a folder of its own, in the order of their slots within each file."""
+    shards.repartition("place.shard").sortWithinPartitions("place.shard", "place.slot").select(F.col("place.shard").alias("shard"), "row").write.partitionBy("shard").parquet(folder)

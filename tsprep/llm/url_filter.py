@@ -7,8 +7,9 @@ file that workers map into memory, beside the rules' full strings. A url is judg
 a hit counts only if the stored string is the probed one. The longest rule that fits wins (by characters; of equal
 ones that with the longer host).
 
-An index holds `max_rules` at most, so what is sent to the executors is bounded; longer lists are
-split into several indices by key, each is probed in turn, and the longest rule found so far is kept.
+An index holds `max_rules` at most, so what the driver holds and sends to the executors is bounded; longer lists, which may be a
+table, are split into blocks by a hash, one block is an index at a time, and the longest rule found so far is kept. A worker
+writes and maps an index's file once, in its own temporary folder, and keeps it from task to task.
 
 Defined results: a null url, or one without `://`, has an empty host and path, and no rule; a url
 that no rule fits gets the default verdict. A rule listed twice must have one action, else ValueError.
@@ -17,16 +18,18 @@ Columns other than the id and the url are ignored.
 
 from __future__ import annotations
 
+import math
 import mmap
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, record_batch
+from .common import arrow_map, materialised, record_batch
 
 MAX_RULES = 2_000_000
 ALLOW, BLOCK = "allow", "block"
@@ -63,10 +66,13 @@ class DigestArray:
 
     def mapped(self) -> DigestArray:
         """The same, its arrays in a file mapped into memory; the file goes with the process."""
+        if hasattr(self, "keys"):
+            return self
         with tempfile.TemporaryFile() as file:
             file.write(self.image)
             file.flush()
             view = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)) if self.image else memoryview(b"")
+        self.image = b""
         n = self.n
         self.keys = np.frombuffer(view, np.uint64, n)
         self.offsets = np.frombuffer(view, np.int64, n + 1, 8 * n)
@@ -102,18 +108,38 @@ def _index(rules: list[tuple[str, str]]) -> tuple[DigestArray, list[int]]:
     return DigestArray((rule for rule, _ in rules), (int(action == BLOCK) for _, action in rules)), lengths
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], page_id: str = "page_id", url: str = "url", default: str = ALLOW, max_rules: int = MAX_RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row; rules: (host and path, action) pairs."""
-    known: dict[str, str] = {}
-    for rule, action in rules:
-        if action not in (ALLOW, BLOCK) or "/" not in rule or known.setdefault(rule, action) != action:
-            raise ValueError(f"not one rule with one action: {rule!r}, {action!r}")
-    listed = sorted(known.items(), key=lambda r: xxhash.xxh64_intdigest(r[0].encode()))
-    parts = [_index(listed[k : k + max_rules]) for k in range(0, len(listed), max_rules)] or [_index([])]
+def _blocks(rules: Iterable[tuple[str, str]] | DataFrame, max_rules: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct rules, so many at a time; of a table only a block is on the driver."""
+    if not isinstance(rules, DataFrame):
+        known: dict[str, str] = {}
+        for rule, action in rules:
+            if action not in (ALLOW, BLOCK) or "/" not in rule or known.setdefault(rule, action) != action:
+                raise ValueError(f"not one rule with one action: {rule!r}, {action!r}")
+        listed = sorted(known.items(), key=lambda r: xxhash.xxh64_intdigest(r[0].encode()))
+        yield from [listed[k : k + max_rules] for k in range(0, len(listed), max_rules)] or [[]]
+        return
+    table = rules.select(F.col(rules.columns[0]).alias("rule"), F.col(rules.columns[1]).alias("action")).distinct()
+    wrong = table.groupBy("rule").agg(F.count("*").alias("n"), F.min("action").alias("action")).where(f"n > 1 OR rule IS NULL OR NOT contains(rule, '/') OR action IS NULL OR action NOT IN ('{ALLOW}', '{BLOCK}')")
+    if (bad := wrong.first()) is not None:
+        raise ValueError(f"not one rule with one action: {bad.rule!r}")
+    n = max(1, math.ceil(1.1 * table.count() / max_rules))
+    for k in range(n):
+        yield [(r.rule, r.action) for r in table.where(F.pmod(F.xxhash64("rule"), F.lit(n)) == k).toLocalIterator()]
+
+
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame, page_id: str = "page_id", url: str = "url", default: str = ALLOW, max_rules: int = MAX_RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict for each row; rules: (host and path, action) pairs, or a table of two such columns."""
+    spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    kind = pages.schema[page_id].dataType.simpleString()
-    for index, lengths in parts:
-        rows = arrow_map(rows, _probe(pages.sparkSession.sparkContext.broadcast(index), lengths), f"page_id {kind}, host string, path string, rule string, verdict string")
+    schema = T.StructType([T.StructField("page_id", pages.schema[page_id].dataType), *(T.StructField(c, T.StringType()) for c in rows.columns[1:])])
+    before = None
+    for block in _blocks(rules, max_rules):
+        if before is not None:
+            rows = materialised(rows)
+            before.destroy()
+        index, lengths = _index(block)
+        before = spark.sparkContext.broadcast(index)
+        rows = arrow_map(rows, _probe(before, lengths), schema)
     return rows
 
 

@@ -2,8 +2,8 @@
 
 An archive is a sequence of Zstandard frames: first a skippable frame (magic 0x184D2A5D) with the dictionary,
 then one frame for each record, compressed with it. The dictionary is trained on the archive's own
-records, a bounded sample of them; where they are too few or too alike to train on, their bytes are the
-dictionary. Archives are rows (archive, content) of a table in the shared folder, as not every store lets
+records: a piece of each at a place of its own, so that all of them count and the sample stays bounded; where they are too few
+or too alike to train on, the pieces are the dictionary. Archives are rows (archive, content) of a table in the shared folder, as not every store lets
 workers open files; save_archives writes them as .warc.zst files where it does.
 
 Of records with equal payloads the one with the least id is a response; the others are revisits of it, with its
@@ -31,7 +31,7 @@ from .common import arrow_map, new_folder, partitions, record_batch, slices
 
 #: Payload bytes of an archive (unless one record is larger), the dictionary's size, what it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 10, 1 << 20
-LEVEL = 3
+LEAST_PIECE, LEVEL = 256, 3
 #: Fixed value: the skippable frame that holds a dictionary in WARC files.
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Fixed date, so that writing again gives the same bytes.
@@ -67,12 +67,12 @@ def record_bytes(record_id: int | None, url: str | None, payload: bytes, refers_
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    sample, size = [], 0
-    for r in records:
-        sample.append(r[: SAMPLE_BYTES // 8])
-        size += len(sample[-1])
-        if size >= SAMPLE_BYTES:
-            break
+    """Of each record a piece of equal size, of very many records evenly spread ones; where in the record follows from its number."""
+    step = -(-len(records) * LEAST_PIECE // SAMPLE_BYTES) or 1
+    chosen = records[::step]
+    share = SAMPLE_BYTES // max(1, len(chosen))
+    at = (k * 0x9E3779B1 % max(1, len(r) - share + 1) for k, r in enumerate(chosen))
+    sample = [r[a : a + share] for a, r in zip(at, chosen, strict=True)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -91,14 +91,13 @@ def read_archive(content: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[st
     if magic != DICTIONARY_MAGIC:
         raise ValueError("the archive does not begin with its dictionary")
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8 : 8 + size]))
-    held, at = b"", 0
+    held, at = bytearray(), 0
 
     with decompressor.stream_reader(memoryview(content)[8 + size :], read_across_frames=True) as stream:
 
         def more() -> bool:
-            nonlocal held, at
             got = stream.read(chunk)
-            held, at = held[at:] + got, 0
+            held.extend(got)
             return bool(got)
 
         while True:
@@ -116,8 +115,11 @@ def read_archive(content: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[st
             while len(held) - at < length + 4:
                 if not more():
                     raise ValueError("the archive ends within a record")
-            yield headers, held[at : at + length]
+            yield headers, bytes(held[at : at + length])
             at += length + 4
+            if at >= chunk:
+                del held[:at]
+                at = 0
 
 
 def _write(archive_bytes: int):
