@@ -15,6 +15,8 @@ from tsprep.operators import selection, series
 from tsprep.plans.frames import PreModelViewer
 from tsprep.plans.pipeline import STEPS, PreModelOrchestrator, ViewBuilder
 from tsprep.plans.workbench import Workbench, run_manual_pre_model
+from tsprep.sources import encodings
+from tsprep.sources import ingest as ingest_module
 from tsprep.sources.ingest import DataIngestor, mangled
 from tsprep.streaming.resample import stream_resample
 
@@ -172,6 +174,48 @@ def test_csv_from_a_path(spark, tmp_path):
     assert DataIngestor(spark, str(path), delimiter=";", max_rows=1).load().count() == 1
 
 
+def test_encodings_are_told_apart():
+    french = "prix;café\n1;déjà vu, garçon\n"
+    russian = "дата;продажи\n2021;Это простой текст о продажах\n"
+    cases = {
+        "utf-8": french.encode(), "utf-16": french.encode("utf-16"), "utf-16-le": french.encode("utf-16-le"), "utf-16-be": french.encode("utf-16-be"), "utf-32": french.encode("utf-32"),
+        "latin-1": french.encode("latin-1"), "cp1252": (french + "2;price €0 – “so”\n").encode("cp1252"), "cp1251": russian.encode("cp1251"), "koi8-r": russian.encode("koi8-r"),
+        "shift_jis": "日付;売り上げ\n1;これはとても短いテキストです\n".encode("shift_jis"), "euc_kr": "날짜;매출\n1;이것은 짧은 글입니다\n".encode("euc_kr"), "gb18030": "日期;销售额\n一;这是一个很短的文本\n".encode("gb18030"),
+    }
+    assert {name: encodings.detect(data)[0] for name, data in cases.items()} == {name: name for name in cases}
+    assert encodings.detect(b"\xef\xbb\xbfa,b\n")[0] == "utf-8" and encodings.detect("é".encode()[:1] * 0 + "aé".encode()[:2])[0] == "utf-8"
+    assert encodings.detect(b"")[1] and encodings.detect(b"a,b\n")[0] == "utf-8"
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin-1", "cp1252", "cp1251", "shift_jis", "utf-16"])
+def test_path_and_bytes_agree(spark, tmp_path, encoding):
+    words = {"cp1251": "цена", "shift_jis": "これは値段", "latin-1": "été", "cp1252": "€0 – “x”"}.get(encoding, "ß€漢")
+    data = (f"d,{words},n\n" + "".join(f"2021-01-{k:02d},{words} {k},{k}\n" for k in range(1, 15))).encode(encoding)
+    (tmp_path / "x.csv").write_bytes(data)
+    path, whole = (DataIngestor(spark, source, file_type="csv", encoding=encoding) for source in (str(tmp_path / "x.csv"), data))
+    assert path.load().columns == whole.load().columns == ["d", words, "n", "__rid"]
+    rows = [[tuple(r) for r in x.load().orderBy("__rid").drop("__rid").collect()] for x in (path, whole)]
+    assert rows[0] == rows[1] and rows[0][0] == ("2021-01-01", f"{words} 1", 1)
+
+
+def test_what_lies_past_the_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest_module, "ENCODING_SAMPLE", 4096)
+    lines = [f"{k},text {k}" for k in range(2000)]
+    late = tmp_path / "late.csv"
+    late.write_bytes(("n,t\n" + "\n".join(lines) + "\n2000,caf").encode() + b"\xe9\n")
+    ingest = DataIngestor(spark, str(late))
+    assert ingest.load().where("n = 2000").first().t == "café" and ingest.encoding == "latin-1" and any("fallback" in w for w in ingest.warnings)
+    torn = tmp_path / "torn.csv"
+    torn.write_text("n,t\n" + "\n".join(lines) + '\n2000,"two\nlines"\n')
+    ingest = DataIngestor(spark, str(torn))
+    assert ingest.load().count() == 2001 and ingest.load().where("n = 2000").first().t == "two\nlines" and ingest.encoding == "utf-8"
+    few = DataIngestor(spark, str(late), max_rows=12)
+    assert few.load().count() == 12 and few.encoding == "utf-8" and [r.n for r in few.preview(2).collect()] == [0, 1]
+    mixed = tmp_path / "mixed.csv"
+    mixed.write_text("n,t\n" + "\n".join(lines) + "\nx,y\n")
+    assert dict(DataIngestor(spark, str(mixed), max_rows=50).load().dtypes)["n"] == "bigint" and dict(DataIngestor(spark, str(mixed)).load().dtypes)["n"] == "string"
+
+
 def test_ingest_errors(spark, tmp_path):
     for source, options in ((b"a,b\n", {"file_type": "csv"}), (b"x", {}), ("a.txt", {}), (b"x", {"file_type": "json"})):
         with pytest.raises(ValueError):

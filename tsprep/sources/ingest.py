@@ -1,7 +1,9 @@
 """Reading CSV, Excel and Parquet from paths, bytes and file-like objects, with what was found out on the way.
 
 CSV is read as text and typed afterwards, so that missing-value words keep a column numeric and dates stay text until
-roles are detected. A path is read by Spark; only a bounded sample of it comes to the driver. Bytes are in the driver already."""
+roles are detected. A path is read by Spark; only a bounded sample of it comes to the driver, and one pass over its lines tells
+whether bytes past the sample are in the encoding found and whether quoted line ends keep the file from being read in pieces. Bytes
+are in the driver already."""
 
 from __future__ import annotations
 
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 
 from ..model import IngestionMetadata
 from ..operators.roles import ORDER, is_time, numeric_columns
-from . import xlsx
+from . import encodings, xlsx
 
 ENCODING_SAMPLE, DELIMITER_SAMPLE = 2_000_000, 4096
+#: With max_rows up to this the first rows alone are read.
+HEAD_ROWS = 100_000
 #: The words that stand for a missing value.
 MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-SPARK_CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "ISO-8859-1", "ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
 KINDS = {".csv": "csv", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet"}
 
 
@@ -154,23 +157,10 @@ class DataIngestor:
     def _detect_encoding(self, sample: bytes) -> str:
         if self.encoding:
             return self.encoding
-        if not sample:
-            self._warn("The file is empty; utf-8 is assumed.")
-            return "utf-8"
-        if sample.startswith((b"\xff\xfe", b"\xfe\xff")):
-            return "utf-16"
-        if sample.isascii():
-            self._warn("The sample is plain ASCII; read as utf-8.")
-            return "utf-8"
-        try:
-            # A sample may end within a character.
-            sample.decode("utf-8") if len(sample) < ENCODING_SAMPLE else sample[:-4].decode("utf-8", "strict")
-            return "utf-8"
-        except UnicodeDecodeError as failed:
-            if failed.start >= len(sample) - 4 and len(sample) >= ENCODING_SAMPLE:
-                return "utf-8"
-            self._warn("The sample is not utf-8; read as latin-1.")
-            return "latin-1"
+        name, noticed = encodings.detect(sample)
+        if noticed:
+            self._warn(noticed)
+        return name
 
     def _detect_delimiter(self, sample: bytes, encoding: str) -> str:
         if self.delimiter:
@@ -193,25 +183,47 @@ class DataIngestor:
             self._warn("Column names come more than once; numbers are added.")
         return mangled(names)
 
+    def _facts(self, sample: bytes) -> tuple[bool, bool]:
+        """Whether there are lines that are not utf-8, and lines that end within quotes, in all that is read of a path."""
+        if encodings.wide(self.encoding):
+            return False, True
+        if self.max_rows is not None and len(lines := sample.splitlines()) > self.max_rows + 1:
+            lines = lines[: self.max_rows + 1]
+            return False, any(line.count(b'"') % 2 for line in lines)
+        lines = self.spark.read.text(self._path)
+        quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+        found = lines.agg(F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)).alias("bad"), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("torn")).first()
+        return found.bad, found.torn
+
     def _csv_path(self, sample: bytes) -> DataFrame:
-        text = sample.decode(self.encoding, "replace")
-        header = next(csv.reader(io.StringIO(text), delimiter=self.delimiter), [])
+        bad, torn = self._facts(sample)
+        if bad and encodings.SPARK_CHARSETS.get(encodings.canonical(self.encoding)) == "UTF-8":
+            self._warn(f"Bytes further down are not {self.encoding}; read again with the fallback encoding latin-1.")
+            self.encoding = "latin-1"
+        header = next(csv.reader(io.StringIO(sample.decode(self.encoding, "replace")), delimiter=self.delimiter), [])
         names = self._names(header)
-        options = {"sep": self.delimiter, "encoding": SPARK_CHARSETS.get(self.encoding.lower(), self.encoding), "multiLine": '"' in text, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "header": True, "enforceSchema": True}
+        known = encodings.SPARK_CHARSETS.get(encodings.canonical(self.encoding))
+        options = {"sep": self.delimiter, "encoding": known or "ISO-8859-1", "multiLine": torn, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "header": True, "enforceSchema": True}
         # One field more than there should be tells rows that are too long; they are dropped, short ones are filled with nulls.
         safe = [f"c{k}" for k in range(len(names))]
         raw = self.spark.read.options(**options).schema(", ".join(f"{s} string" for s in [*safe, "__more"])).csv(self._path)
         rows = raw.withColumn(ORDER, F.monotonically_increasing_id())
-        long = rows.where(F.col("__more").isNotNull())
-        if not long.isEmpty():
+        if self.max_rows is not None and self.max_rows <= HEAD_ROWS:
+            # The first rows, from as many pieces of the file as they need.
+            rows = self.spark.createDataFrame(rows.take(self.max_rows), rows.schema)
+        elif self.max_rows is not None:
+            rows = rows.orderBy(ORDER).limit(self.max_rows)
+        if not known:
+            rows = rows.withColumns({c: encodings.decoded(F.col(c), self.encoding) for c in safe})
+        if not rows.where(F.col("__more").isNotNull()).isEmpty():
             self._warn("Rows with too many fields were skipped.")
         rows = rows.where(F.col("__more").isNull()).drop("__more")
         return typed(rows, safe).toDF(*names, ORDER)
 
     def _csv_bytes(self) -> DataFrame:
-        lines = list(csv.reader(io.StringIO(self._all().decode(self.encoding, "replace")), delimiter=self.delimiter))
+        lines = list(csv.reader(io.StringIO(self._all().decode(self.encoding, "replace"), newline=""), delimiter=self.delimiter))
         names = self._names(lines[0] if lines else [])
-        body = [x for x in lines[1:] if x]
+        body = [x for x in lines[1:] if x][: self.max_rows]
         if any(len(x) > len(names) for x in body):
             self._warn("Rows with too many fields were skipped.")
         return self._frame(names, [x for x in body if len(x) <= len(names)])
