@@ -1,7 +1,8 @@
 """The frequency of a time axis, from one row of aggregates for each series.
 
 The aggregates hold the distinct gaps' ends and number, and whether all times share a place in the calendar. Whether that
-makes a frequency is decided by rules on that one row, so an axis is never gathered."""
+makes a frequency is decided by rules on that one row. Series that are many are looked at in a window each; an axis that may be too long
+for one task goes by ranges of time, of which only each one's last row meets the next."""
 
 from __future__ import annotations
 
@@ -20,17 +21,24 @@ def _kinds(small: Column) -> Column:
     return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), small.cast("int")))).cast("int")
 
 
-def axis_facts(series: DataFrame) -> DataFrame:
-    """One row for each series: what `infer` and `fallback` decide by."""
-    w = Window.partitionBy("series_id").orderBy("ts")
-    at, month, day, weekday = calendar.micros(F.col("ts")), calendar.month_number(F.col("ts")), F.dayofmonth("ts"), F.weekday("ts")
+def axis_facts(series: DataFrame, long: bool = False) -> DataFrame:
+    """One row for each series: what `infer` and `fallback` decide by. long: no series is put into one task."""
+    at = calendar.micros(F.col("ts"))
+    if long:
+        from ..operators.series import with_previous
+
+        timed = with_previous(series.where("ts IS NOT NULL").select("series_id", "ts", at.alias("at")), ["series_id"], "at", "at")
+        timed = timed.withColumn("before", calendar.from_micros(F.col("before")))
+    else:
+        timed = series.where("ts IS NOT NULL").select("series_id", "ts", at.alias("at"), F.lag("ts").over(Window.partitionBy("series_id").orderBy("ts")).alias("before"))
+    month, day, weekday = calendar.month_number(F.col("ts")), F.dayofmonth("ts"), F.weekday("ts")
     last = F.dayofmonth(F.last_day(F.col("ts").cast("date")))
-    rows = series.where("ts IS NOT NULL").select(
-        "series_id", "ts", (at - F.lag(at).over(w)).alias("gap"), (month - F.lag(month).over(w)).alias("months"), F.row_number().over(w).alias("n"), F.lag(weekday).over(w).alias("was"),
+    rows = timed.select(
+        "series_id", "ts", "at", (F.col("at") - calendar.micros(F.col("before"))).alias("gap"), (month - calendar.month_number(F.col("before"))).alias("months"), F.weekday("before").alias("was"),
         month.alias("month"), day.alias("day"), weekday.alias("weekday"), last.alias("last"), F.call_function("div", day - 1, F.lit(7)).alias("nth"),
     )
     business_gap = (F.col("gap") == F.when((F.col("was") == 4), 3 * DAY).otherwise(DAY)) & (F.col("weekday") < 5)
-    gaps = rows.where("gap IS NOT NULL").groupBy("series_id", "gap").agg(F.count("*").alias("c"), F.min("n").alias("first"))
+    gaps = rows.where("gap IS NOT NULL").groupBy("series_id", "gap").agg(F.count("*").alias("c"), F.min("at").alias("first"))
     by_gap = gaps.groupBy("series_id").agg(
         F.count("*").alias("gaps"), F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"), F.sum("gap").alias("gap_sum"), F.max_by("gap", F.struct("c", -F.col("first"))).alias("gap_top"), (F.max("c") / F.sum("c")).alias("share")
     )

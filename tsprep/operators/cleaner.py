@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import calendar, dates, frequency
 from ..model import SchemaMetadata, TimeSeriesMeta
 from .roles import INDEX, ORDER, first_text, is_time
-from .series import POLICIES, deduplicate, spine
+from .series import POLICIES, between, deduplicate
 
 MISSING = ("report", "reindex")
 
@@ -27,20 +27,41 @@ class TimeSeriesCleaner:
         self.notes: list[str] = []
 
     def clean(self) -> tuple[DataFrame, TimeSeriesMeta]:
-        """The clean frame, its time in the column `ts`, and what was found. Rows of a time lie together, not necessarily in order."""
+        """The clean frame, its time in the column `ts`, and what was found. Rows of a time lie together, not necessarily in order.
+
+        All that is found out comes from the axis (each time with its count), which one pass over the rows makes."""
         rows = self._parsed()
-        rows, has_duplicates = self._unique(rows)
-        keyed = rows.select(F.lit("all").alias("series_id"), "ts")
+        axis = rows.groupBy("ts").agg(F.count("*").alias("rows")).persist()
+        try:
+            return self._cleaned(rows, axis)
+        finally:
+            axis.unpersist()
+
+    def _cleaned(self, rows: DataFrame, axis: DataFrame) -> tuple[DataFrame, TimeSeriesMeta]:
+        good = F.col("ts").isNotNull()
+        found = axis.agg(F.sum("rows").alias("n"), F.sum(F.when(good, F.col("rows"))).alias("good"), F.max(F.when(good, F.col("rows"))).alias("most"), F.count("ts").alias("times"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+        if not found.good:
+            raise ValueError(f"no value of '{self._column}' parses as a date")
+        if found.n > found.good:
+            self.notes.append(f"Dropped {found.n - found.good} rows whose date does not parse.")
+            rows = rows.where(good)
+        if found.most > 1:
+            rows = self._unique(rows)
+        keyed = axis.where(good).select(F.lit("all").alias("series_id"), "ts")
         freq, regular = self._frequency(keyed)
-        rows, has_missing, n_missing = self._gaps(rows, keyed, freq)
-        ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n")).first()
-        if not ends.n:
+        start, end, n, n_missing = found.a, found.b, found.times, 0
+        if freq is not None and freq != "bh" and not freq.startswith("WOM"):
+            rows, (start, end, n), n_missing = self._gaps(rows, keyed, freq, found)
+        if not n:
             raise ValueError("nothing is left after cleaning")
-        meta = TimeSeriesMeta(self.schema.date_col, self.schema.target_col, list(self.schema.exog_cols), ends.a, ends.b, freq, ends.n, has_missing, n_missing, has_duplicates, list(self.notes), regular)
-        return rows, meta
+        return rows, TimeSeriesMeta(self.schema.date_col, self.schema.target_col, list(self.schema.exog_cols), start, end, freq, n, n_missing > 0, n_missing, found.most > 1, list(self.notes), regular)
+
+    @property
+    def _column(self) -> str | None:
+        return self.index_col if self.schema.date_col == INDEX else self.schema.date_col
 
     def _parsed(self) -> DataFrame:
-        column = self.index_col if self.schema.date_col == INDEX else self.schema.date_col
+        column = self._column
         if column is None:
             raise ValueError("a series needs a date column")
         kind = self.df.schema[column].dataType
@@ -50,29 +71,20 @@ class TimeSeriesCleaner:
             form = dates.spark_format(self.date_format) if self.date_format else dates.guess_format(first_text(self.df, column))
             ts = dates.parse(dates.text_of(F.col(f"`{column}`"), kind.simpleString()), form)
         rows = self.df.withColumn("__ts", ts)
-        counts = rows.agg(F.count("*").alias("n"), F.count("__ts").alias("good")).first()
-        if not counts.good:
-            raise ValueError(f"no value of '{column}' parses as a date")
-        if counts.n > counts.good:
-            self.notes.append(f"Dropped {counts.n - counts.good} rows whose date does not parse.")
-            rows = rows.where(F.col("__ts").isNotNull())
         rows = rows.drop(column).withColumnRenamed("__ts", "ts")
         floats = [f.name for f in rows.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)]
         return rows.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else rows
 
-    def _unique(self, rows: DataFrame) -> tuple[DataFrame, bool]:
-        counts = rows.groupBy("ts").count().where("count > 1")
-        if counts.isEmpty():
-            return rows, False
+    def _unique(self, rows: DataFrame) -> DataFrame:
         self.notes.append(f"Duplicate dates were resolved by '{self.duplicates}'.")
         if self.duplicates not in POLICIES:
             raise ValueError(f"unknown duplicate policy: {self.duplicates}")
-        return deduplicate(rows if ORDER in rows.columns else rows.withColumn(ORDER, F.monotonically_increasing_id()), ["ts"], self.duplicates).drop(ORDER), True
+        return deduplicate(rows if ORDER in rows.columns else rows.withColumn(ORDER, F.monotonically_increasing_id()), ["ts"], self.duplicates).drop(ORDER)
 
     def _frequency(self, keyed: DataFrame) -> tuple[str | None, bool]:
         if self.freq:
             return self.freq, True
-        f = frequency.axis_facts(keyed).first().asDict()
+        f = frequency.axis_facts(keyed, long=True).first().asDict()
         if f["rows"] < 3:
             self.notes.append("Too few dates to infer a frequency.")
             return None, False
@@ -85,17 +97,17 @@ class TimeSeriesCleaner:
             name = "MS"
         return name, False
 
-    def _gaps(self, rows: DataFrame, keyed: DataFrame, freq: str | None) -> tuple[DataFrame, bool, int]:
-        if freq is None or freq == "bh" or freq.startswith("WOM"):
-            return rows, False, 0
-        points = spine(keyed, freq)
-        n = points.join(keyed, ["series_id", "ts"], "left_anti").count()
-        if n:
-            self.notes.append(f"{n} dates are missing.")
-        if self.missing == "reindex":
-            lost = keyed.join(points, ["series_id", "ts"], "left_anti").count()
-            if lost:
-                self.notes.append(f"{lost} rows lie off the calendar and are dropped by reindexing.")
-            if n or lost:
-                rows = points.select("ts").join(rows, "ts", "left")
-        return rows, n > 0, n
+    def _gaps(self, rows: DataFrame, keyed: DataFrame, freq: str, found) -> tuple[DataFrame, tuple, int]:
+        """The rows, on the calendar where that is asked for; their ends and number; how many dates are missing."""
+        ends = self.df.sparkSession.createDataFrame([("all", found.a, found.b)], "series_id string, start timestamp_ntz, end timestamp_ntz")
+        points = between(ends, freq)
+        both = points.withColumn("point", F.lit(1)).join(keyed.withColumn("time", F.lit(1)), ["series_id", "ts"], "full")
+        on = F.col("point").isNotNull()
+        count = both.agg(F.count("point").alias("points"), F.count_if(on & F.col("time").isNull()).alias("missing"), F.count_if(~on).alias("lost"), F.min(F.when(on, F.col("ts"))).alias("a"), F.max(F.when(on, F.col("ts"))).alias("b")).first()
+        if count.missing:
+            self.notes.append(f"{count.missing} dates are missing.")
+        if self.missing != "reindex" or not (count.missing or count.lost):
+            return rows, (found.a, found.b, found.times), count.missing
+        if count.lost:
+            self.notes.append(f"{count.lost} rows lie off the calendar and are dropped by reindexing.")
+        return points.select("ts").join(rows, "ts", "left"), (count.a, count.b, count.points), count.missing

@@ -147,9 +147,27 @@ def bounds(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
 
 
+#: Points of a calendar that one row makes.
+SPINE_STEP = 10_000
+
+
+def between(ends: DataFrame, freq: str, step: int = SPINE_STEP) -> DataFrame:
+    """All points of the calendar from start to end for each row (series_id, start, end).
+
+    Of frequencies of fixed length, of which there can be very many points, stretches of `step` are made first, dealt over tasks, and filled there."""
+    every = calendar.frequency(freq).micros
+    if not every:
+        return ends.select("series_id", F.explode(calendar.spine_array(F.col("start"), F.col("end"), freq)).alias("ts"))
+    last = F.call_function("div", calendar.micros(F.col("end")) - calendar.micros(F.col("start")), F.lit(every))
+    parts = ends.where("start IS NOT NULL").select("series_id", "start", last.alias("last"))
+    parts = parts.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(step).cast("long")))).repartition("series_id", "first")
+    points = parts.select("series_id", "start", F.explode(F.sequence("first", F.least(F.col("first") + step - 1, F.col("last")))).alias("k"))
+    return points.select("series_id", calendar.plus_micros(F.col("start"), F.col("k") * every).alias("ts"))
+
+
 def spine(series: DataFrame, freq: str) -> DataFrame:
     """All points of the calendar between each series' ends."""
-    return bounds(series).select("series_id", F.explode(calendar.spine_array(F.col("start"), F.col("end"), freq)).alias("ts"))
+    return between(bounds(series), freq)
 
 
 def missing_dates(series: DataFrame, freq: str) -> DataFrame:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frequency
-from ..model import SeriesBundle, StationarityPolicy, TransformPlan, with_changes
+from ..model import DiagnosticsPacket, PreModelState, SeriesBundle, StationarityPolicy, TransformPlan, with_changes
 from ..operators import diagnostics as dg
 from ..operators import roles, selection
 from ..operators import series as sr
 from ..operators import transforms as tr
 from ..operators.cleaner import TimeSeriesCleaner
 from ..sources.ingest import DataIngestor
+from . import frames
 from .frames import stems
+from .pipeline import STEPS as PLAN_STEPS
 from .pipeline import PreModelOrchestrator, ViewBuilder, stacked
+from .workbench import Workbench
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -175,7 +178,16 @@ def freq_inferred(spark, sf_dir):
     return frequency.infer_frequency(daily(spark, sf_dir)).select("series_id", "freq", "is_regular", r("share", 9))
 
 
-@query()
+#: Steps between the periods of each rule, counted in its own unit; one kind of step is a regular axis.
+STEPS = """a AS (SELECT DISTINCT 'D' AS series_id, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS k FROM orders
+UNION SELECT 'W', datediff('week', DATE '1970-01-05', o_orderdate::DATE) FROM orders UNION SELECT 'MS', datediff('month', DATE '1970-01-01', o_orderdate::DATE) FROM orders
+UNION SELECT 'ME', datediff('month', DATE '1970-01-01', o_orderdate::DATE) FROM orders UNION SELECT 'QS', datediff('quarter', DATE '1970-01-01', o_orderdate::DATE) FROM orders
+UNION SELECT 'h', datediff('hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)::TIMESTAMP) FROM events),
+s AS (SELECT series_id, k - lag(k) OVER (PARTITION BY series_id ORDER BY k) AS step FROM a), c AS (SELECT series_id, step, count(*) AS c FROM s WHERE step IS NOT NULL GROUP BY ALL),
+f AS (SELECT series_id, max_by(step, c) AS step, count(*) = 1 AS is_regular, max(c) / sum(c) AS share, count(*) AS kinds FROM c GROUP BY series_id)"""
+
+
+@query(f"""WITH {STEPS} SELECT series_id, CASE WHEN is_regular OR share >= 0.95 AND series_id IN ('D', 'h') THEN CASE WHEN step > 1 THEN step::VARCHAR ELSE '' END || CASE series_id WHEN 'W' THEN 'W-SUN' WHEN 'QS' THEN 'QS-OCT' ELSE series_id END END AS freq, is_regular FROM f""")
 def freq_of_many(spark, sf_dir):
     """Frequencies of daily, weekly, monthly, month-end, quarterly and hourly versions, each a series of its own."""
     orders = sr.canonical(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
@@ -420,14 +432,26 @@ def lag1_corr(spark, sf_dir):
     return dg.lag_correlation(daily(spark, sf_dir)).select("series_id", r("corr", 8))
 
 
-@query()
+#: Levinson-Durbin on autocovariances adjusted for the overlap, a row for each order.
+PACF = f"""RECURSIVE {D}, q AS (SELECT series_id, y - avg(y) OVER () AS e, row_number() OVER (ORDER BY ts) AS t, count(*) OVER () AS n FROM d),
+l AS (SELECT unnest(generate_series(0, least(60, (SELECT max(n) // 2 FROM q)))) AS lag),
+c AS (SELECT a.series_id, l.lag, any_value(a.n) AS n, sum(a.e * b.e) AS g FROM l JOIN q a ON true JOIN q b ON b.t = a.t + l.lag GROUP BY ALL),
+v AS (SELECT series_id, any_value(n) AS n, list(g / (n - lag) ORDER BY lag) AS g FROM c GROUP BY series_id),
+lev AS (SELECT series_id, n, g, 1 AS k, g[2] / g[1] AS a, [g[2] / g[1]] AS phi, g[1] * (1 - (g[2] / g[1]) ** 2) AS s FROM v
+UNION ALL SELECT series_id, n, g, k + 1, b, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), s * (1 - b * b)
+FROM (SELECT *, (g[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * g[k + 2 - j]))) / s AS b FROM lev WHERE k < len(g) - 1)),
+pa AS (SELECT series_id, 0 AS lag, 1.0::DOUBLE AS pacf, n FROM v UNION ALL SELECT series_id, k, a, n FROM lev)"""
+
+
+@query(f"WITH {PACF} SELECT series_id, lag::INT AS lag, round(pacf, 7) + 0.0 AS pacf, round(pacf - CASE WHEN lag > 0 THEN 1.959963984540054 / sqrt(n) ELSE 0 END, 7) + 0.0 AS pacf_lo, round(pacf + CASE WHEN lag > 0 THEN 1.959963984540054 / sqrt(n) ELSE 0 END, 7) + 0.0 AS pacf_hi FROM pa")
 def pacf_values(spark, sf_dir):
-    return dg.pacf(daily(spark, sf_dir))
+    return dg.pacf(daily(spark, sf_dir)).select("series_id", "lag", r("pacf", 7), r("pacf_lo", 7), r("pacf_hi", 7))
 
 
-@query()
+@query(f"""WITH {PACF}, st AS (SELECT series_id, 'acf' AS kind, lag, g / (SELECT g FROM c WHERE lag = 0) AS value, n FROM c UNION ALL SELECT series_id, 'pacf', lag, pacf, n FROM pa)
+SELECT series_id, kind, lag::INT AS lag, round(value, 7) + 0.0 AS value, round(-1.96 / sqrt(n), 7) + 0.0 AS band_lo, round(1.96 / sqrt(n), 7) + 0.0 AS band_hi FROM st WHERE lag > 0""")
 def acf_pacf_stems(spark, sf_dir):
-    return stems(dg.acf_pacf(daily(spark, sf_dir)))
+    return stems(dg.acf_pacf(daily(spark, sf_dir))).select("series_id", "kind", "lag", r("value", 7), r("band_lo", 7), r("band_hi", 7))
 
 
 def _sweep(spark, sf_dir, by=None):
@@ -447,6 +471,83 @@ def stationarity_selection(spark, sf_dir):
     return selection.selected_by_series(_sweep(spark, sf_dir, "o_orderpriority"))
 
 
+@query("""WITH t AS (SELECT s_suppkey::VARCHAR AS series_id, D_, d, (s_suppkey * 37 + D_ * 11 + d * 7) % 40 / 400.0 AS adf_pvalue, CASE WHEN (s_suppkey + d) % 11 > 0 THEN (s_suppkey * 13 + D_ * 5 + d * 3) % 30 / 200.0 END AS kpss_pvalue, 0.5 - (s_suppkey * 7 + D_ * 3 + d * 2) % 23 / 20.0 AS acf1
+FROM supplier, (VALUES (0, 0), (1, 0), (0, 1), (1, 1), (0, 2), (1, 2)) g(D_, d)),
+k AS (SELECT *, coalesce(adf_pvalue <= 0.05 AND kpss_pvalue >= 0.05, false) AS passed, CASE WHEN acf1 <= -0.5 THEN 2 WHEN acf1 <= -0.3 THEN 1 ELSE 0 END AS severity FROM t),
+o AS (SELECT *, bool_or(passed) OVER (PARTITION BY series_id) AS any_passed, row_number() OVER (PARTITION BY series_id ORDER BY CASE WHEN passed THEN 0 WHEN severity < 2 THEN 1 ELSE 2 END, severity, D_ + d, -D_, d) AS n FROM k)
+SELECT series_id, D_, d, passed, ['none', 'soft', 'hard'][severity + 1] AS overdiff, any_passed FROM o WHERE n = 1""")
+def selection_by_rules(spark, sf_dir):
+    """The selector over a table of made-up test results, six candidates for each supplier."""
+    grid = spark.createDataFrame(selection.GRID, "D_ int, d int")
+    key, D_, d = F.col("s_suppkey"), F.col("D_"), F.col("d")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(grid), F.lit(True)).select(
+        key.cast("string").alias("series_id"), "D_", "d", ((key * 37 + D_ * 11 + d * 7) % 40 / 400.0).alias("adf_pvalue"), F.when((key + d) % 11 > 0, (key * 13 + D_ * 5 + d * 3) % 30 / 200.0).alias("kpss_pvalue"), (0.5 - (key * 7 + D_ * 3 + d * 2) % 23 / 20.0).alias("acf1")
+    )
+    return selection.selected_by_series(rows, StationarityPolicy(alpha_adf=0.05, alpha_kpss=0.05, acf1_soft=-0.3, acf1_hard=-0.5))
+
+
+LOGGED = f"{D}, b AS (SELECT series_id, ts, ln(y + 1) AS y FROM d), p AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos FROM b)"
+VIEW_PLAN = with_changes(TransformPlan(), variance_transform="log", boxcox_offset=1.0, seasonal_period_m=7, D=1, d=1, detrend_for_periodogram="linear")
+
+
+def view(spark, sf_dir, name: str) -> DataFrame:
+    """What a step of the registry looks at under VIEW_PLAN, from the builder that keeps views."""
+    state = PreModelState(SeriesBundle(daily(spark, sf_dir), "revenue", "D"), VIEW_PLAN, DiagnosticsPacket())
+    spec = next(s.spec for s in PLAN_STEPS if s.spec.name == name)
+    return ViewBuilder().get_view(state, spec).y.select("series_id", "ts", r("y", 6))
+
+
+@query(f"WITH {D} SELECT series_id, ts, round(y, 6) + 0.0 AS y FROM d")
+def view_raw(spark, sf_dir):
+    return view(spark, sf_dir, "raw_diagnostics")
+
+
+@query(f"WITH {LOGGED} SELECT series_id, ts, round(y, 6) + 0.0 AS y FROM b")
+def view_var_stable(spark, sf_dir):
+    return tr.TransformEngine().var_stable(SeriesBundle(daily(spark, sf_dir)), VIEW_PLAN).y.select("series_id", "ts", r("y", 6))
+
+
+@query(f"WITH {LOGGED} SELECT series_id, ts, round(y, 6) + 0.0 AS y FROM b")
+def view_stl_interpretation(spark, sf_dir):
+    return view(spark, sf_dir, "stl_interpretation")
+
+
+@query(f"WITH {LOGGED}, f AS (SELECT regr_slope(y, pos) AS a, regr_intercept(y, pos) AS c FROM p) SELECT series_id, ts, round(y - (a * pos + c), 6) + 0.0 AS y FROM p, f")
+def view_periodogram(spark, sf_dir):
+    return view(spark, sf_dir, "periodogram")
+
+
+@query(f"WITH {LOGGED}, s AS (SELECT series_id, ts, pos, y - lag(y, 7) OVER (ORDER BY pos) AS y FROM p), t AS (SELECT * FROM s WHERE y IS NOT NULL), u AS (SELECT series_id, ts, y - lag(y) OVER (ORDER BY pos) AS y FROM t) SELECT series_id, ts, round(y, 6) + 0.0 AS y FROM u WHERE y IS NOT NULL")
+def view_final_stationary(spark, sf_dir):
+    return view(spark, sf_dir, "acf_pacf_final")
+
+
+@query(f"WITH {D} SELECT series_id, ts, round(y, 2) + 0.0 AS y FROM d")
+def frame_time_series(spark, sf_dir):
+    return frames.time_series(daily(spark, sf_dir)).select("series_id", "ts", r("y", 2))
+
+
+@query(f"WITH {D}, {PLACED}, s AS (SELECT * FROM p WHERE pos < 200), m AS (SELECT unnest([7, 12]) AS m) SELECT series_id, m::INT AS m, ts, round(y, 2) + 0.0 AS y, round(avg(y) OVER (PARTITION BY m, pos % m), 6) + 0.0 AS proto FROM s, m")
+def frame_period_resemblance(spark, sf_dir):
+    return frames.period_resemblance(daily(spark, sf_dir), [7, 12, 30], max_candidates=2, use_first_n=200).select("series_id", "m", "ts", r("y", 2), r("proto", 6))
+
+
+@query(f"WITH {D}, {PLACED} SELECT series_id, ts, pos::INT AS i, CASE WHEN count(y) OVER w >= 17 THEN round(avg(y) OVER w, 4) + 0.0 END AS rolling_mean FROM p WINDOW w AS (ORDER BY pos ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)")
+def frame_rolling(spark, sf_dir):
+    raw = {"rolling": dg.rolling(daily(spark, sf_dir), dg.rolling_window(1000))}
+    return frames.rolling_mean_var(raw).select("series_id", "ts", F.col("i").cast("int").alias("i"), r("rolling_mean", 4))
+
+
+@query("SELECT 'all' AS series_id, last_day(o_orderdate)::TIMESTAMP AS ts, round(sum(o_totalprice), 2) + 0.0 AS y FROM orders GROUP BY ALL")
+def workbench_resample(spark, sf_dir):
+    """The menu's resample twice over: days, then months of them; reset_series first undoes a coarser one."""
+    bench = Workbench(sr.canonical(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), "revenue")
+    bench.resample("YE")
+    bench.reset_series()
+    bench.resample("D")
+    return bench.resample("ME").select("series_id", "ts", r("y", 2))
+
+
 @query()
 def boxcox_lambda(spark, sf_dir):
     return dg.boxcox_mle(daily(spark, sf_dir))
@@ -534,6 +635,22 @@ def ingest_metadata(spark, sf_dir):
     return spark.createDataFrame([(m.n_rows, m.n_cols, m.file_type, m.delimiter)], "n_rows long, n_cols int, file_type string, delimiter string")
 
 
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ' – 5 €' AS n_name FROM nation")
+def ingest_windows_1252(spark, sf_dir):
+    """The encoding is found out; the signs are those that Latin-1 lacks."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    data = "n_nationkey;n_name\n" + "".join(f"{r.n_nationkey};{r.n_name} – 5 €\n" for r in rows)
+    return DataIngestor(spark, data.encode("cp1252"), file_type="csv").load().drop("__rid")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name || chr(10) || 'next line' AS n_name FROM nation WHERE n_nationkey < 12")
+def ingest_first_rows(spark, sf_dir):
+    """Quoted line ends, and types by the first rows alone: the last row's key is no number."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    data = "n_nationkey,n_name\n" + "".join(f'{r.n_nationkey},"{r.n_name}\nnext line"\n' for r in rows) + "last,one\n"
+    return DataIngestor(spark, data.encode(), file_type="csv", max_rows=12).load().drop("__rid")
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_nationkey < 5")
 def ingest_preview(spark, sf_dir):
     return DataIngestor(spark, nation_csv(spark, sf_dir), file_type="csv", max_rows=20).preview(5)

@@ -8,12 +8,13 @@ from math import sqrt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Z975
 from ..model import PreModelState
 from ..operators import diagnostics
 from ..operators.series import from_values
 from ..operators.transforms import values_of
 
+#: Fixed value: the half width of the constant band, in standard errors.
+BAND = 1.96
 TABLE_COLUMNS = ("D", "d", "m", "n", "adf_pvalue", "kpss_pvalue", "acf1", "pass_stationarity")
 
 
@@ -59,7 +60,7 @@ def stems(table: DataFrame, band_mode: str = "constant", skip_lag0: bool = True)
     """kind, lag, value, band_lo, band_hi of an ACF and PACF table; the bands are 1.96/sqrt(n) or each lag's own."""
     if band_mode not in ("constant", "per_lag"):
         raise ValueError(f"unknown band mode: {band_mode}")
-    flat = F.lit(Z975) / F.sqrt(F.max("n").over(_whole()))
+    flat = F.lit(BAND) / F.sqrt(F.max("n").over(_whole()))
     parts = []
     for kind in ("acf", "pacf"):
         lo, hi = (-flat, flat) if band_mode == "constant" else (F.col(f"{kind}_lo"), F.col(f"{kind}_hi"))
@@ -76,7 +77,7 @@ def _whole():
 
 def stem_limit(values: list[float], n: int) -> float:
     """How far the axis of a stem plot reaches."""
-    return max(0.2, 1.1 * max([abs(v) for v in values if v is not None] + [Z975 / sqrt(max(n, 1))]))
+    return max(0.2, 1.1 * max([abs(v) for v in values if v is not None] + [BAND / sqrt(max(n, 1))]))
 
 
 class PreModelViewer:
