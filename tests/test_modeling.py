@@ -9,12 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tsprep.functions import kernels
-from tsprep.model import SeriesBundle, StationarityPolicy, TransformedSeries, TransformPlan
+from tsprep.model import DiagnosticsPacket, PreModelState, SeriesBundle, StationarityPolicy, TransformedSeries, TransformPlan
 from tsprep.operators import diagnostics as dg
 from tsprep.operators import selection, series
 from tsprep.plans.frames import PreModelViewer
 from tsprep.plans.pipeline import STEPS, PreModelOrchestrator, ViewBuilder
 from tsprep.plans.workbench import Workbench, run_manual_pre_model
+from tsprep.plans.report import DiagnosticsReporter
 from tsprep.sources import encodings
 from tsprep.sources import ingest as ingest_module
 from tsprep.sources.ingest import DataIngestor, mangled
@@ -142,6 +143,17 @@ def test_orchestrator(spark):
     assert (locked.plan.d, locked.plan.D, locked.plan.variance_transform) == (1, 0, "none") and locked.diagnostics.stl.count() == 136
 
 
+def test_report(tmp_path):
+    """A page from a state alone: signs are escaped, long tables are cut and say so."""
+    state = PreModelState(SeriesBundle(None, "a<b"), TransformPlan(seasonal_period_m=7), DiagnosticsPacket())
+    d = state.diagnostics
+    d.notes.append("x & y")
+    d.stationarity_table += [{"D": 0, "d": k, "m": 7, "n": 90, "adf_pvalue": 0.0123456789, "kpss_pvalue": None, "acf1": -0.1, "pass_stationarity": False} for k in range(15)]
+    page = DiagnosticsReporter(state, max_rows=12).save(tmp_path / "artifacts" / "a.html").read_text()
+    assert "<h1>a&lt;b: diagnostics</h1>" in page and "x &amp; y" in page and "0.0123457" in page and page.count("<tr><td>0</td>") == 12 and "3 more rows" in page and "seasonal_period_m</td><td>7" in page
+    assert "<p>nothing</p>" in page
+
+
 def test_short_series(spark):
     for values in ([1.0, 2.0], [None, None, 1.0], [5.0] * 13):
         plan = TransformPlan(detrend_for_periodogram="none")

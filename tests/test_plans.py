@@ -1,6 +1,7 @@
 """What the plans of the time-series queries look like, and that the registry keeps its contract."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tsprep.plans import catalogue
@@ -48,6 +49,25 @@ def test_keyed_series_join_by_key(spark, sf_dir):
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_long_axes_go_by_ranges(spark, sf_dir):
+    y = catalogue.daily(spark, sf_dir, "o_orderpriority")
+    facts = catalogue.frequency.axis_facts(y, long=True)
+    windows = [line for line in plan_of(facts).splitlines() if " Window [" in line]
+    assert windows and all("__range" in line for line in windows)
+    key = ["series_id", "rows", "gap_min", "gap_max", "gap_top", "share", "months_min", "business", "weekdays", "nths"]
+    assert sorted(facts.select(*key).collect()) == sorted(catalogue.frequency.axis_facts(y).select(*key).collect())
+
+
+def test_long_calendars_are_made_in_stretches(spark):
+    from datetime import datetime
+
+    ends = spark.createDataFrame([("a", datetime(2020, 1, 1), datetime(2020, 1, 1, 3)), ("b", datetime(2020, 1, 1), datetime(2020, 1, 1)), ("c", None, None)], "series_id string, start timestamp_ntz, end timestamp_ntz")
+    points = catalogue.sr.between(ends, "s", step=1000)
+    assert {r.series_id: (r["count"], r.n, r.a, r.b) for r in points.groupBy("series_id").agg(F.count("*").alias("count"), F.count_distinct("ts").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).collect()} == {
+        "a": (10801, 10801, datetime(2020, 1, 1), datetime(2020, 1, 1, 3)), "b": (1, 1, datetime(2020, 1, 1), datetime(2020, 1, 1)),
+    }
+
+
 def test_registry():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and set(catalogue.QUERIES) <= set(queries)
