@@ -224,7 +224,9 @@ def test_saved_shards(spark, tmp_path):
 # --- WARC
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [200_000, 2])
+def test_warc(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", broadcast)
     rng = random.Random(3)
     html = [None, "", "<p>same</p>", "<p>same</p>", "ü漢\r\n\r\nWARC/1.1\r\n", "x" * 9000, *("<p>%d</p>" % rng.randrange(30) for _ in range(60))]
     rows = [(k, "http://a/%d\r\nX: y" % k if k % 3 else None, h, "z") for k, h in enumerate(html)] + [(None, None, "<p>same</p>", "z"), (None, None, "only here", "z")]

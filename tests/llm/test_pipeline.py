@@ -85,6 +85,29 @@ def test_multibyte_cuts(spark, tmp_path):
     assert got[0] == texts[0] and got[1] in ("cdè", "cd") and 2 not in got
 
 
+def test_stages_over_odd_tables(spark, corpus, tmp_path):
+    """Null and empty texts, repeated ids and rows, columns of any name, no n_chars, empty tables: every stage has a result with the same columns."""
+    folder, texts, *_ = corpus
+    rows = [(k, t, k, k, k) for k, t in enumerate(texts[:40])]
+    rows += [(3, texts[3], 0, 0, 0), (3, texts[7], 0, 0, 0), (None, texts[9], 0, 0, 0), (None, None, 0, 0, 0), (50, None, 0, 0, 0), (51, "", 0, 0, 0), (52, " ", 0, 0, 0), (53, "word " * 30_000, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _quality int, `a.b` int, `my col` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (docs, docs.limit(0)):
+            found = stage(spark, some, folder)
+            out = f"{tmp_path}/{name}-{some is docs}"
+            found.write.parquet(out)
+            back = spark.read.parquet(out)
+            assert back.columns == docs.columns and back.dtypes == docs.dtypes, name
+            assert back.count() > 0 if some is docs else back.isEmpty(), name
+    kept = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, folder).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    # Rows of one id with unlike texts both stay; of like texts the least id; null ids only where nothing is like them.
+    want = {(k, t) for k, t in enumerate(texts[:40]) if k != 7} | {(3, texts[7]), (50, None), (53, "word " * 30_000)}
+    assert set(got) == want and len(got) == len(want)
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, docs, folder)
+    assert pieces.where("doc_id IS NULL").count() >= 2 and dict(corpus_pipeline.STAGES)["packing"](spark, docs.limit(0), folder).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

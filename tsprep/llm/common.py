@@ -39,18 +39,23 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size of df; None where it has no idea."""
+    """The optimizer's size of df; None where it has no idea, as of checkpoints, or only a product of what a join reads."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else None
+    return size if size < 1 << 55 else None
 
 
 #: Partitions of a shuffle at most; beyond it, several parts of the data follow each other in one partition.
 MAX_PARTITIONS = 20_000
 
 
-def parts_of(df: DataFrame, bytes_each: int) -> int:
-    """In how many parts to work on df: the session's shuffle partitions, more if the input's size asks for it."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((plan_bytes(df) or 0) / bytes_each))
+def parts_of(df: DataFrame, bytes_each: int, text: str | None = None) -> int:
+    """In how many parts to work on df: the session's shuffle partitions, more if the input's size asks for it.
+
+    Where the optimizer does not know the size, the bytes of the column text are counted (as half as many on disk)."""
+    size = plan_bytes(df)
+    if size is None and text is not None:
+        size = (df.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0) // 2
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / bytes_each))
 
 
 def partitions(df: DataFrame, bytes_each: int) -> int:

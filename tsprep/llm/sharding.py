@@ -78,7 +78,7 @@ def external_shuffle(rows: DataFrame, n_shards: int, seed: int = 7, doc_id: str
     if n_shards < 1:
         raise ValueError("at least one shard")
     spark = rows.sparkSession
-    n = parts_of(rows, bucket_bytes)
+    n = parts_of(rows, bucket_bytes, text)
     h = F.xxhash64(F.col(quoted(doc_id)), F.lit(seed), F.col(quoted(text)))
     bucket = F.pmod(h, F.lit(n)).cast("int")
     # One count for each bucket, 12 bytes in an Arrow column; their number is the input's size by the bucket's.

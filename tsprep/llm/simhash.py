@@ -69,10 +69,14 @@ def vote(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not len(some):
         return out
     sizes = sizes[some]
-    lanes = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
     blocks = -(-sizes // 255)
     nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    counts = np.add.reduceat(lanes, np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * 255, axis=0).view(np.uint8).reshape(-1, 64)
+    begins = np.append(np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * 255, len(hashes))
+    counts = np.empty((len(nth), 64), np.uint8)
+    for k in range(0, len(nth), 1024):
+        ends = begins[k : k + 1025]
+        lanes = _SPREAD[hashes[ends[0] : ends[-1]].view(np.uint8).reshape(-1, 8)]
+        counts[k : k + 1024] = np.add.reduceat(lanes, ends[:-1] - ends[0], axis=0).view(np.uint8).reshape(-1, 64)
     totals = np.add.reduceat(counts, np.cumsum(blocks) - blocks, axis=0, dtype=np.int64)
     out[some] = np.packbits(totals * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out

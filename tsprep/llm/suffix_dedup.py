@@ -494,7 +494,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """row (the input's columns), kept (bytes), spans (start, end of each removed run) for each row of docs."""
     if kgram & (kgram - 1) or not kgram <= length - 1 or length - kgram > 255:
         raise ValueError("kgram must be a power of two under length and within 255 of it")
-    n = parts_of(docs, part_bytes)
+    n = parts_of(docs, part_bytes, text)
     row = whole_row(docs).alias("row")
     ids = docs.select(F.col(doc_id).alias("doc_id"))
     kind = dict(docs.dtypes)[doc_id]

@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, new_folder, partitions, record_batch, slices
+from .common import arrow_map, materialised, new_folder, partitions, record_batch, slices
 
 #: Payload bytes of an archive (unless one record is larger), the dictionary's size, what it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 10, 1 << 20
 LEAST_PIECE, LEVEL = 256, 3
+#: Repeated payloads (100 bytes each) that are sent to all tasks at most; more are joined by their digest.
+MAX_BROADCAST = 200_000
 #: Fixed value: the skippable frame that holds a dictionary in WARC files.
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Fixed date, so that writing again gives the same bytes.
@@ -148,8 +150,11 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keys = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("size"))
-    # Only equal payloads are joined: most rows find no partner, and the join's left side keeps its html.
+    # Only payloads that come again, written first so that their number is known: as long as they are few, no html is shuffled for them.
     firsts = keys.groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first_id")
+    firsts = materialised(firsts)
+    if firsts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        firsts = F.broadcast(firsts)
     keyed = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
     joined = keyed.join(firsts, ["digest", "size"], "left")
     marked = joined.withColumn("copy", F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False)))
