@@ -113,6 +113,11 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(work, schema)
 
 
+def rows_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """arrow_map over all columns, which may have any names, as work finds them by their places."""
+    return arrow_map(df.toDF(*(f"c{k}" for k in range(len(df.columns)))), work, schema)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression sees it, whatever signs it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, slices
+from .common import arrow_map, rows_map, slices
 
 WINDOW, MIN_WORDS, MIN_VERBATIM_WORDS, MIN_COVERED, MAX_BUILD_WORDS = 8, 4, 1, 13, 2_000_000
 #: Words that a worker keeps at most.
@@ -239,7 +239,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
             for batch in slices(batches, at, rows=512, max_bytes=4 << 20):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[m[0] for m in own.matches(lexicon, ["" if t is None else t for t in batch.column(at).to_pylist()])]] = False
-                yield batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, own_schema.names)
 
-        docs = arrow_map(docs, work, own_schema)
+        docs = rows_map(docs, work, own_schema)
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, record_batch, slices
+from .common import arrow_map, record_batch, rows_map, slices
 
 #: Labelled rows that are learned from at most.
 MAX_SAMPLE = 20_000
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "qualit
     """docs with all its columns and the score in the column `into`, which takes the place of one of that name."""
     docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), [*docs.columns, into]
 
     def work(batches):
         import pyarrow as pa
@@ -202,6 +202,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "qualit
         found = pickle.loads(shared.value)
         for batch in slices(batches, at, rows=256, max_bytes=2 << 20):
             scores = found.score(matrix(batch.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names)
 
-    return arrow_map(docs, work, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    return rows_map(docs, work, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
