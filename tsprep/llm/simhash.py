@@ -147,24 +147,17 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(at)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits; rows hold one fingerprint word or several."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-
-
-def forest(fps: np.ndarray, max_bits: int, skip: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges (first words) that connect what is connected among the rows of fps; each is compared only with those not reached yet.
-
-    skip: words at the front that only tell rows apart."""
+def forest(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect what is connected among fps; each is compared only with those not reached yet."""
     rest, edges = fps, []
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             here = frontier.pop()
-            near = _apart(rest[:, skip:], here[skip:]) <= max_bits
+            near = np.bitwise_count(rest ^ here) <= max_bits
             if near.any():
                 reached, rest = rest[near], rest[~near]
-                edges.append((np.full(len(reached), here[0]), reached[:, 0]))
+                edges.append((np.full(len(reached), here), reached))
                 frontier.extend(reached)
     return edges
 
@@ -201,7 +194,7 @@ def links_by_key(keys: np.ndarray, fps: np.ndarray, max_bits: int, golay: Golay,
             ends = group_bounds(sub[order])
             parts = [own[at[order[a:b]]] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b - a > 1]
         for part in parts:
-            for a, b in forest(part[:, None], max_bits):
+            for a, b in forest(part, max_bits):
                 left.append(a)
                 right.append(b)
     ends = np.repeat(bounds[1:], sizes)
