@@ -145,3 +145,48 @@ def test_one_of_each(spark):
     assert got == {(3, a), (3, b), (None, c), (20, None), (8, "one two"), (30, "x" * 200_000)} and kept.count() == 6
     empty = docs.limit(0)
     assert near_copies.one_of_each(empty, near_copies.similar_documents(empty)).count() == 0
+
+
+@pytest.mark.parametrize("n_words, seed", [(12, 1), (30, 2), (70, 3)])
+def test_no_link_is_missed(spark, n_words, seed):
+    """Components are just those of all pairs, of short texts too, whose few shingles make their fingerprints vary, and just at the limit."""
+    rng = random.Random(seed)
+    base = [words_of(rng, n_words) for _ in range(60)]
+    texts = base + [e for t in base for _ in range(3) if (e := edited(rng, t, 0.8, 0.9))]
+    group = words_of(rng, n_words)
+    texts += [group] + [e for _ in range(60) if (e := edited(rng, group, 0.75, 0.9))]
+    line = words_of(rng, 10)
+    texts += [f"{line} {words_of(rng, 5)}" for _ in range(60)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) > 20
+    comp = {r.doc_id: r.component_id for r in near_copies.similar_documents(documents(spark, texts)).collect()}
+    assert groups_of(comp.items(), range(len(texts))) == groups_of(near, range(len(texts)))
+
+
+@pytest.mark.parametrize("some", [np.zeros(0, np.uint64), "half"])
+def test_prefixes_of_similar_sets_meet(some):
+    """In any order: equal at the limit, as 8 of 10, or larger; groups of either kind of comparison, and what is cut between batches."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 2, 4, 5, 8, 10, 40, 45, 200):
+        for _ in range(40):
+            own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            out = rng.integers(0, n // 5 + 1)
+            sets += [own, own[out:], np.concatenate([own[n // 9 :], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])]
+    sets = [np.unique(s) for s in sets if len(s)]
+    own = np.unique(np.concatenate(sets))
+    frequent = (own[::2], rng.integers(4, 9, len(own[::2]))) if isinstance(some, str) else (some, np.zeros(0, np.int64))
+    rows = sorted((int(key), node, (len(s) << 32) + k) for node, s in enumerate(sets) for k, key in enumerate(near_copies.first_shingles(s, frequent, 0.8).view(np.int64)))
+    keys, nodes, places = (np.array(c) for c in zip(*rows, strict=True))
+    batches = [common.record_batch(key=keys[a : a + 7], node=nodes[a : a + 7], place=places[a : a + 7]) for a in range(0, len(keys), 7)]
+    shared = [b for b in near_copies._shared(0.8)(iter(batches)) if b.num_rows]
+    bare = [common.record_batch(**{n: b.column(n) for n in ("key", "node", "place")}, root=b.column("node"), fp=b.column("node"), fp2=b.column("node")) for b in shared]
+    got = {(a, b) for out in near_copies._cross(0.8, None)(iter(bare)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, min(a + 4, len(sets))) if 0.8 * len(np.union1d(sets[a], sets[b])) <= len(np.intersect1d(sets[a], sets[b]))}
+    assert len(near) > 200 and near <= got
+
+
+def test_meetings_are_all_pairs_of_a_group():
+    bounds = np.array([0, 1, 3, 3 + near_copies.DENSE, 100, 1600])
+    found = [set(zip(x.tolist(), y.tolist(), strict=True)) for x, y in near_copies._meetings(bounds, lambda x, y: (x + y) % 7 == 0)]
+    assert set().union(*found) == {(x, y) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for x in range(a, b) for y in range(x + 1, b) if (x + y) % 7 == 0}

@@ -1,17 +1,20 @@
-"""Near copies by word shingles: SimHash with Golay keys finds candidates, the shingles themselves decide.
+"""Near copies by word shingles: SimHash with Golay keys joins most of them, an exact join by shared shingles finds the rest.
 
-Texts are taken as sets of shingles (runs of `words` words, each counted once); texts of equal sets are one node. A node has
-four 64-bit fingerprints: two of its distinct word pairs, which an edited word changes less than it does long shingles and
-whose Golay keys (see simhash.py) bring candidates together, and two of its shingles, whose 128 bits estimate how similar
-two nodes are. Of the nodes that share a key the following become candidate links: in small groups all pairs within LOOSE
-deviations of what the similarity lets expect; where these are more than the nodes, so that their number stays linear,
-the least spanning forest of what comes in question, in which a link of few bits is preferred, and the NEAREST others of each node that has no near certain link (TIGHT).
+Texts are taken as sets of shingles (runs of `words` words, each counted once); texts of equal sets are one node. Every link
+is verified by the Jaccard similarity of the sets, and what is joined in the end is just what all links of `similarity` or
+more join: nothing unlike is linked, no link is missed.
 
-Candidates are verified by the Jaccard similarity of their shingle sets, which only nodes with candidates send: first each
-node's nearest and its least near certain neighbour, then whatever else joins nodes that are not connected yet. So no two
-texts are linked without a similarity of `similarity` or more. Candidates are what can be missed: of lone pairs at a
-similarity of 0.80 to 0.85 fewer than one in a hundred shares no key (see the tests); a key with more nodes than `hot_group`
-is compared block by block, nothing is left out.
+First, a node has three 64-bit fingerprints: one of its distinct word pairs, which an edited word changes less than it does
+long shingles and whose Golay keys (see simhash.py) bring candidates together, and two of its shingles, whose 128 bits
+estimate how similar two nodes are. Of the nodes that share a key the least spanning forest of what comes in question becomes
+candidate links (in small groups all pairs where these are no more than the nodes), so that their number stays linear in the
+nodes, however large a group of near copies is. Their bits only choose what is verified first: each node's nearest and its
+least near certain neighbour, then whatever else joins nodes that are not connected yet.
+
+Then the exact join: two sets that similar have in common one of the first shingles of either, so many as `prefix_length` says,
+in any order that is the same for all (here: those that a sample finds often come last, so that few nodes share a first one). Nodes
+that share one, are of no too unlike sizes and places (see `_cross`), and are not connected yet are verified, of each
+two components the nearest by their bits first, then all pairs that are left.
 
 Defined results: a null text counts as empty; texts without words are one node. Rows with a null id take part; a component's
 row that stays is the one of least id (null ids last), of rows of one id that of least text hash. Columns other
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, group_bounds, materialised, partitions, quoted, record_batch, slices, whole_row
+from .common import arrow_map, group_bounds, materialised, new_folder, partitions, quoted, record_batch, slices, whole_row
 from .graph import components
 from .simhash import Golay, _column, fuzzy_keys, shingle_hashes, vote
 
@@ -39,9 +42,13 @@ WORDS, SIMILARITY = 5, 0.8
 HOT_GROUP, DENSE = 1_000_000, 24
 #: Deviations from the expected number of differing bits: certain below the one, in question up to the other.
 TIGHT, LOOSE, NEAREST = -1.64, 2.6, 2
+#: Texts sampled for frequent shingles, the characters read of each, in how many a shingle is frequent, and how many are broadcast.
+SAMPLE_ROWS, SAMPLE_CHARS, OFTEN, MAX_FREQUENT = 4096, 100_000, 4, 1 << 17
+#: Nodes that a task remembers to have sent; pairs of two components that a task sends at first.
+SEEN, FEW = 1 << 20, 2
 #: Rows of a group up to which all its distances are held at once.
 MATRIX = 2048
-MARKS = ("fp", "fp2", "pairs", "pairs2", "node")
+MARKS = ("fp", "fp2", "pairs", "node")
 CARRIED = ("fp", "fp2", "node")
 
 
@@ -55,8 +62,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+
+
 def marks(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Of each text two fingerprints of its shingles' hashes, the second mixed anew, two of its word pairs, and its node."""
+    """Of each text two fingerprints of its shingles' hashes, the second mixed anew, one of its word pairs, and its node."""
 
     def joined(sets):
         return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.array([len(s) for s in sets], np.int64)
@@ -66,8 +77,8 @@ def marks(texts: list[str | None], words: int) -> list[np.ndarray]:
         return [vote(hashes, sizes), *(vote(h ^ (h >> np.uint64(32)), sizes) for h in turned)]
 
     sets = [shingle_set(t, words) for t in texts]
-    nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-    return [*voted(*joined(sets), 2), *voted(*joined([shingle_set(t, 2) for t in texts]), 2), nodes]
+    nodes = np.array([node_of(s) for s in sets], np.uint64)
+    return [*voted(*joined(sets), 2), *voted(*joined([shingle_set(t, 2) for t in texts]), 1), nodes]
 
 
 def text_hash(text: Column) -> Column:
@@ -106,8 +117,7 @@ def _nearest(rows: np.ndarray, some: np.ndarray, others: np.ndarray) -> tuple[np
 
 
 def least_forest(rows: np.ndarray, tight: int, loose: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links (places) of a group: its least spanning forest by bits, then places, and the NEAREST
-    of each row that has no near certain link.
+    """Candidate links (places) of a group: its least spanning forest by bits, then places.
 
     Where groups overlap, as those of the many keys of like nodes do, they give mostly the same links."""
     n = len(rows)
@@ -122,9 +132,7 @@ def least_forest(rows: np.ndarray, tight: int, loose: int) -> tuple[np.ndarray,
     order = np.minimum(place[:, None], place[None]) * n + np.maximum(place[:, None], place[None])
     weight = np.where(weight <= loose, weight * (n * n) + order, none)
     tree = place.copy()
-    unsure = weight[weight.min(1) >= (tight + 1) * n * n] if n else weight
-    nearest = np.partition(unsure, min(NEAREST, n) - 1, axis=1)[:, :NEAREST].ravel() if len(unsure) else unsure.ravel()
-    found = [nearest[nearest < none]]
+    found = [np.zeros(0, np.int64)]
     # Each tree takes the least link that leaves it, until none does.
     while True:
         leaving = np.where(tree[:, None] != tree[None], weight, none).min(1)
@@ -290,13 +298,12 @@ def _keyed(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             some = batch.slice(at, 8192)
-            for family, by in enumerate(("pairs", "pairs2")):
-                key, k = fuzzy_keys(_column(some, by), golay)
-                yield record_batch(key=key | family << 32, **{n: _column(some, n)[k].view(np.int64) for n in CARRIED})
+            key, k = fuzzy_keys(_column(some, "pairs"), golay)
+            yield record_batch(key=key, **{n: _column(some, n)[k].view(np.int64) for n in CARRIED})
 
 
 def candidate_links(nodes: DataFrame, similarity: float, hot_group: int = HOT_GROUP) -> DataFrame:
-    """a, b, bits: the pairs of nodes (columns MARKS) that are worth verifying, each once."""
+    """a, b, bits: the pairs of nodes (columns MARKS) that are worth verifying first, each once."""
     keyed = arrow_map(nodes.select(*MARKS), _keyed, "key long, " + ", ".join(f"{n} long" for n in CARRIED))
     # Keys that agree in their first index lie together: like nodes share several of them, and their links become one in a batch.
     found = keyed.repartition(partitions(nodes, 4 << 20), F.shiftright("key", 12)).sortWithinPartitions("key")
@@ -337,6 +344,192 @@ def node_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return held.unionByName(verified(rest.where("a_root <> b_root").select("a", "b"), sets, similarity))
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of n suffice: a set that similar has at least similarity * n of them, so it can't lack all these."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def frequent_shingles(docs: DataFrame, text: str, n_rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and in how many; they order the prefixes, no result depends on them."""
+
+    def work(batches):
+        sets = [shingle_set(t, words) for b in slices(batches, "text", rows=256, max_bytes=2 << 20) for t in b.column("text").to_pylist()]
+        found, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        often = np.flatnonzero(n >= OFTEN)
+        often = np.sort(often[np.argsort(-n[often], kind="stable")[:MAX_FREQUENT]])
+        yield record_batch(shingle=found[often].view(np.int64), n=n[often])
+
+    some = docs.select(F.substring(F.col(quoted(text)), 1, SAMPLE_CHARS).alias("text")).sample(False, min(1.0, SAMPLE_ROWS / max(n_rows, 1)), 7)
+    found = arrow_map(some.repartition(1), work, "shingle long, n long").toArrow()
+    shingles = found.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found.column("n").to_numpy()[order]
+
+
+def first_shingles(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """A set's prefix, in the order that holds for all sets: by the sample's counts, then by hashes. Sets come sorted."""
+    known, counts = frequent
+    often = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        often = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(often, kind="stable")[: prefix_length(len(shingles), similarity)]]
+
+
+def _prefixes(words: int, similarity: float, frequent):
+    """Texts -> a row for each shingle of a node's prefix; place: the set's size and the shingle's place in the prefix.
+
+    A node goes out once for a task (once for SEEN nodes), however many copies of its text there are."""
+
+    def work(batches):
+        seen: set[int] = set()
+        for batch in slices(batches, "text", rows=512, max_bytes=4 << 20):
+            keys, nodes, places = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = shingle_set(text, words)
+                node = node_of(own)
+                if not len(own) or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                first = first_shingles(own, frequent.value, similarity)
+                keys.append(first)
+                nodes.append(np.full(len(first), node, np.uint64))
+                places.append((len(own) << 32) + np.arange(len(first)))
+            if keys:
+                yield record_batch(key=np.concatenate(keys).view(np.int64), node=np.concatenate(nodes).view(np.int64), place=np.concatenate(places))
+
+    return work
+
+
+def _whole_groups(batches, names: list[str]):
+    """Columns of rows sorted by their first one, a piece at a time; no piece ends within a group."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if not batch.num_rows:
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or held and held[-1][0][-1] != columns[0][0]:
+            yield [np.concatenate(c) for c in zip(*held, [x[:cut] for x in columns], strict=True)]
+            held = []
+        held.append([x[cut:] for x in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _meetings(bounds: np.ndarray, holds):
+    """Places (x, y) of rows of one group, x before y, for which holds(x, y); a bounded number is looked at at a time."""
+    sizes = np.diff(bounds)
+    ends = np.repeat(bounds[1:], sizes)
+    at = np.flatnonzero(np.repeat(sizes <= DENSE, sizes))
+    for step in range(1, DENSE):
+        at = at[at + step < ends[at]]
+        if not len(at):
+            break
+        fit = holds(at, at + step)
+        yield at[fit], at[fit] + step
+    for k in np.flatnonzero(sizes > DENSE):
+        start, end = int(bounds[k]), int(bounds[k + 1])
+        step = max(1, (1 << 20) // (end - start))
+        for a in range(start, end, step):
+            x, y = np.arange(a, min(a + step, end))[:, None], np.arange(a + 1, end)[None]
+            i, j = np.nonzero(holds(x, y) & (x < y))
+            yield x[i, 0], y[0, j]
+
+
+def _likely(place: np.ndarray, similarity: float):
+    """Whether rows of one key may be that similar, if the key is the first shingle they share: from there on either must have left
+    what they need in common, similarity / (1 + similarity) of both sizes."""
+    size, left = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+    share = similarity / (1 + similarity)
+    return lambda x, y: np.minimum(left[x], left[y]) >= share * (size[x] + size[y]) - 1e-6
+
+
+def _shared(similarity: float):
+    """Rows sorted by key and node -> each once, those that may be similar to another one of their key."""
+
+    def work(batches):
+        for key, node, place in _whole_groups(batches, ["key", "node", "place"]):
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, place = key[once], node[once], place[once]
+            met = np.zeros(len(key), bool)
+            for x, y in _meetings(group_bounds(key), _likely(place, similarity)):
+                met[x] = met[y] = True
+            yield record_batch(key=key[met], node=node[met], place=place[met])
+
+    return work
+
+
+def _nearest_of(found: np.ndarray, few: int) -> np.ndarray:
+    """Of rows (root, root, bits, a, b) the few of least bits of each two roots, each pair once."""
+    found = np.unique(found, axis=0)
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:, :2] != found[:-1, :2]).any(1)
+    start = np.flatnonzero(new)
+    return found[np.arange(len(found)) - start[np.cumsum(new) - 1] < few]
+
+
+def _cross(similarity: float, few: int | None):
+    """Rows sorted by key -> pairs of unconnected nodes that may be similar: all, or of each two components the few of least bits in a batch."""
+
+    def emit(pairs):
+        pairs = np.unique(pairs, axis=0)
+        return record_batch(a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
+
+    def work(batches):
+        best = np.zeros((0, 5), np.int64)
+        for key, node, place, root, fp, fp2 in _whole_groups(batches, ["key", "node", "place", "root", "fp", "fp2"]):
+            bounds = group_bounds(key)
+            split = np.repeat(np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1]), np.diff(bounds))
+            key, node, place, root, fps = key[split], node[split], place[split], root[split], np.stack([fp, fp2], 1)[split]
+            likely = _likely(place, similarity)
+            for x, y in _meetings(group_bounds(key), lambda x, y, root=root, likely=likely: (root[x] != root[y]) & likely(x, y)):
+                pairs = np.sort(np.stack([node[x], node[y]], 1), axis=1)
+                if few is None:
+                    yield emit(pairs)
+                    continue
+                ends = np.sort(np.stack([root[x], root[y]], 1), axis=1)
+                best = _nearest_of(np.concatenate([best, np.column_stack([ends, _apart(fps[x], fps[y]), pairs])]), few)
+                if len(best) > 1 << 20:
+                    yield emit(best[:, 3:])
+                    best = best[:0]
+        yield emit(best[:, 3:])
+
+    return work
+
+
+def shared_shingles(docs: DataFrame, text: str, n_rows: int, words: int, similarity: float) -> DataFrame:
+    """key, node, place: every two nodes that similar have rows of one key here."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, n_rows, words))
+    first = arrow_map(docs.select(F.col(quoted(text)).alias("text")), _prefixes(words, similarity, frequent), "key long, node long, place long")
+    grouped = first.repartition(partitions(docs, 4 << 20), "key").sortWithinPartitions("key", "node")
+    return materialised(arrow_map(grouped, _shared(similarity), "key long, node long, place long"))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df from a file, whose size the optimizer reads: the estimates of checkpoints multiply from join to join until planning stalls."""
+    folder = new_folder(df.sparkSession, "links")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def joined_roots(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, n_parts: int) -> DataFrame:
+    """node, root for every node, where roots are joined that verified links of their nodes connect; no such link is left out."""
+    for few in (FEW, None):
+        rows = shared.join(roots, "node").repartition(n_parts, "key").sortWithinPartitions("key")
+        pairs = materialised(arrow_map(rows, _cross(similarity, few), "a long, b long").distinct())
+        held = verified(pairs, sets, similarity)
+        for end in ("a", "b"):
+            held = held.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        more = components(_written(held.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()))
+        more = more.select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        roots = _written(roots.join(more, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
+    return roots
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, hot_group: int = HOT_GROUP) -> DataFrame:
     """doc_id, text_hash, node, component_id and stays for each row, where documents link whose shingle sets are that similar.
 
@@ -345,14 +538,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = materialised(rows.groupBy("node").agg(F.min(least).alias("least"), F.min(F.struct(*MARKS[:-1])).alias("marks")))
     links = candidate_links(nodes.select("node", "marks.*"), similarity, hot_group)
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shared = shared_shingles(docs, text, rows.count(), words, similarity).join(nodes.select("node", "marks.fp", "marks.fp2"), "node")
+    shared = materialised(shared)
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
     wanted = nodes.join(wanted, "node").select("node", F.col("least.doc_id").alias("wanted_id"), F.col("least.text_hash").alias("wanted_hash"))
     texts = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).withColumn("hash", text_hash(F.col("text")))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash"))).select("node", "text")
     sets = materialised(arrow_map(texts.dropDuplicates(["node"]), _sets(words), "node long, shingles array<long>"))
     roots = components(node_links(links, sets, similarity))
+    roots = _written(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = joined_roots(shared, roots, sets, similarity, partitions(docs, 4 << 20))
     # Written before they are joined with each other, so that a component with very many nodes can be split.
-    by_node = materialised(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    by_node = materialised(nodes.select("node", "least").join(roots, "node"))
     least = materialised(by_node.groupBy("root").agg(F.min("least").alias("kept")))
     found = rows.select("doc_id", "text_hash", "node").join(by_node.select("node", "root").join(least, "root").drop("root"), "node")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
