@@ -190,3 +190,16 @@ def test_meetings_are_all_pairs_of_a_group():
     bounds = np.array([0, 1, 3, 3 + near_copies.DENSE, 100, 1600])
     found = [set(zip(x.tolist(), y.tolist(), strict=True)) for x, y in near_copies._meetings(bounds, lambda x, y: (x + y) % 7 == 0)]
     assert set().union(*found) == {(x, y) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for x in range(a, b) for y in range(x + 1, b) if (x + y) % 7 == 0}
+
+
+def test_odd_bits_bound_the_difference():
+    """Never more than the sets differ by, whatever their sizes, and near it for sets of like sizes."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 63, 64, 65, 300, 5000):
+        for share in (0.0, 0.1, 0.5, 1.0):
+            own, new = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+            other = np.unique(np.concatenate([own[int(n * share) :], new[: int(n * share * 0.7)]]))
+            own = np.unique(own)
+            apart = len(np.setxor1d(own, other))
+            least = near_copies.least_apart(near_copies.odd_bits(own), near_copies.odd_bits(other))
+            assert least <= apart and (share != 0.1 or n < 300 or least >= 0.7 * apart)

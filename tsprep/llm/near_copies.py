@@ -311,18 +311,52 @@ def candidate_links(nodes: DataFrame, similarity: float, hot_group: int = HOT_GR
     return materialised(links.groupBy("a", "b").agg(F.min("bits").alias("bits")))
 
 
+def odd_bits(shingles: np.ndarray) -> bytes:
+    """Two to four bits for each shingle, each the parity of the shingles whose last digits name it; with half as many
+    bits it is the two halves' exclusive or. Two sets differ in as many shingles at least as these differ in bits."""
+    n = 64 << max(0, (len(shingles) // 32 - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1 == 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """In how many shingles at least the sets differ that have these odd_bits."""
+    if len(x) < len(y):
+        x, y = y, x
+    large, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        large = large >> bits ^ large & (1 << bits) - 1
+    return (large ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _sets(words: int):
     def work(batches):
         for batch in slices(batches, "text", rows=256, max_bytes=2 << 20):
-            found = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, np.concatenate(found))], ["node", "shingles"])
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array([odd_bits(f) for f in found], pa.binary())], ["node", "shingles", "odd"])
+
+    return work
+
+
+def _possible(similarity: float):
+    """Rows (a, b, sizes, x, y) -> the pairs (a, b) that their odd_bits do not show to be less similar."""
+
+    def work(batches):
+        for batch in batches:
+            most = batch.column("sizes").to_numpy(zero_copy_only=False) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            fit = [least_apart(x, y) <= m for x, y, m in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     return work
 
 
 def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose shingle sets are that similar."""
+    """The links (a, b) whose shingle sets are that similar. Sets are sent for those only that their odd_bits leave."""
+    x, y = (sets.select(F.col("node").alias(end), F.size("shingles").alias(f"{end}_size"), F.col("odd").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    both = links.join(x, "a").join(y, "b").select("a", "b", (F.col("a_size") + F.col("b_size")).cast("long").alias("sizes"), "x", "y")
+    links = materialised(arrow_map(both, _possible(similarity), "a long, b long"))
     x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
     both = links.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return materialised(both.where(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"))
@@ -544,7 +578,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     wanted = nodes.join(wanted, "node").select("node", F.col("least.doc_id").alias("wanted_id"), F.col("least.text_hash").alias("wanted_hash"))
     texts = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).withColumn("hash", text_hash(F.col("text")))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash"))).select("node", "text")
-    sets = materialised(arrow_map(texts.dropDuplicates(["node"]), _sets(words), "node long, shingles array<long>"))
+    sets = materialised(arrow_map(texts.dropDuplicates(["node"]), _sets(words), "node long, shingles array<long>, odd binary"))
     roots = components(node_links(links, sets, similarity))
     roots = _written(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     roots = joined_roots(shared, roots, sets, similarity, partitions(docs, 4 << 20))
