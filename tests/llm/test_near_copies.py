@@ -203,3 +203,52 @@ def test_odd_bits_bound_the_difference():
             apart = len(np.setxor1d(own, other))
             least = near_copies.least_apart(near_copies.odd_bits(own), near_copies.odd_bits(other))
             assert least <= apart and (share != 0.1 or n < 300 or least >= 0.7 * apart)
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """What near copies send is a small part of texts of long words, few of which have a copy; the sample is bounded and left out here."""
+    monkeypatch.setattr(near_copies, "SAMPLE_ROWS", 4)
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300)) for _ in range(60)) for _ in range(250)]
+    texts += [f"{t} end" for t in texts[:10]]
+    docs = documents(spark, texts)
+    folder = common.new_folder(spark, "texts")
+    docs.write.parquet(folder)
+    docs = spark.read.parquet(folder)
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = sent()
+    kept = near_copies.one_of_each(docs, near_copies.similar_documents(docs)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(250))
+    assert sent() - before < 0.3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("n, most", [(0, 1 << 27), (1, 1 << 27), (3000, 1 << 27), (3000, 1 << 15), (400, 1 << 16)])
+def test_key_bits(spark, n, most):
+    """A filter holds all its keys, and few others unless it is full."""
+    rng = np.random.default_rng(n)
+    keys, others = (rng.integers(-(1 << 63), (1 << 63) - 1, k) for k in (n, 50_000))
+    bits = near_copies.key_bits(spark.createDataFrame([(k,) for k in keys.tolist()], "key long").repartition(3), n, most)
+    assert 1 << 15 <= 8 * len(bits) <= most and near_copies.may_hold(bits, keys).all()
+    assert near_copies.may_hold(bits, others).mean() <= 1.1 * n / (8 * len(bits))
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """Rows of other nodes and rows equal in id and text pass it, and exact joins settle them."""
+    rng = random.Random(5)
+    base = [words_of(rng, 40) for _ in range(30)]
+    texts = base + [edited(rng, t, 0.8, 0.95) or t for t in base] + [t.upper() for t in base[:10]] + base * 2
+    docs = documents(spark, texts, [*range(80), *([None] * 30), *([7] * 20), *range(100, 110)][: len(texts)] + [None] * max(0, len(texts) - 140))
+
+    def result():
+        found = near_copies.similar_documents(docs)
+        groups = sorted((str(r.doc_id), r.text_hash, str(r.component_id), r.stays) for r in found.collect())
+        return groups, sorted((str(r.doc_id), r.text) for r in near_copies.one_of_each(docs, found).collect())
+
+    want = result()
+    assert len(want[1]) < len(texts)
+    monkeypatch.setattr(near_copies, "key_bits", lambda keys, n: np.full(4096, 255, np.uint8))
+    assert result() == want

@@ -16,6 +16,10 @@ in any order that is the same for all (here: those that a sample finds often com
 that share one, are of no too unlike sizes and places (see `_cross`), and are not connected yet are verified, of each
 two components the nearest by their bits first, then all pairs that are left.
 
+Neither the texts nor the sets of all nodes are shuffled. Pairs are held against short sketches of their sets first (`odd_bits`); the
+sets of the nodes in those pairs that the sketches leave are made anew, from texts that a bounded broadcast (`key_bits`) picks out
+where they lie. In the same way only rows that may go are joined with those that stay. What the broadcast picks too much, exact joins drop.
+
 Defined results: a null text counts as empty; texts without words are one node. Rows with a null id take part; a component's
 row that stays is the one of least id (null ids last), of rows of one id that of least text hash. Columns other
 than id and text are ignored by `similar_documents` and kept, whatever their names, by `one_of_each`.
@@ -48,6 +52,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, OFTEN, MAX_FREQUENT = 4096, 100_000, 4, 1 << 17
 SEEN, FEW = 1 << 20, 2
 #: Rows of a group up to which all its distances are held at once.
 MATRIX = 2048
+#: Bits of a filter for each key that it holds, and bits at most: beyond some million keys it lets more and more others pass, which cost shuffle only.
+KEY_BITS, MAX_KEY_BITS = 64, 1 << 27
 MARKS = ("fp", "fp2", "pairs", "node")
 CARRIED = ("fp", "fp2", "node")
 
@@ -85,6 +91,28 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_key(doc_id: Column, hashed: Column) -> Column:
+    """What tells rows of other id or text apart; null ids too."""
+    return F.xxhash64(doc_id, hashed)
+
+
+def key_bits(keys: DataFrame, n: int, most: int = MAX_KEY_BITS) -> np.ndarray:
+    """The filter of some n keys (column key) as bytes: for each key the bit that its last digits name."""
+    size = min(most, 1 << max(15, (KEY_BITS * n - 1).bit_length()))
+    place = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("place"))
+    pieces = place.groupBy(F.shiftright("place", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for row in pieces.toLocalIterator():
+        out[row.piece] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter's keys may be among these: true for all that are."""
+    place = keys & (8 * len(bits) - 1)
+    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+
+
 def marked(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """doc_id, text_hash and the columns MARKS for each row."""
 
@@ -329,53 +357,101 @@ def least_apart(x: bytes, y: bytes) -> int:
     return (large ^ int.from_bytes(y, "little")).bit_count()
 
 
-def _sets(words: int):
+def _sets(words: int, bits, whole: bool):
+    """Rows whose key the filter may hold -> their nodes with the sets, or with the sets' sizes and odd_bits.
+
+    Rows of one key go out once for a task (once for SEEN keys)."""
+
     def work(batches):
-        for batch in slices(batches, "text", rows=256, max_bytes=2 << 20):
-            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array([odd_bits(f) for f in found], pa.binary())], ["node", "shingles", "odd"])
+        seen: set[int] = set()
+        for batch in batches:
+            held = may_hold(bits.value, batch.column("key").to_numpy(zero_copy_only=False))
+            for some in slices([batch.filter(pa.array(held))], "text", rows=256, max_bytes=2 << 20):
+                keys, found = [], []
+                for key, text in zip(some.column("key").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        keys.append(key)
+                        found.append(shingle_set(text, words))
+                if not keys:
+                    continue
+                sizes = np.array([len(f) for f in found], np.int64)
+                columns = {"node": np.array([node_of(f) for f in found], np.uint64).view(np.int64), "key": np.array(keys, np.int64)}
+                if whole:
+                    columns["shingles"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(found).view(np.int64))
+                else:
+                    columns |= {"size": sizes, "odd": pa.array([odd_bits(f) for f in found], pa.binary())}
+                yield record_batch(**columns)
 
     return work
 
 
+class Texts:
+    """The rows of docs, where the sets of some nodes are made when they are asked for."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int):
+        hashed = text_hash(F.col(quoted(text)))
+        self.rows, self.words = docs.select(row_key(F.col(quoted(doc_id)), hashed).alias("key"), F.col(quoted(text)).alias("text")), words
+
+    def _found(self, keys: DataFrame, n: int, whole: bool) -> DataFrame:
+        bits = self.rows.sparkSession.sparkContext.broadcast(key_bits(keys, n))
+        return arrow_map(self.rows, _sets(self.words, bits, whole), "node long, key long, " + ("shingles array<long>" if whole else "size long, odd binary"))
+
+    def sketches(self, wanted: DataFrame) -> DataFrame:
+        """node, key, size, odd of the wanted nodes (node, and key of one of its rows)."""
+        found = self._found(wanted, wanted.count(), False).drop("key")
+        return materialised(wanted.join(found.dropDuplicates(["node"]), "node"))
+
+    def sets(self, links: DataFrame) -> DataFrame:
+        """node, key, shingles of the links' ends, each once; some others with them."""
+        keys = links.select(F.explode(F.array("a_key", "b_key")).alias("key"))
+        found = materialised(self._found(keys, 2 * links.count(), True))
+        if not found.groupBy("node", "key").count().where("count > 1").isEmpty():
+            found = materialised(found.dropDuplicates(["node", "key"]))
+        return found
+
+
 def _possible(similarity: float):
-    """Rows (a, b, sizes, x, y) -> the pairs (a, b) that their odd_bits do not show to be less similar."""
+    """Rows (a, b, a_key, b_key, sizes, x, y) -> the pairs with their keys that their odd_bits do not show to be less similar."""
 
     def work(batches):
         for batch in batches:
             most = batch.column("sizes").to_numpy(zero_copy_only=False) * ((1 - similarity) / (1 + similarity)) + 1e-6
             fit = [least_apart(x, y) <= m for x, y, m in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most.tolist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+            yield batch.select(["a", "b", "a_key", "b_key"]).filter(pa.array(fit, pa.bool_()))
 
     return work
 
 
-def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose shingle sets are that similar. Sets are sent for those only that their odd_bits leave."""
-    x, y = (sets.select(F.col("node").alias(end), F.size("shingles").alias(f"{end}_size"), F.col("odd").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-    both = links.join(x, "a").join(y, "b").select("a", "b", (F.col("a_size") + F.col("b_size")).cast("long").alias("sizes"), "x", "y")
-    links = materialised(arrow_map(both, _possible(similarity), "a long, b long"))
-    x, y = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-    both = links.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+def verified(links: DataFrame, sketches: DataFrame, texts: Texts, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets are that similar. Sets are made and sent for those only that their odd_bits leave."""
+    x, y = (sketches.select(F.col("node").alias(end), F.col("key").alias(f"{end}_key"), F.col("size").alias(f"{end}_size"), F.col("odd").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    both = links.join(x, "a").join(y, "b").select("a", "b", "a_key", "b_key", (F.col("a_size") + F.col("b_size")).alias("sizes"), "x", "y")
+    links = materialised(arrow_map(both, _possible(similarity), "a long, b long, a_key long, b_key long"))
+    if links.isEmpty():
+        return links.select("a", "b")
+    sets = texts.sets(links)
+    x, y = (sets.select(F.col("node").alias(end), F.col("key").alias(f"{end}_key"), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    both = links.join(x, ["a", "a_key"]).join(y, ["b", "b_key"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
     return materialised(both.where(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b"))
 
 
-def node_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def node_links(links: DataFrame, sketches: DataFrame, texts: Texts, similarity: float) -> DataFrame:
     """Verified links that connect whatever the candidates that hold connect."""
     ends = links.select(F.col("a").alias("v"), F.col("b").alias("u"), "bits").unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u"), "bits"))
     sure = (F.col("bits") <= bits_for(similarity, TIGHT)) & (F.col("u") < F.col("v"))
     first = ends.groupBy("v").agg(F.min_by("u", F.struct("bits", "u")).alias("nearest"), F.min(F.when(sure, F.col("u"))).alias("least"))
     first = first.select("v", F.explode(F.array("nearest", "least")).alias("u")).where("u IS NOT NULL")
     first = materialised(first.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
-    held = verified(first, sets, similarity)
+    held = verified(first, sketches, texts, similarity)
     roots = components(held)
     rest = links.select("a", "b").join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
         rest = rest.join(own, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-    return held.unionByName(verified(rest.where("a_root <> b_root").select("a", "b"), sets, similarity))
+    return held.unionByName(verified(rest.where("a_root <> b_root").select("a", "b"), sketches, texts, similarity))
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -550,12 +626,12 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def joined_roots(shared: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, n_parts: int) -> DataFrame:
+def joined_roots(shared: DataFrame, roots: DataFrame, sketches: DataFrame, texts: Texts, similarity: float, n_parts: int) -> DataFrame:
     """node, root for every node, where roots are joined that verified links of their nodes connect; no such link is left out."""
     for few in (FEW, None):
         rows = shared.join(roots, "node").repartition(n_parts, "key").sortWithinPartitions("key")
         pairs = materialised(arrow_map(rows, _cross(similarity, few), "a long, b long").distinct())
-        held = verified(pairs, sets, similarity)
+        held = verified(pairs, sketches, texts, similarity)
         for end in ("a", "b"):
             held = held.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
         more = components(_written(held.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()))
@@ -575,13 +651,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared = shared_shingles(docs, text, rows.count(), words, similarity).join(nodes.select("node", "marks.fp", "marks.fp2"), "node")
     shared = materialised(shared)
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
-    wanted = nodes.join(wanted, "node").select("node", F.col("least.doc_id").alias("wanted_id"), F.col("least.text_hash").alias("wanted_hash"))
-    texts = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).withColumn("hash", text_hash(F.col("text")))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash"))).select("node", "text")
-    sets = materialised(arrow_map(texts.dropDuplicates(["node"]), _sets(words), "node long, shingles array<long>, odd binary"))
-    roots = components(node_links(links, sets, similarity))
+    wanted = materialised(nodes.join(wanted, "node").select("node", row_key(F.col("least.doc_id"), F.col("least.text_hash")).alias("key")))
+    texts = Texts(docs, doc_id, text, words)
+    sketches = texts.sketches(wanted)
+    roots = components(node_links(links, sketches, texts, similarity))
     roots = _written(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    roots = joined_roots(shared, roots, sets, similarity, partitions(docs, 4 << 20))
+    roots = joined_roots(shared, roots, sketches, texts, similarity, partitions(docs, 4 << 20))
     # Written before they are joined with each other, so that a component with very many nodes can be split.
     by_node = materialised(nodes.select("node", "least").join(roots, "node"))
     least = materialised(by_node.groupBy("root").agg(F.min("least").alias("kept")))
@@ -592,9 +667,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of docs the one row of each component that stays, all its columns; of rows equal in id and text one."""
-    stays = found.where("stays").groupBy("doc_id", "text_hash").count()
+    each = materialised(found.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+    doubtful = each.where("NOT stays OR n > 1").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(key_bits(doubtful, doubtful.count()))
+
+    @F.arrow_udf(T.BooleanType())
+    def in_doubt(key: pa.Array) -> pa.Array:
+        return pa.array(may_hold(bits.value, key.to_numpy(zero_copy_only=False)))
+
     rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(doc_id)).alias("i"), text_hash(F.col(quoted(text))).alias("h"))
-    kept = rows.join(stays.select("doc_id", "text_hash"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
-    if not stays.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["i", "h"])
-    return kept.select("row.*")
+    rows = rows.withColumn("doubt", in_doubt(row_key(F.col("i"), F.col("h"))))
+    rest = rows.where("doubt").join(each.where("stays").select("doc_id", "text_hash"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    if not each.where("stays AND n > 1").isEmpty():
+        rest = rest.dropDuplicates(["i", "h"])
+    return rows.where("NOT doubt").select("row.*").union(rest.select("row.*"))
