@@ -343,3 +343,29 @@ def test_chunks_encode_like_whole_texts():
     for _ in range(2):
         for got, t in zip(encoder.encode(texts), texts, strict=True):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_chunks_are_encoded_once(monkeypatch):
+    """Words that come again with signs, or after the newer chunks were set back, are not encoded again."""
+    monkeypatch.setattr(packing, "CACHE", 0)
+
+    class Spy:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.sent = tokenizer, []
+
+        def encode(self, text, **more):
+            self.sent += text.split()
+            return self.tokenizer.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            self.sent += [w for t in texts for w in t.split()]
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    encoder = packing.ChunkEncoder(VOCABULARY)
+    whole, encoder.tokenizer = encoder.tokenizer, Spy(encoder.tokenizer)
+    for texts in (("Word other, x9.", "ζῷον,"), ("word! Other x9.", "ζῷον"), ("word!! other. x9.", "ζῷον!")):
+        for got, text in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    for word in ("word", "other", "ζῷον", "x9."):
+        assert encoder.tokenizer.sent.count(word) == 1, word
+    assert "word!!" not in encoder.known

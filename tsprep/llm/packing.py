@@ -14,6 +14,7 @@ below the token limit a piece is cut so that it keeps within them. Ids may be of
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
@@ -37,15 +38,32 @@ _REST = [("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
+class Known(dict):
+    """Chunks' ids. One that is missing is taken over from the older ones, or noted as new and given as None."""
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older, self.new = older, set()
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        found = self.older.get(chunk)
+        if found is None:
+            self.new.add(chunk)
+        else:
+            self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     The vocabulary's pre-tokenizer never crosses white space, so a text's ids are those of its chunks in a row,
     and most chunks come again. It folds case, so texts of Latin-1 letters, which fold alike in Python, are folded
-    before they are looked up. Texts with separators that Python and the tokenizer's patterns see
-    differently are encoded whole. Of the chunks that have been seen, those of late are kept."""
+    before they are looked up, and signs that end a chunk after such a letter are set apart. Texts with separators that
+    Python and the tokenizer's patterns see differently are encoded whole. Of the chunks that have been seen, those of
+    late are kept."""
 
-    ODD = re.compile("[\x1c-\x1f]")
+    ODD = "\x1c\x1d\x1e\x1f"
+    SIGNS = re.compile(f"[{re.escape(TAIL)}](?<=[a-z\xdf-\xf6\xf8-\xff].)[{re.escape(TAIL)}]*(?!\\S)")
 
     def __init__(self, path: str):
         # The tokenizer's own threads would contend with the tasks beside this one.
@@ -53,8 +71,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: The tokens that a word ends with.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known = Known({})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,44 +91,53 @@ class ChunkEncoder:
         return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.ODD.search(t) else self.folded(t).split() for t in texts]
+        parts = [None if any(map(t.__contains__, self.ODD)) else self.SIGNS.sub(r" \g<0>", self.folded(t)).split() for t in texts]
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = set().union(*(p for p in parts if p)).difference(known)
-        again = new - new.difference(older)
-        known.update((w, older[w]) for w in again)
-        self._learn(new - again)
-        get = known.__getitem__
-        return [self._encode([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, parts, strict=True)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Signs after a letter are a token of their own: what stands before them is looked up without them."""
-        known, pairs, whole = self.known, [], set()
+            self.known.older = {}
+            self.known = Known(self.known)
+        get = self.known.__getitem__
+        rows = [words and list(map(get, words)) for words in parts]
+        self._learn()
+        out = []
+        for text, words, row in zip(texts, parts, rows, strict=True):
+            if words is None:
+                out.append(self._encode([text])[0])
+                continue
+            at = -1
+            with contextlib.suppress(ValueError):  # when none is left
+                while True:
+                    at = row.index(None, at + 1)
+                    row[at] = get(words[at])
+            out.append(b"".join(row))
+        return out
+
+    def _learn(self) -> None:
+        """The ids of the new chunks. Signs after a letter are a token of their own: what stands before them is looked up without them."""
+        known, pairs = self.known, []
+        chunks, known.new = known.new, set()
         for w in chunks:
             if w[-1] in TAIL:
                 bare = w.rstrip(TAIL)
                 if bare and bare[-1].isalpha() and bare[-1].lower()[-1].isalpha():
-                    tail = w[len(bare) :]
-                    pairs.append((w, bare, tail))
-                    whole.add(bare)
-                    whole.add(tail)
-                    continue
-            whole.add(w)
-        whole = whole.difference(known)
+                    pairs.append((w, bare, w[len(bare) :]))
+        whole = chunks.difference([w for w, _, _ in pairs])
+        for _, bare, tail in pairs:
+            for part in (bare, tail):
+                if known[part] is None:
+                    whole.add(part)
+        known.new = set()
         words = list(filter(str.isalpha, whole))
         rest = list(whole.difference(words))
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            of = np.array(found.word_ids, float)
-            ends = np.searchsorted(of, np.arange(len(some)), side="right")
-            if len(of) != ends[-1] or (np.diff(ends, prepend=0) < 1).any() or not (np.diff(of) >= 0).all():
-                rest += some  # a word became several, as folding can make it
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                rest += some  # a word became several, as folding can make it, or the vocabulary marks no ends
                 continue
-            data = np.array(found.ids, "<u4").tobytes()
+            data = ids.tobytes()
             ends = (ends * 4).tolist()
-            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
         known.update(zip(rest, self._encode(rest), strict=True))
         for w, bare, tail in pairs:
             known[w] = known[bare] + known[tail]
