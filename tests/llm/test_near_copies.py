@@ -252,3 +252,16 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     assert len(want[1]) < len(texts)
     monkeypatch.setattr(near_copies, "key_bits", lambda keys, n: np.full(4096, 255, np.uint8))
     assert result() == want
+
+
+@pytest.mark.parametrize("few", [None, 2])
+def test_parities_rule_out_unlike_pairs(few):
+    """Nodes that share little but their first shingle make no pairs; those that are similar do."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([[1], rng.integers(2, 1 << 63, 150)]).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[:140], rng.integers(2, 1 << 63, 11).astype(np.uint64)])) for s in sets[:20]]
+    odd = np.frombuffer(b"".join(near_copies.odd_bits(s, 64 * len(near_copies.PARITY)) for s in sets), np.int64).reshape(len(sets), -1)
+    node, place = np.arange(len(sets)), np.array([len(s) << 32 for s in sets])
+    batch = common.record_batch(key=np.ones(len(sets), np.int64), node=node, place=place, root=node, fp=node, fp2=node, **{n: odd[:, k].copy() for k, n in enumerate(near_copies.PARITY)})
+    got = [p for out in near_copies._cross(0.8, few, near_copies.PARITY)(iter([batch])) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    assert sorted(got) == [(k, 60 + k) for k in range(20)]

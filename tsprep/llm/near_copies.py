@@ -55,6 +55,8 @@ MATRIX = 2048
 #: Bits of a filter for each key that it holds, and bits at most: beyond some million keys it lets more and more others pass, which cost shuffle only.
 KEY_BITS, MAX_KEY_BITS = 64, 1 << 27
 MARKS = ("fp", "fp2", "pairs", "node")
+#: Columns of a node's parities: odd_bits of this fixed length.
+PARITY = tuple(f"odd{k}" for k in range(8))
 CARRIED = ("fp", "fp2", "node")
 
 
@@ -339,10 +341,10 @@ def candidate_links(nodes: DataFrame, similarity: float, hot_group: int = HOT_GR
     return materialised(links.groupBy("a", "b").agg(F.min("bits").alias("bits")))
 
 
-def odd_bits(shingles: np.ndarray) -> bytes:
+def odd_bits(shingles: np.ndarray, n: int | None = None) -> bytes:
     """Two to four bits for each shingle, each the parity of the shingles whose last digits name it; with half as many
     bits it is the two halves' exclusive or. Two sets differ in as many shingles at least as these differ in bits."""
-    n = 64 << max(0, (len(shingles) // 32 - 1).bit_length())
+    n = n or 64 << max(0, (len(shingles) // 32 - 1).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1 == 1, bitorder="little").tobytes()
 
 
@@ -383,6 +385,8 @@ def _sets(words: int, bits, whole: bool):
                     columns["shingles"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(found).view(np.int64))
                 else:
                     columns |= {"size": sizes, "odd": pa.array([odd_bits(f) for f in found], pa.binary())}
+                    parity = np.frombuffer(b"".join(odd_bits(f, 64 * len(PARITY)) for f in found), np.int64).reshape(-1, len(PARITY))
+                    columns |= {name: np.ascontiguousarray(parity[:, k]) for k, name in enumerate(PARITY)}
                 yield record_batch(**columns)
 
     return work
@@ -397,10 +401,10 @@ class Texts:
 
     def _found(self, keys: DataFrame, n: int, whole: bool) -> DataFrame:
         bits = self.rows.sparkSession.sparkContext.broadcast(key_bits(keys, n))
-        return arrow_map(self.rows, _sets(self.words, bits, whole), "node long, key long, " + ("shingles array<long>" if whole else "size long, odd binary"))
+        return arrow_map(self.rows, _sets(self.words, bits, whole), "node long, key long, " + ("shingles array<long>" if whole else "size long, odd binary, " + ", ".join(f"{n} long" for n in PARITY)))
 
     def sketches(self, wanted: DataFrame) -> DataFrame:
-        """node, key, size, odd of the wanted nodes (node, and key of one of its rows)."""
+        """node, key, size, odd and the columns PARITY of the wanted nodes (node, and key of one of its rows)."""
         found = self._found(wanted, wanted.count(), False).drop("key")
         return materialised(wanted.join(found.dropDuplicates(["node"]), "node"))
 
@@ -582,8 +586,20 @@ def _nearest_of(found: np.ndarray, few: int) -> np.ndarray:
     return found[np.arange(len(found)) - start[np.cumsum(new) - 1] < few]
 
 
-def _cross(similarity: float, few: int | None):
-    """Rows sorted by key -> pairs of unconnected nodes that may be similar: all, or of each two components the few of least bits in a batch."""
+def _within(odd: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the parities of these places leave it open that they are that similar."""
+    most = (size[x] + size[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fit = np.zeros(len(x), bool)
+    for k in range(0, len(x), 1 << 15):
+        some = slice(k, k + (1 << 15))
+        fit[some] = np.bitwise_count(odd[x[some]] ^ odd[y[some]]).sum(1, dtype=np.int64) <= most[some]
+    return fit
+
+
+def _cross(similarity: float, few: int | None, parity: tuple[str, ...] = ()):
+    """Rows sorted by key -> pairs of unconnected nodes that may be similar: all, or of each two components the few of least bits in a batch.
+
+    parity names columns of the nodes' parities, which rule out most pairs here."""
 
     def emit(pairs):
         pairs = np.unique(pairs, axis=0)
@@ -591,12 +607,16 @@ def _cross(similarity: float, few: int | None):
 
     def work(batches):
         best = np.zeros((0, 5), np.int64)
-        for key, node, place, root, fp, fp2 in _whole_groups(batches, ["key", "node", "place", "root", "fp", "fp2"]):
+        for key, node, place, root, fp, fp2, *odd in _whole_groups(batches, ["key", "node", "place", "root", "fp", "fp2", *parity]):
             bounds = group_bounds(key)
             split = np.repeat(np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1]), np.diff(bounds))
             key, node, place, root, fps = key[split], node[split], place[split], root[split], np.stack([fp, fp2], 1)[split]
+            odd = np.stack(odd, 1)[split].view(np.uint64) if parity else None
             likely = _likely(place, similarity)
             for x, y in _meetings(group_bounds(key), lambda x, y, root=root, likely=likely: (root[x] != root[y]) & likely(x, y)):
+                if parity:
+                    fit = _within(odd, place >> 32, x, y, similarity)
+                    x, y = x[fit], y[fit]
                 pairs = np.sort(np.stack([node[x], node[y]], 1), axis=1)
                 if few is None:
                     yield emit(pairs)
@@ -629,8 +649,9 @@ def _written(df: DataFrame) -> DataFrame:
 def joined_roots(shared: DataFrame, roots: DataFrame, sketches: DataFrame, texts: Texts, similarity: float, n_parts: int) -> DataFrame:
     """node, root for every node, where roots are joined that verified links of their nodes connect; no such link is left out."""
     for few in (FEW, None):
-        rows = shared.join(roots, "node").repartition(n_parts, "key").sortWithinPartitions("key")
-        pairs = materialised(arrow_map(rows, _cross(similarity, few), "a long, b long").distinct())
+        nodes = roots.join(sketches.select("node", *PARITY), "node")
+        rows = shared.join(nodes, "node").repartition(n_parts, "key").sortWithinPartitions("key")
+        pairs = materialised(arrow_map(rows, _cross(similarity, few, PARITY), "a long, b long").distinct())
         held = verified(pairs, sketches, texts, similarity)
         for end in ("a", "b"):
             held = held.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
