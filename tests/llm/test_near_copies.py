@@ -1,6 +1,7 @@
 """Near copies against exact Jaccard similarity."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -123,6 +124,20 @@ def test_links_of_groups_connect_what_all_pairs_connect(seed):
     assert len(nothing[0]) == 0
 
 
+def test_large_groups_take_little_memory():
+    """A group of MATRIX rows, in which each row links to the one before: all its distances at once, but in a byte each."""
+    n = near_copies.MATRIX
+    rows = np.random.default_rng(5).integers(0, 1 << 63, (n, 3), np.int64).astype(np.uint64)
+    for k in range(1, n):
+        rows[k, :2] = rows[k - 1, :2] ^ np.array([1 << k % 64, 1 << 7 * k % 64], np.uint64)
+    tracemalloc.start()
+    a, b = near_copies.least_forest(rows, 9, 22)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == n - 1 and len(groups_of(zip(a.tolist(), b.tolist(), strict=True), range(n))) == len(groups_of([(0, k) for k in range(n)], range(n)))
+    assert most < 40 << 20
+
+
 def test_repeated_lines_count_once(spark):
     rng = random.Random(12)
     line, rests = words_of(rng, 9) + " ", [words_of(rng, 120) for _ in range(8)]

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -359,6 +361,45 @@ def test_removal_across_pieces(spark, monkeypatch):
     assert sorted(at.tolist()) == list(range(len(whole) - 99))
 
 
+def test_removal_takes_little_memory():
+    """Hashing and sorting some MB of text, a bounded piece at a time."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 105, 2000).astype(np.uint8).tobytes().decode() for _ in range(1500)]
+    batch = pa.record_batch({"doc_key": pa.array(range(1500), pa.int64()), "text": texts})
+
+    def most(work, batches):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in work(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n
+        return peak
+
+    assert most(suffix_dedup._anchored(100, 32, 4, 1024), [batch]) < 40 << 20
+    # Spans of two strings, two of each bucket.
+    head = np.zeros(30_000, suffix_dedup._SPAN)
+    head["route"], head["doc"], head["size"] = np.arange(30_000) // 2, np.arange(30_000), 101
+    content = rng.integers(97, 105, (15_000, 101)).astype(np.uint8).repeat(2, 0)
+    spans = suffix_dedup._sent(0, 3, len(head).to_bytes(8, "little") + suffix_dedup._packed(head) + content.tobytes())
+    assert most(suffix_dedup._sorted(100, 4), [spans]) < 70 << 20
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    back = []
+    monkeypatch.setattr(common, "give_back", lambda: back.append(True))
+
+    class Rows:
+        def mapInArrow(self, work, schema):
+            return work
+
+    run = common.arrow_map(Rows(), lambda batches: (b for b in batches), "x int")
+    assert list(run(iter([1, 2]))) == [1, 2] and back == [True]
+    some = run(iter([1, 2]))
+    next(some)
+    some.close()
+    assert back == [True, True]
+
+
 def test_removal_with_odd_ids(spark):
     p = words_of(random.Random(9), 60)
     texts, ids = [p + "x", p + "y", p + "z", None, p + "y"], [5, None, 5, 7, 2]

@@ -50,8 +50,8 @@ TIGHT, LOOSE, NEAREST = -1.64, 2.6, 2
 SAMPLE_ROWS, SAMPLE_CHARS, OFTEN, MAX_FREQUENT = 4096, 100_000, 4, 1 << 17
 #: Nodes that a task remembers to have sent; pairs of two components that a task sends at first.
 SEEN, FEW = 1 << 20, 2
-#: Rows of a group up to which all its distances are held at once.
-MATRIX = 2048
+#: Rows of a group up to which all its distances are looked at, and pairs of rows that are looked at at once.
+MATRIX, CELLS = 2048, 1 << 18
 #: Bits of a filter for each key that it holds, and bits at most: beyond some million keys it lets more and more others pass, which cost shuffle only.
 KEY_BITS, MAX_KEY_BITS = 64, 1 << 27
 MARKS = ("fp", "fp2", "pairs", "node")
@@ -135,7 +135,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(rows: np.ndarray, some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of the others its nearest of some (places), and the differing bits; a bounded table at a time."""
     bits, near = np.full(len(others), 1 << 20), np.zeros(len(others), np.int64)
-    step = max(1, (1 << 20) // len(others))
+    step = max(1, CELLS // len(others))
     for k in range(0, len(some), step):
         part = some[k : k + step]
         table = _apart(rows[part][:, None], rows[others][None])
@@ -152,20 +152,30 @@ def least_forest(rows: np.ndarray, tight: int, loose: int) -> tuple[np.ndarray,
     Where groups overlap, as those of the many keys of like nodes do, they give mostly the same links."""
     n = len(rows)
     place = np.arange(n)
-    weight = _apart(rows[:, None], rows[None])
-    np.fill_diagonal(weight, loose + 1)
-    near = np.flatnonzero(weight.min(1) <= loose)
+    none, unlinked = np.int64(1) << 62, 255
+    # A byte for each pair, as tables of longs would take hundreds of MB.
+    bits, step = np.empty((n, n), np.uint8), max(1, CELLS // n)
+    for k in range(0, n, step):
+        x, y = rows[k : k + step, :2].T[..., None] ^ rows[:, :2].T[:, None]
+        bits[k : k + step] = np.bitwise_count(x) + np.bitwise_count(y)
+    bits[bits > loose] = unlinked
+    np.fill_diagonal(bits, unlinked)
+
+    def least_leaving(tree):
+        table = np.where(tree[:, None] != tree[None], bits, np.uint8(unlinked))
+        at = table.argmin(1)  # the first: of equal bits that with the least places
+        own = table[place, at].astype(np.int64)
+        return np.where(own < unlinked, own * (n * n) + np.minimum(place, at) * n + np.maximum(place, at), none)
+
+    leaving = least_leaving(place)
+    near = np.flatnonzero(leaving < none)
     if len(near) < n:
         a, b = least_forest(rows[near], tight, loose) if len(near) else (near, near)
         return near[a], near[b]
-    none = np.int64(1) << 62
-    order = np.minimum(place[:, None], place[None]) * n + np.maximum(place[:, None], place[None])
-    weight = np.where(weight <= loose, weight * (n * n) + order, none)
     tree = place.copy()
     found = [np.zeros(0, np.int64)]
     # Each tree takes the least link that leaves it, until none does.
     while True:
-        leaving = np.where(tree[:, None] != tree[None], weight, none).min(1)
         least = np.full(n, none)
         np.minimum.at(least, tree, leaving)
         taken = least[least < none]
@@ -181,6 +191,7 @@ def least_forest(rows: np.ndarray, tight: int, loose: int) -> tuple[np.ndarray,
             if (to == place).all():
                 break
             tree = to[tree]
+        leaving = least_leaving(tree)
     return np.divmod(np.unique(np.concatenate(found)) % (n * n), n)
 
 
@@ -326,8 +337,8 @@ def _candidates(tight: int, loose: int, hot_group: int):
 def _keyed(batches):
     golay = Golay()
     for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            some = batch.slice(at, 8192)
+        for at in range(0, batch.num_rows, 2048):
+            some = batch.slice(at, 2048)
             key, k = fuzzy_keys(_column(some, "pairs"), golay)
             yield record_batch(key=key, **{n: _column(some, n)[k].view(np.int64) for n in CARRIED})
 
@@ -546,7 +557,7 @@ def _meetings(bounds: np.ndarray, holds):
         yield at[fit], at[fit] + step
     for k in np.flatnonzero(sizes > DENSE):
         start, end = int(bounds[k]), int(bounds[k + 1])
-        step = max(1, (1 << 20) // (end - start))
+        step = max(1, CELLS // (end - start))
         for a in range(start, end, step):
             x, y = np.arange(a, min(a + step, end))[:, None], np.arange(a + 1, end)[None]
             i, j = np.nonzero(holds(x, y) & (x < y))

@@ -42,8 +42,9 @@ from .common import MAX_PARTITIONS, arrow_map, by_part, each_part, materialised,
 from .suffixes import PERIOD, CoverSample
 
 LENGTH, KGRAM = 100, 32
-#: Bytes of text hashed at once, records held by a task before they are sent, bytes of spans sorted at once.
-PIECE, HELD, BLOCK = 1 << 20, 2_000_000, 2 << 20
+#: Bytes of a text that make a piece, bytes of pieces hashed at once (one piece at least), records held by a task before they are
+#: sent, bytes of spans sorted at once. Hashing and sorting hold many times these bytes.
+PIECE, HASHED, HELD, BLOCK = 1 << 20, 1 << 18, 1 << 19, 1 << 19
 #: Spans of a bucket beyond which it is split, and the starts that share a part's key.
 HOT_BUCKET, STEP = 4096, 8
 #: Different spans of one key in a task's batch of records beyond which they are dealt over all parts.
@@ -221,11 +222,15 @@ def _anchored(length: int, kgram: int, n: int, hot_records: int):
         pieces, size = [], 0
 
         def send():
-            r, again = collapse(np.concatenate(held))
+            found = np.concatenate(held)
+            held.clear()
+            r, again = collapse(found)
+            del found
             ranges = _ranges(r[again], length)
             for part, some in _dealt(ranges, _bucket(ranges["doc"], n)):
                 yield _sent(part, 1, _packed(some))
             first = r[~again]
+            del r, ranges
             keys, of, counts = np.unique(first["key"], return_inverse=True, return_counts=True)
             hot = counts[of] > hot_records
             part_of = lambda k: (k % np.uint64(n)).astype(np.int64)
@@ -242,13 +247,13 @@ def _anchored(length: int, kgram: int, n: int, hot_records: int):
                 for piece in pieces_of(key, text, length):
                     pieces.append(piece)
                     size += len(piece[2])
-                    if size >= PIECE:
+                    if size >= HASHED:
                         held.append(hasher.records(pieces))
                         count += len(held[-1])
                         pieces, size = [], 0
                         if count >= HELD:
                             yield from send()
-                            held, count = [], 0
+                            count = 0
         if pieces:
             held.append(hasher.records(pieces))
         if held:
@@ -472,7 +477,7 @@ def _removed(text_at: int):
     def work(batches):
         ranges, rows = split(batches, _RANGE)
         ranges = merged(ranges)
-        for batch in rows:
+        for batch in (b.slice(at, 1024) for b in rows for at in range(0, b.num_rows, 1024)):
             kept, spans = [], []
             for key, text in zip(batch.column("doc_key").to_pylist(), batch.column("row").field(text_at), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
