@@ -197,6 +197,22 @@ def test_shards(spark):
         sharding.external_shuffle(df, 0)
 
 
+def test_small_buckets_share_files(spark, tmp_path):
+    """However many partitions the session has, a small table makes few files, with the same rows at the same places."""
+    spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("t"), F.col("id").cast("int")).alias("text")).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        shards = sharding.external_shuffle(df, 7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert len(shards.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    got = shards.collect()
+    assert sorted((r.row.doc_id, len(r.row.text)) for r in got) == [(k, k) for k in range(500)]
+    assert sorted(r.place.slot * 7 + r.place.shard for r in got) == list(range(500))
+
+
 def test_shards_keep_columns_of_any_name(spark):
     df = spark.createDataFrame([(k, "t", (k,), k, k) for k in range(30)], "doc_id long, text string, `a-b` struct<`my col`: int>, `a.b` int, part int")
     got = sharding.external_shuffle(df, 4, bucket_bytes=100).collect()

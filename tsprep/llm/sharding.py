@@ -16,13 +16,15 @@ the input's columns in a struct `row`, so that no name clashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, by_part, new_folder, parts_of, quoted, whole_row
+from .common import MAX_PARTITIONS, arrow_map, by_part, new_folder, parts_of, plan_bytes, quoted, whole_row
 
 #: Bytes of a bucket as the optimizer sees the input (Parquet's); in memory it is several times that.
 BUCKET_BYTES = 16 << 20
@@ -89,6 +91,9 @@ def external_shuffle(rows: DataFrame, n_shards: int, seed: int = 7, doc_id: str
     keyed = rows.select(whole_row(rows).alias("row"), bucket.alias("part"), h.alias("h"))
     keyed = by_part(keyed, n, "h", F.col(f"row.{quoted(text)}")).select("part", "row")
     place = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    # A file holds several buckets where the session asks for ones far smaller than bucket_bytes: each file costs helper processes.
+    files = max(math.ceil(4 * (plan_bytes(rows) or 0) / bucket_bytes) or n, 2 * spark.sparkContext.defaultParallelism)
+    keyed = keyed.coalesce(min(files, n, MAX_PARTITIONS))
     placed = arrow_map(keyed, _shuffled(seed, offsets, n_shards), T.StructType([T.StructField("row", keyed.schema["row"].dataType), T.StructField("place", place)]))
     folder = folder or new_folder(spark, "shards")
     placed.write.parquet(folder)
