@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from tsprep.llm import common, near_copies
+from tsprep.llm import common, graph, near_copies
 
 
 def words_of(rng, n, letters="abcdefghij"):
@@ -280,3 +280,56 @@ def test_parities_rule_out_unlike_pairs(few):
     batch = common.record_batch(key=np.ones(len(sets), np.int64), node=node, place=place, root=node, fp=node, fp2=node, **{n: odd[:, k].copy() for k, n in enumerate(near_copies.PARITY)})
     got = [p for out in near_copies._cross(0.8, few, near_copies.PARITY)(iter([batch])) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
     assert sorted(got) == [(k, 60 + k) for k in range(20)]
+
+
+def test_pairs_that_meet_often_count_once(spark, monkeypatch):
+    """Long unlike texts share hundreds of shingles, in every task; a pair comes out of each round about once."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(12):
+        common_part = words_of(rng, 2250)
+        texts += [f"{common_part} {words_of(rng, 750)}" for _ in range(2)]
+    assert all(0.5 < jaccard(a, b) < 0.7 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    made, cross = spark.sparkContext.accumulator(0), near_copies._cross
+
+    def counted(*given):
+        work = cross(*given)
+
+        def run(batches):
+            for batch in work(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(near_copies, "_cross", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        comp = near_copies.similar_documents(documents(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(r.doc_id == r.component_id for r in comp)
+    assert 12 <= made.value <= 48
+
+
+def test_earlier_shingles(spark):
+    """The next ones before a row's in its node's prefix, in the order of places, not of keys; else the node."""
+    rows = [(key, node, (7 << 32) + place) for node in (5, 6) for place, key in enumerate([90, -3, 40, 8, 77, 12])]
+    got = near_copies.with_earlier(spark.createDataFrame(rows, "key long, node long, place long").repartition(3)).collect()
+    keys = {node: [node] * 4 + [90, -3, 40, 8, 77, 12] for node in (5, 6)}
+    assert {(r.node, r.place & 15): tuple(r[n] for n in near_copies.EARLIER) for r in got} == {(n, k): tuple(keys[n][k : k + 4][::-1]) for n in (5, 6) for k in range(6)}
+
+
+@pytest.mark.parametrize("at_once", [1, 150, 1000])
+def test_few_edges_are_contracted_at_once(spark, monkeypatch, at_once):
+    """The components are those of the rounds, whether the rounds leave few edges at first, later or never; few edges are written twice only."""
+    rng = random.Random(8)
+    nodes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)]
+    pairs = [(nodes[k], nodes[k + 1]) for k in range(399) if k % 40] + [(nodes[3], nodes[390])]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    want = sorted(graph.components(edges).collect())
+    written, kept = [], graph.materialised
+    monkeypatch.setattr(graph, "materialised", lambda df: written.append(1) or kept(df))
+    assert sorted(graph.components(edges, at_once=at_once).collect()) == want
+    assert at_once < 1000 or len(written) == 2

@@ -14,7 +14,8 @@ least near certain neighbour, then whatever else joins nodes that are not connec
 Then the exact join: two sets that similar have in common one of the first shingles of either, so many as `prefix_length` says,
 in any order that is the same for all (here: those that a sample finds often come last, so that few nodes share a first one). Nodes
 that share one, are of no too unlike sizes and places (see `_cross`), and are not connected yet are verified, of each
-two components the nearest by their bits first, then all pairs that are left.
+two components the nearest by their bits first, then all pairs that are left. Long texts may share hundreds of them and yet be unlike;
+a pair counts where it meets first, so it is left out where the rows' EARLIER shingles show that it has met before.
 
 Neither the texts nor the sets of all nodes are shuffled. Pairs are held against short sketches of their sets first (`odd_bits`); the
 sets of the nodes in those pairs that the sketches leave are made anew, from texts that a bounded broadcast (`key_bits`) picks out
@@ -34,12 +35,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, group_bounds, materialised, new_folder, partitions, quoted, record_batch, slices, whole_row
-from .graph import components
+from .graph import AT_ONCE, components
 from .simhash import Golay, _column, fuzzy_keys, shingle_hashes, vote
 
 WORDS, SIMILARITY = 5, 0.8
@@ -57,6 +58,8 @@ KEY_BITS, MAX_KEY_BITS = 64, 1 << 27
 MARKS = ("fp", "fp2", "pairs", "node")
 #: Columns of a node's parities: odd_bits of this fixed length.
 PARITY = tuple(f"odd{k}" for k in range(8))
+#: Columns of the shared shingles next before a row's in its node's prefix; the node itself where there is none (no other node's row holds that).
+EARLIER = tuple(f"earlier{k}" for k in range(4))
 CARRIED = ("fp", "fp2", "node")
 
 
@@ -461,7 +464,7 @@ def node_links(links: DataFrame, sketches: DataFrame, texts: Texts, similarity:
     first = first.select("v", F.explode(F.array("nearest", "least")).alias("u")).where("u IS NOT NULL")
     first = materialised(first.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct())
     held = verified(first, sketches, texts, similarity)
-    roots = components(held)
+    roots = components(held, at_once=AT_ONCE)
     rest = links.select("a", "b").join(first, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
@@ -607,10 +610,18 @@ def _within(odd: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, sim
     return fit
 
 
-def _cross(similarity: float, few: int | None, parity: tuple[str, ...] = ()):
+def _met_before(earlier: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows at these places share one of their earlier shingles."""
+    met = np.zeros(len(x), bool)
+    for k in range(earlier.shape[1]):
+        met |= (earlier[x, k, None] == earlier[y]).any(1)
+    return met
+
+
+def _cross(similarity: float, few: int | None, parity: tuple[str, ...] = (), earlier: tuple[str, ...] = ()):
     """Rows sorted by key -> pairs of unconnected nodes that may be similar: all, or of each two components the few of least bits in a batch.
 
-    parity names columns of the nodes' parities, which rule out most pairs here."""
+    parity names columns of the nodes' parities, which rule out most pairs here; earlier those of EARLIER, which leave out most that have met before."""
 
     def emit(pairs):
         pairs = np.unique(pairs, axis=0)
@@ -618,16 +629,20 @@ def _cross(similarity: float, few: int | None, parity: tuple[str, ...] = ()):
 
     def work(batches):
         best = np.zeros((0, 5), np.int64)
-        for key, node, place, root, fp, fp2, *odd in _whole_groups(batches, ["key", "node", "place", "root", "fp", "fp2", *parity]):
+        for key, node, place, root, fp, fp2, *more in _whole_groups(batches, ["key", "node", "place", "root", "fp", "fp2", *parity, *earlier]):
             bounds = group_bounds(key)
             split = np.repeat(np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1]), np.diff(bounds))
             key, node, place, root, fps = key[split], node[split], place[split], root[split], np.stack([fp, fp2], 1)[split]
-            odd = np.stack(odd, 1)[split].view(np.uint64) if parity else None
+            odd = np.stack(more[: len(parity)], 1)[split].view(np.uint64) if parity else None
+            known = np.stack(more[len(parity) :], 1)[split] if earlier else None
             likely = _likely(place, similarity)
             for x, y in _meetings(group_bounds(key), lambda x, y, root=root, likely=likely: (root[x] != root[y]) & likely(x, y)):
                 if parity:
                     fit = _within(odd, place >> 32, x, y, similarity)
                     x, y = x[fit], y[fit]
+                if earlier:
+                    new = ~_met_before(known, x, y)
+                    x, y = x[new], y[new]
                 pairs = np.sort(np.stack([node[x], node[y]], 1), axis=1)
                 if few is None:
                     yield emit(pairs)
@@ -650,6 +665,12 @@ def shared_shingles(docs: DataFrame, text: str, n_rows: int, words: int, similar
     return materialised(arrow_map(grouped, _shared(similarity), "key long, node long, place long"))
 
 
+def with_earlier(shared: DataFrame) -> DataFrame:
+    """shared with the columns EARLIER."""
+    order = Window.partitionBy("node").orderBy("place")
+    return shared.select("*", *(F.coalesce(F.lag("key", k + 1).over(order), "node").alias(name) for k, name in enumerate(EARLIER)))
+
+
 def _written(df: DataFrame) -> DataFrame:
     """df from a file, whose size the optimizer reads: the estimates of checkpoints multiply from join to join until planning stalls."""
     folder = new_folder(df.sparkSession, "links")
@@ -662,11 +683,11 @@ def joined_roots(shared: DataFrame, roots: DataFrame, sketches: DataFrame, texts
     for few in (FEW, None):
         nodes = roots.join(sketches.select("node", *PARITY), "node")
         rows = shared.join(nodes, "node").repartition(n_parts, "key").sortWithinPartitions("key")
-        pairs = materialised(arrow_map(rows, _cross(similarity, few, PARITY), "a long, b long").distinct())
+        pairs = materialised(arrow_map(rows, _cross(similarity, few, PARITY, EARLIER), "a long, b long").distinct())
         held = verified(pairs, sketches, texts, similarity)
         for end in ("a", "b"):
             held = held.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-        more = components(_written(held.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()))
+        more = components(_written(held.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()), at_once=AT_ONCE)
         more = more.select(F.col("node").alias("root"), F.col("root").alias("joined"))
         roots = _written(roots.join(more, "root", "left").select("node", F.coalesce("joined", "root").alias("root")))
     return roots
@@ -681,12 +702,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     nodes = materialised(rows.groupBy("node").agg(F.min(least).alias("least"), F.min(F.struct(*MARKS[:-1])).alias("marks")))
     links = candidate_links(nodes.select("node", "marks.*"), similarity, hot_group)
     shared = shared_shingles(docs, text, rows.count(), words, similarity).join(nodes.select("node", "marks.fp", "marks.fp2"), "node")
-    shared = materialised(shared)
+    shared = materialised(with_earlier(shared))
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
     wanted = materialised(nodes.join(wanted, "node").select("node", row_key(F.col("least.doc_id"), F.col("least.text_hash")).alias("key")))
     texts = Texts(docs, doc_id, text, words)
     sketches = texts.sketches(wanted)
-    roots = components(node_links(links, sketches, texts, similarity))
+    roots = components(node_links(links, sketches, texts, similarity), at_once=AT_ONCE)
     roots = _written(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     roots = joined_roots(shared, roots, sketches, texts, similarity, partitions(docs, 4 << 20))
     # Written before they are joined with each other, so that a component with very many nodes can be split.
