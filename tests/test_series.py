@@ -131,6 +131,27 @@ def test_long_series_in_ranges(spark, gappy):
         sr.ranged_rolling(s, 14, 5)
 
 
+def test_many_ranges_take_few_comparisons(spark):
+    """Each row was held against the end of every range: rows times ranges, as the ranges grow with the input."""
+    df = spark.range(6000).select(sr.F.when(sr.F.col("id") > 9, sr.F.col("id") * sr.F.col("id") - 3000).alias("o"))
+    for n in (1, 2, 3, 64, 500):
+        ranged = sr.in_ranges(df, sr.F.col("o"), n)
+        got = ranged.groupBy("__range").agg(sr.F.min("o").alias("least"), sr.F.max("o").alias("most"), sr.F.count("*").alias("rows")).orderBy("__range").collect()
+        assert [r["__range"] for r in got] == list(range(max(n, 2))) and all(a.most < b.least for a, b in zip(got, got[1:], strict=False))
+        assert max(r.rows for r in got) <= 6000 / max(n, 2) + 20 and ranged.where("o IS NULL").select("__range").distinct().collect() == [(0,)]
+    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">=") + plan.count("<=") <= 9
+    # Rows of one time stay together, however many they are.
+    assert sr.in_ranges(spark.range(900).select((sr.F.col("id") % 3).alias("o")), sr.F.col("o"), 100).select("o", "__range").distinct().count() == 3
+
+
+def test_previous_of_several_values(spark):
+    df = spark.createDataFrame([(k, None if k % 4 == 1 else k, -k) for k in range(40)], "o long, a long, b long").repartition(3)
+    for n in (1, 7, 40):
+        got = {r.o: r.before for r in sr.with_previous(df, [], "o", ["a", "b"], n).collect()}
+        assert got == {k: None if k == 0 else (None if (k - 1) % 4 == 1 else k - 1, 1 - k) for k in range(40)}
+
+
 def test_rolling_like_pandas(spark, gappy):
     y, s = gappy
     want = pd.Series(y, dtype=float).rolling(14, min_periods=4)

@@ -59,13 +59,18 @@ MAX_RANGES = 512
 def in_ranges(df: DataFrame, order: Column, n_ranges: int | None = None) -> DataFrame:
     """df with __range: which of n stretches of the order (whole numbers) a row lies in; the ends are approximate quantiles.
 
-    The place is a plain sum of comparisons: the optimizer loses the columns of a lambda here. Nulls are in the first."""
+    A row's place is looked up by halving, a step for each doubling of n: with a comparison for each end the work would grow with
+    rows times ranges, and the code beyond what the JVM compiles. Nulls are in the first."""
     n = min(MAX_RANGES, n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = df.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    place = F.lit(0)
-    for e in sorted(set(ends)):
-        place = place + (order >= int(e)).cast("int")
-    return df.withColumn("__range", F.coalesce(place, F.lit(0)))
+    ends = sorted({int(e) for e in ends})
+    table = F.array(*[F.lit(e).cast("long") for e in ends])
+    placed = df.withColumn("__range", F.lit(0))
+    for step in (1 << k for k in reversed(range(len(ends).bit_length()))):
+        # Beyond the last end there is a null, which is not passed. A column of its own for each step: nested, they would double.
+        passed = F.get(table, F.col("__range") + (step - 1)) <= order
+        placed = placed.withColumn("__range", F.col("__range") + F.when(passed, step).otherwise(0))
+    return placed
 
 
 def ranged_positions(series: DataFrame, n_ranges: int | None = None) -> DataFrame:
@@ -81,18 +86,21 @@ def ranged_positions(series: DataFrame, n_ranges: int | None = None) -> DataFram
     return local.join(counts, ["series_id", "__range"]).withColumn("pos", F.col("__before") + F.col("__local")).drop("__range", "__before", "__local")
 
 
-def with_previous(df: DataFrame, keys: list[str], order: str, value: str, n_ranges: int | None = None) -> DataFrame:
-    """df with `before`, the value of the row before by order (a whole number) within the keys, without gathering a key's rows.
+def with_previous(df: DataFrame, keys: list[str], order: str, value: str | list[str], n_ranges: int | None = None) -> DataFrame:
+    """df with `before`, the value of the row before by order (a whole number) within the keys, without gathering a key's rows; of several values, a struct.
 
     Within a range it is a window's lag; the first row of a range gets the last value of the range before."""
+    values = [value] if isinstance(value, str) else value
+    row = F.struct(*values)
     ranged = in_ranges(df, F.col(order).cast("long"), n_ranges)
-    inside = Window.partitionBy(*keys, "__range").orderBy(order)
-    local = ranged.withColumn("__first", F.row_number().over(inside) == 1).withColumn("__lag", F.lag(value).over(inside))
-    lasts = ranged.groupBy(*keys, "__range").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("last"))
+    local = ranged.withColumn("__lag", F.lag(row).over(Window.partitionBy(*keys, "__range").orderBy(order)))
+    # Each value by itself, as an aggregate that holds a struct would have all rows sorted.
+    lasts = ranged.groupBy(*keys, "__range").agg(*[F.max_by(v, order).alias(v) for v in values])
     across = Window.partitionBy(*keys).orderBy("__range") if keys else Window.partitionBy(F.lit(0)).orderBy("__range")
-    lasts = lasts.withColumn("__last", F.lag("last").over(across)["v"]).drop("last")
+    lasts = lasts.select(*keys, "__range", F.lag(row).over(across).alias("__last"))
+    before = F.coalesce("__lag", "__last")
     joined = local.join(lasts, [*keys, "__range"])
-    return joined.withColumn("before", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__lag"))).drop("__range", "__first", "__lag", "__last")
+    return joined.withColumn("before", before[value] if isinstance(value, str) else before).drop("__range", "__lag", "__last")
 
 
 def ranged_rolling(series: DataFrame, window: int, block: int = 100_000, n_ranges: int | None = None) -> DataFrame:
